@@ -1,0 +1,174 @@
+"""Sums for oversized groups as Spark aggregates.
+
+The same solvers as in the numpy blocks run over these objects; every question
+becomes one job whose result holds a row per group (and candidate) of a bounded
+batch.  Partial aggregation happens before any shuffle.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..config import Limits, Weights
+from ..functions import probit, spatial
+
+
+class _SparkRows:
+    """Common part: join a small parameter table to the rows and sum."""
+
+    terms: tuple[str, ...] = ()
+
+    def __init__(self, rows: DataFrame, key: str, keys: list, counts: list, w: Weights):
+        self.rows, self.key, self.keys, self.w = rows, key, keys, w
+        self.counts = np.asarray(counts, dtype=float)
+        self.place = {k: i for i, k in enumerate(keys)}
+
+    def _params(self, thetas, valid) -> DataFrame:
+        records = [
+            (self.keys[g], c, [float(v) for v in thetas[c][g]])
+            for c in range(len(thetas))
+            for g in np.flatnonzero(valid[c])
+        ]
+        spark = self.rows.sparkSession
+        schema = f"{self.key} bigint, candidate int, theta array<double>"
+        # Bounded by hot_batch x candidates, whatever the data size.
+        return F.broadcast(spark.createDataFrame(records, schema))
+
+    def _placed(self, params: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
+    def candidates(self, thetas, valid):
+        out = np.full((len(thetas), len(self.keys)), -np.inf)
+        scored = spatial.scored(self._placed(self._params(thetas, valid)), self.w)
+        for r in scored.groupBy(self.key, "candidate").agg(F.sum("ll").alias("ll")).collect():
+            out[r["candidate"], self.place[r[self.key]]] = r["ll"]
+        return out
+
+    def derivatives(self, theta, active, information=False):
+        placed = self._placed(self._params(theta[None], active[None]))
+        rows = spatial.with_derivatives(spatial.scored(placed, self.w), self.w)
+        columns = self._terms(theta.shape[1])
+        rows = rows.withColumns({f"t{i}": c for i, c in enumerate(columns)})
+        p = len(columns)
+        pairs = [(i, j) for i in range(p) for j in range(i, p)] if information else []
+        aggs = [F.sum("ll").alias("ll")]
+        aggs += [F.sum(f"t{i}").alias(f"g{i}") for i in range(p)]
+        aggs += [F.sum(F.col(f"t{i}") * F.col(f"t{j}")).alias(f"i{i}_{j}") for i, j in pairs]
+        ll = np.zeros(len(self.keys))
+        gradient = np.zeros((len(self.keys), p))
+        info = np.zeros((len(self.keys), p, p)) if information else None
+        for r in rows.groupBy(self.key).agg(*aggs).collect():
+            g = self.place[r[self.key]]
+            ll[g] = r["ll"]
+            gradient[g] = [r[f"g{i}"] for i in range(p)]
+            for i, j in pairs:
+                info[g, i, j] = info[g, j, i] = r[f"i{i}_{j}"]
+        return ll, gradient, info
+
+    def _terms(self, width):
+        raise NotImplementedError
+
+
+class SparkItemRows(_SparkRows):
+    """Rows: rollcall_id, vote, x1, x2."""
+
+    def _placed(self, params):
+        theta = F.col("theta")
+        dims = self.w.dims
+        zero = F.lit(0.0)
+        return self.rows.join(params, self.key).withColumns(
+            {
+                "z1": theta[0],
+                "z2": theta[1] if dims > 1 else zero,
+                "d1": theta[dims],
+                "d2": theta[dims + 1] if dims > 1 else zero,
+            }
+        )
+
+    def _terms(self, width):
+        ks = ("1", "2")[: self.w.dims]
+        return [F.col(f"gz{k}") for k in ks] + [F.col(f"gd{k}") for k in ks]
+
+
+class SparkActorRows(_SparkRows):
+    """Rows: legislator_id, vote, b1, b2, b3 and the roll-call parameters."""
+
+    def _placed(self, params):
+        dims = self.w.dims
+        joined = self.rows.join(params, self.key)
+
+        def position(k):
+            if k >= dims:
+                return F.lit(0.0)
+            acc = F.col("theta")[k]
+            for j in (1, 2, 3):
+                # A shorter theta holds a lower-order path.
+                term = F.coalesce(F.get("theta", F.lit(j * dims + k)), F.lit(0.0))
+                acc = acc + term * F.col(f"b{j}")
+            return acc
+
+        return joined.withColumns({"x1": position(0), "x2": position(1)})
+
+    def _terms(self, width):
+        dims = self.w.dims
+        out = []
+        for j in range(width // dims):
+            for k in ("1", "2")[:dims]:
+                g = F.col(f"gx{k}")
+                out.append(g if j == 0 else g * F.col(f"b{j}"))
+        return out
+
+
+class SparkCutRows:
+    """Rows: rollcall_id, legislator_id, vote, x1, x2 of oversized roll calls."""
+
+    def __init__(self, rows: DataFrame, keys: list, limits: Limits):
+        self.rows, self.keys, self.limits = rows, keys, limits
+        self.place = {k: i for i, k in enumerate(keys)}
+        self.groups = len(keys)
+
+    def cut(self, normals, active):
+        from ..operators import cuts
+
+        spark = self.rows.sparkSession
+        params = spark.createDataFrame(
+            [
+                (self.keys[g], float(normals[g, 0]), float(normals[g, 1]))
+                for g in np.flatnonzero(active)
+            ],
+            "rollcall_id bigint, n1 double, n2 double",
+        )
+        points = self.rows.join(F.broadcast(params), "rollcall_id").withColumn(
+            "proj", F.col("x1") * F.col("n1") + F.col("x2") * F.col("n2")
+        )
+        best = cuts.best_cuts(points, self.limits)
+        joined = points.join(F.broadcast(best), "rollcall_id")
+        low = F.col("proj") < F.col("cut")
+        yes_low = F.col("polarity") == "yes_low"
+        wrong = F.coalesce(F.col("vote") != (low == yes_low), F.lit(False))
+        move = F.when(wrong, 0.0).otherwise(F.col("cut") - F.col("proj"))
+        moved = joined.withColumns(
+            {"y1": F.col("x1") + move * F.col("n1"), "y2": F.col("x2") + move * F.col("n2")}
+        )
+        sums = moved.groupBy("rollcall_id").agg(
+            F.count("*").alias("n"),
+            F.avg("y1").alias("m1"),
+            F.avg("y2").alias("m2"),
+            F.var_pop("y1").alias("a"),
+            F.covar_pop("y1", "y2").alias("b"),
+            F.var_pop("y2").alias("c"),
+        )
+        out = {
+            name: np.zeros(self.groups)
+            for name in (
+                "cut", "yes_low", "errors", "correct_low", "error_low",
+                "correct_high", "error_high", "a", "b", "c",
+            )
+        }
+        for r in best.join(sums, "rollcall_id").collect():
+            g = self.place[r["rollcall_id"]]
+            for name in out:
+                out[name][g] = r["polarity"] == "yes_low" if name == "yes_low" else r[name]
+        return out
