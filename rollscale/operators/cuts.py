@@ -268,3 +268,18 @@ def starts_from_cuts(cuts: DataFrame) -> DataFrame:
         (F.col("n2") * sign).alias("d2"),
         "polarity",
     )
+
+
+def best_turn(turns: DataFrame) -> DataFrame:
+    """Turn with the fewest errors per roll call; the last of the ties."""
+    record = F.struct((-F.col("errors")).alias("rank"), "turn")
+    return turns.groupBy("rollcall_id").agg(F.max(record).alias("b")).select(
+        "rollcall_id", "b.turn", (-F.col("b.rank")).alias("errors")
+    )
+
+
+def best_step(steps: DataFrame, key: str, first: bool) -> DataFrame:
+    """Line-search point of the highest GMP; `first` or last of the ties."""
+    order = -F.col("step") if first else F.col("step")
+    record = F.struct("gmp", order.alias("order"), "step")
+    return steps.groupBy(key).agg(F.max(record).alias("b")).select(key, "b.step", "b.gmp")

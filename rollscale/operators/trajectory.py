@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import trend
+from .totals import with_totals
 
 BETA_COLUMNS = [f"b{j}_{k}" for j in range(4) for k in (1, 2)]
 
@@ -165,8 +166,7 @@ def centre_audit(coords: DataFrame, paths: DataFrame, tolerance: float = 1e-9) -
             )
         ).alias("max_reconstruction_error"),
     )
-    # One row each.
-    return members.crossJoin(positions)
+    return with_totals(members, positions)
 
 
 def position_variance(rows: DataFrame) -> DataFrame:

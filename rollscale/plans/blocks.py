@@ -42,6 +42,11 @@ ACTOR_SCHEMA = (
 )
 
 
+def _renewed(df: DataFrame) -> DataFrame:
+    """Fresh column identities: both sides of a cogroup may stem from one table."""
+    return df.toDF(*df.columns)
+
+
 def _padded(theta: np.ndarray, dims: int, parts: int) -> np.ndarray:
     """groups x (parts * dims) -> groups x (parts * 2) with a zero second dimension."""
     if dims == 2:
@@ -130,7 +135,7 @@ def fit_items(
         starts = starts.join(layout.hot_keys.select("rollcall_id"), "rollcall_id", "left_anti")
     out = (
         placed.groupBy("block")
-        .cogroup(starts.groupBy("block"))
+        .cogroup(_renewed(starts).groupBy("block"))
         .applyInPandas(partial(_item_block, w=w, cfg=cfg, precision=precision), ITEM_SCHEMA)
     )
     for keys, counts in hot_batches(layout, cfg.limits):
@@ -234,7 +239,7 @@ def fit_actors(
     out = (
         placed.select("block", "legislator_id", "vote", "t", *ITEM_COLUMNS)
         .groupBy("block")
-        .cogroup(begin.groupBy("block"))
+        .cogroup(_renewed(begin).groupBy("block"))
         .applyInPandas(partial(_actor_block, w=w, cfg=cfg, precision=precision), ACTOR_SCHEMA)
     )
     for keys, _ in hot_batches(layout, cfg.limits):
