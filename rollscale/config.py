@@ -28,14 +28,18 @@ class Limits:
     broadcast_rows: a table is only broadcast when its counted rows stay below this.
     group_rows: groups above this never enter a single task; they take the
         aggregate-per-step path instead.
-    block_rows: target rows of one grouped numpy block.
+    block_rows: most rows a grouped numpy block should hold on average.
+    least_block_rows: blocks are not cut smaller than this to feed idle cores.
+    cached_star_rows: joined votes up to this many are kept for the scalar scans.
     hot_batch: how many oversized groups are stepped together from the driver.
     """
 
     broadcast_rows: int = 1_000_000
     group_rows: int = 1_000_000
     block_rows: int = 40_000
+    least_block_rows: int = 2_000
     hot_batch: int = 5_000
+    cached_star_rows: int = 50_000_000
 
 
 @dataclass(frozen=True)

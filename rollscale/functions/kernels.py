@@ -40,8 +40,21 @@ def utilities(x, z, d, sign, w: Weights):
     return yes, no, e_yes, e_no, sign * (w.beta * (e_yes - e_no))
 
 
-def row_ll(x, z, d, sign, w: Weights) -> np.ndarray:
-    return log_phi_np(utilities(x, z, d, sign, w)[4])
+def signed_gap(rest, spread, sign, w: Weights) -> np.ndarray:
+    """zs from the distance to the midpoint (rest) and the spread, per dimension.
+
+    With A = sum w2 (rest^2 + spread^2) and B = 2 sum w2 rest spread the two
+    exponentiated utilities are exp(-A - B) and exp(-A + B), and A >= |B|.
+    """
+    near = 0.0
+    tilt = 0.0
+    for r, d, w2 in zip(rest, spread, w.squared()):
+        near = near + w2 * (r * r + d * d)
+        tilt = tilt + (2.0 * w2) * (r * d)
+    gap = np.exp(-(near + tilt))
+    gap -= np.exp(tilt - near)
+    gap *= sign
+    return gap
 
 
 class ItemRows:
@@ -61,21 +74,31 @@ class ItemRows:
         rows = np.flatnonzero(active[self.number])
         return rows, self.number[rows]
 
-    def log_likelihood(self, theta, active):
-        """theta: groups x (midpoint, spread); returns per-group sums."""
-        w, (rows, number) = self.w, self._rows(active)
-        x = [c[rows] for c in self.x]
-        z = [theta[number, k] for k in range(w.dims)]
-        d = [theta[number, w.dims + k] for k in range(w.dims)]
-        return sums(row_ll(x, z, d, self.sign[rows], w), number, self.groups)
-
     def candidates(self, thetas, valid):
-        """thetas: candidates x groups x params -> candidates x groups."""
+        """thetas: candidates x groups x params -> candidates x groups.
+
+        The rows of the asked groups are picked once; parameters that all candidates
+        share are placed next to the rows once.
+        """
         out = np.full(valid.shape, -np.inf)
+        asked = valid.any(axis=0)
+        rows, number = self._rows(asked)
+        if not asked.any():
+            return out
+        w, dims = self.w, self.w.dims
+        sign = self.sign[rows] * w.beta
+        same = (thetas == thetas[0]).all(axis=(0, 1))
+        x = [c[rows] for c in self.x]
+        rest = [x[k] - thetas[0, :, k].take(number) for k in range(dims)]
+        spread = [thetas[0, :, dims + k].take(number) for k in range(dims)]
         for c in range(len(thetas)):
-            if valid[c].any():
-                ll = self.log_likelihood(thetas[c], valid[c])
-                out[c] = np.where(valid[c], ll, -np.inf)
+            for k in range(dims):
+                if c and not same[k]:
+                    rest[k] = x[k] - thetas[c, :, k].take(number)
+                if c and not same[dims + k]:
+                    spread[k] = thetas[c, :, dims + k].take(number)
+            ll = sums(log_phi_np(signed_gap(rest, spread, sign, w)), number, self.groups)
+            out[c] = np.where(valid[c], ll, -np.inf)
         return out
 
     def derivatives(self, theta, active, information=False):
@@ -108,7 +131,34 @@ class ActorRows:
         self.counts = np.bincount(number, minlength=groups)
 
     _rows = ItemRows._rows
-    candidates = ItemRows.candidates
+
+    def candidates(self, thetas, valid):
+        out = np.full(valid.shape, -np.inf)
+        asked = valid.any(axis=0)
+        if not asked.any():
+            return out
+        w, dims = self.w, self.w.dims
+        rows, number = self._rows(asked)
+        sign = self.sign[rows] * w.beta
+        spread = [c[rows] for c in self.d]
+        # Where the candidates move from the first one, by path term.
+        start = self._positions(thetas[0], rows, number)
+        rest = [start[k] - self.z[k][rows] for k in range(dims)]
+        moved = [
+            j for j in range(thetas.shape[2] // dims)
+            if (thetas[:, :, j * dims : (j + 1) * dims] != thetas[0, :, j * dims : (j + 1) * dims]).any()
+        ]
+        basis = {j: None if j == 0 else self.basis[rows, j] for j in moved}
+        for c in range(len(thetas)):
+            shift = thetas[c] - thetas[0]
+            here = list(rest)
+            for j in moved:
+                for k in range(dims):
+                    step = shift[:, j * dims + k].take(number)
+                    here[k] = here[k] + (step if j == 0 else step * basis[j])
+            ll = sums(log_phi_np(signed_gap(here, spread, sign, w)), number, self.groups)
+            out[c] = np.where(valid[c], ll, -np.inf)
+        return out
 
     def _positions(self, theta, rows, number):
         terms = theta.shape[1] // self.w.dims
@@ -120,13 +170,6 @@ class ActorRows:
             x.append(acc)
         return x
 
-    def log_likelihood(self, theta, active):
-        rows, number = self._rows(active)
-        x = self._positions(theta, rows, number)
-        z = [c[rows] for c in self.z]
-        d = [c[rows] for c in self.d]
-        return sums(row_ll(x, z, d, self.sign[rows], self.w), number, self.groups)
-
     def derivatives(self, theta, active, information=False):
         w, (rows, number) = self.w, self._rows(active)
         x = self._positions(theta, rows, number)

@@ -9,8 +9,10 @@ Gaussian ratio without cancellation.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Coefficients of the rational approximation, highest power first.
@@ -67,6 +69,49 @@ def log_phi(z: Column) -> Column:
     return _log_phi_inside(clamp(z))
 
 
+def _tail_ratio_sql(a: str) -> str:
+    """The ratio as one SQL expression: a single call to the JVM builds it."""
+
+    def nested(coefficients):
+        text = f"{coefficients[0]!r}D"
+        for c in coefficients[1:]:
+            text = f"({text} * {a} + {c!r}D)"
+        return text
+
+    return f"({nested(TAIL_P)} / {nested(TAIL_Q)})"
+
+
+_CLAMP = f"greatest({-Z_MAX}D, least({Z_MAX}D, {{z}})) as _z"
+_RATIO = f"{_tail_ratio_sql('_a')} as _ratio"
+_LOG = "if(_z <= 0, _half + ln(_ratio), ln(1D - exp(_half) * _ratio))"
+_BELOW = "if(_z <= 0, exp(_half) * _ratio, 1D - exp(_half) * _ratio)"
+
+
+def _staged(df: DataFrame, z: str) -> DataFrame:
+    """Shared parts as columns, so that each is computed once per row.
+
+    As one expression they would be repeated for every use and the generated code
+    would grow past what the JVM compiles.
+    """
+    return (
+        df.selectExpr("*", _CLAMP.format(z=z))
+        .selectExpr("*", "abs(_z) as _a", "_z * _z / -2D as _half")
+        .selectExpr("*", _RATIO)
+    )
+
+
+def with_log_phi(df: DataFrame, z: str, out: str = "ll") -> DataFrame:
+    """`log_phi` of a column, in steps."""
+    return _staged(df, z).selectExpr(*df.columns, f"{_LOG} as {out}")
+
+
+def with_gauss_over_phi(df: DataFrame, z: str, out: str = "ratio") -> DataFrame:
+    """`gauss_over_phi` of a column, in steps."""
+    return _staged(df, z).selectExpr(
+        *df.columns, f"exp({z} * {z} / -2D) / {_BELOW} as {out}"
+    )
+
+
 def phi(z: Column) -> Column:
     zc = clamp(z)
     tail = F.exp(-zc * zc / 2.0) * _tail_ratio(F.abs(zc))
@@ -100,11 +145,31 @@ def log_phi_nearest(z: Column) -> Column:
     return _log_phi_inside(F.signum(z) * step / GRID)
 
 
+def _exact_log_phi_np(z: np.ndarray) -> np.ndarray:
+    ratio = _tail_ratio(np.abs(z))
+    half = -0.5 * z * z
+    return np.where(z <= 0, half + np.log(ratio), np.log1p(-np.exp(half) * ratio))
+
+
+@functools.lru_cache(maxsize=1)
+def _log_table() -> tuple[np.ndarray, np.ndarray]:
+    """log Phi on the 1e-4 grid and its forward differences."""
+    points = int(2 * Z_MAX * GRID)
+    values = _exact_log_phi_np((np.arange(points + 1) - Z_MAX * GRID) / GRID)
+    return values, np.append(np.diff(values), 0.0)
+
+
 def log_phi_np(z: np.ndarray) -> np.ndarray:
-    zc = np.clip(z, -Z_MAX, Z_MAX)
-    ratio = _tail_ratio(np.abs(zc))
-    half = -0.5 * zc * zc
-    return np.where(zc <= 0, half + np.log(ratio), np.log1p(-np.exp(half) * ratio))
+    """Linear interpolation on the grid, flat beyond the clamp."""
+    values, slopes = _log_table()
+    at = np.clip(z, -Z_MAX, Z_MAX)
+    at += Z_MAX
+    at *= GRID
+    cell = at.astype(np.int32)
+    at -= cell
+    at *= slopes.take(cell)
+    at += values.take(cell)
+    return at
 
 
 def gauss_over_phi_np(z: np.ndarray) -> np.ndarray:

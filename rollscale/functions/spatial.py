@@ -50,17 +50,14 @@ def with_utilities(df: DataFrame, w: Weights) -> DataFrame:
 
 def with_scores(df: DataFrame, w: Weights) -> DataFrame:
     """zs, log-likelihood contribution and the classification flags."""
-    return (
-        df.withColumns({"e_chosen": F.exp("u_chosen"), "e_other": F.exp("u_other")})
-        .withColumn("zs", (F.col("e_chosen") - F.col("e_other")) * w.beta)
-        .withColumns(
-            {
-                "ll": probit.log_phi(F.col("zs")),
-                "correct": F.abs(F.col("u_chosen")) <= F.abs(F.col("u_other")),
-                "gross_error": F.col("zs") < 0,
-                "positive": F.col("zs") > 0,
-            }
-        )
+    df = df.withColumns({"e_chosen": F.exp("u_chosen"), "e_other": F.exp("u_other")})
+    df = df.withColumn("zs", (F.col("e_chosen") - F.col("e_other")) * w.beta)
+    return probit.with_log_phi(df, "zs", "ll").withColumns(
+        {
+            "correct": F.abs(F.col("u_chosen")) <= F.abs(F.col("u_other")),
+            "gross_error": F.col("zs") < 0,
+            "positive": F.col("zs") > 0,
+        }
     )
 
 
@@ -74,8 +71,7 @@ def with_derivatives(df: DataFrame, w: Weights) -> DataFrame:
     The true gradient is GRAD_SCALE * beta times each term; the midpoint term is
     the actor term with the opposite sign.
     """
-    out = {"ratio": probit.gauss_over_phi(F.col("zs"))}
-    df = df.withColumns(out)
+    df = probit.with_gauss_over_phi(df, "zs", "ratio")
     sign = F.when(F.col("vote"), 1.0).otherwise(-1.0)
     e_yes = F.when(F.col("vote"), F.col("e_chosen")).otherwise(F.col("e_other"))
     e_no = F.when(F.col("vote"), F.col("e_other")).otherwise(F.col("e_chosen"))

@@ -91,10 +91,9 @@ def max_component_difference(a: DataFrame, b: DataFrame, keys: list[str], column
     left = a.select(*keys, *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"a_{c}") for c in columns])
     right = b.select(*keys, *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"b_{c}") for c in columns])
     gaps = [F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in columns]
-    top = F.greatest(*gaps) if len(gaps) > 1 else gaps[0]
     distance = F.sqrt(sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]))
     return left.join(right, keys).agg(
-        F.max(top).alias("max_difference"), F.max(distance).alias("max_distance")
+        F.max(F.array_max(F.array(*gaps))).alias("max_difference"), F.max(distance).alias("max_distance")
     )
 
 

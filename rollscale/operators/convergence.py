@@ -123,7 +123,7 @@ def snapshot_changes(snapshots: DataFrame, keys: list[str], columns: list[str])
         F.count("*").alias("rows"),
         F.count_if(matched).alias("matched"),
         F.sqrt(F.sum(F.when(matched, add([g * g for g in gaps])))).alias("l2"),
-        F.max(F.when(matched, F.greatest(*gaps))).alias("largest"),
+        F.max(F.when(matched, F.array_max(F.array(*gaps)))).alias("largest"),
         F.avg(F.when(matched, add(gaps) / len(gaps))).alias("mean"),
     )
     # One row per run.

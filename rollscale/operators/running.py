@@ -62,7 +62,7 @@ def _windowed(df, group, order, columns):
 def _blocked(df, group, order, columns, rows, block_rows):
     spark = df.sparkSession
     blocks = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // block_rows)
+        int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // max(1, block_rows))
     )
     placed = cut_lineage(
         df.repartitionByRange(blocks, *group, *order).withColumn(

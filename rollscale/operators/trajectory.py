@@ -31,15 +31,21 @@ def served_grid(placements: DataFrame) -> DataFrame:
     return df.withColumns({"p1": p1, "p2": p2, "p3": p3})
 
 
-def least_squares_paths(coords: DataFrame, model: int | None = None) -> DataFrame:
+def least_squares_paths(
+    coords: DataFrame, model: int | None = None, grid: DataFrame | None = None
+) -> DataFrame:
     """Path coefficients per member from period positions x1, x2.
 
     On the even grid of local time the basis splits into an even and an odd pair,
     so each pair is a 2x2 system solved in closed form from sums.  Fewer than five
     served periods keep the first position only.  With `model` the order is also
-    capped by it; without it the tenure alone decides.
+    capped by it; without it the tenure alone decides.  `grid` saves the windows when
+    the served grid of the coordinates is already at hand.
     """
-    grid = served_grid(coords)
+    if grid is None:
+        grid = served_grid(coords)
+    else:
+        grid = grid.join(coords, ["legislator_id", "period"])
     sums = [F.first("served").alias("served")]
     for a, b in (("p2", "p2"), ("p1", "p1"), ("p1", "p3"), ("p3", "p3")):
         sums.append(F.sum(F.col(a) * F.col(b)).alias(f"s_{a}{b}"))
@@ -78,9 +84,9 @@ def least_squares_paths(coords: DataFrame, model: int | None = None) -> DataFram
     return df.select("legislator_id", "served", "eff_order", *[out[c].alias(c) for c in BETA_COLUMNS])
 
 
-def start_paths(coords: DataFrame, model: int) -> DataFrame:
+def start_paths(coords: DataFrame, model: int, grid: DataFrame | None = None) -> DataFrame:
     """Start of a member fit: tenure-based least squares, order capped by the model."""
-    full = least_squares_paths(coords)
+    full = least_squares_paths(coords, grid=grid)
     return full.withColumn(
         "eff_order", trend.effective_order(F.col("served"), model).cast("int")
     )
@@ -93,10 +99,17 @@ def _path(k: str, basis: list[Column], order: Column) -> Column:
     return total
 
 
-def reconstruct(paths: DataFrame, placements: DataFrame, order: Column | None = None) -> DataFrame:
+def reconstruct(
+    paths: DataFrame,
+    placements: DataFrame,
+    order: Column | None = None,
+    grid: DataFrame | None = None,
+) -> DataFrame:
     """Positions of the served (member, period) pairs from path coefficients."""
-    grid = served_grid(placements.select("legislator_id", "period"))
-    joined = grid.join(paths.drop("served"), "legislator_id")
+    if grid is None:
+        grid = served_grid(placements.select("legislator_id", "period"))
+    columns = ["legislator_id", "eff_order", *BETA_COLUMNS]
+    joined = grid.join(paths.select(*columns), "legislator_id")
     basis = [F.lit(1.0), F.col("p1"), F.col("p2"), F.col("p3")]
     order = F.col("eff_order") if order is None else order
     return joined.select(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,10 +60,12 @@ class Panel:
             (F.col("l_suppkey") + 1).alias("legislator_id"),
             (F.year("l_shipdate") - 1994).cast("int").alias("period"),
             (F.col("l_partkey") % ITEMS_PER_PERIOD).alias("slot"),
-            F.struct(
-                F.col("l_orderkey").alias("o"),
-                F.col("l_linenumber").alias("ln"),
-                F.col("l_returnflag").alias("rf"),
+            # (order, line, flag) in one number: a plain hash aggregate keeps the first.
+            (
+                (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 4
+                + F.when(F.col("l_returnflag") == "A", 0)
+                .when(F.col("l_returnflag") == "N", 1)
+                .otherwise(2)
             ).alias("record"),
         )
         first = (
@@ -71,6 +74,13 @@ class Panel:
             )
             .groupBy("legislator_id", "period", "rollcall_id")
             .agg(F.min("record").alias("r"))
+            .withColumns(
+                {
+                    "o": F.shiftright("r", 5),
+                    "ln": F.shiftright("r", 2) % 8,
+                    "flag": F.col("r") % 4,
+                }
+            )
         )
         s = F.col("legislator_id") - 1
         rc = F.col("rollcall_id")
@@ -83,24 +93,27 @@ class Panel:
             & ~((s % 5 == 0) & (F.col("period") == 4))
         )
         noise = F.when(rc % 10 == 3, False).otherwise(
-            (F.col("r.o") * 31 + F.col("r.ln") * 7) % 10 == 0
+            (F.col("o") * 31 + F.col("ln") * 7) % 10 == 0
         )
         yea = (n1 * t1 + n2 * t2 < cut) != noise
-        k = F.col("r.ln")
+        k = F.col("ln")
         absent = F.when(k % 4 == 0, 0).when(k % 4 == 1, 7).when(k % 4 == 2, 8).otherwise(9)
         code = (
             F.when(~serving | (s % 25 == 24), 9)
-            .when((F.col("r.rf") == "N") & (F.col("r.o") % 3 == 0), absent)
+            .when((F.col("flag") == 1) & (F.col("o") % 3 == 0), absent)
             .when(yea, k % 3 + 1)
             .otherwise(k % 3 + 4)
         )
-        return first.select(
+        cells = first.select(
             "legislator_id",
             "period",
             "rollcall_id",
             (rc - (F.col("period") - 1) * ITEMS_PER_PERIOD + 1).alias("local_rc"),
             code.cast("int").alias("code"),
         )
+        # The votes table is derived once per session and folder: equal plans share
+        # the cached copy, which spills to disk and is rebuilt where it gets lost.
+        return cells.persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def votes(self) -> DataFrame:

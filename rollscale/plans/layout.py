@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Limits
-from ..session import broadcast_within
+from ..session import broadcast_within, ship_package
 
 
 @dataclass
@@ -25,6 +25,7 @@ class Layout:
     hot: DataFrame | None
     hot_keys: DataFrame | None
     hot_count: int
+    rows: int
 
     def block_of(self, df: DataFrame) -> DataFrame:
         return df.withColumn("block", block_column(self.key, self.blocks))
@@ -45,12 +46,19 @@ def lay_out(rows: DataFrame, key: str, limits: Limits, reuse: bool = False) -> L
     `reuse` caches the block layout for a loop; a single pass needs no cache.
     """
     spark = rows.sparkSession
+    ship_package(spark)
     sizes = rows.groupBy(key).agg(F.count("*").alias("n"))
     hot_if = F.col("n") > limits.group_rows
-    total, hot_count = sizes.agg(
-        F.sum(F.when(~hot_if, F.col("n"))), F.count_if(hot_if)
+    total, hot_count, all_rows = sizes.agg(
+        F.sum(F.when(~hot_if, F.col("n"))), F.count_if(hot_if), F.sum("n")
     ).first()
-    blocks = max(1, -(-(total or 0) // limits.block_rows))
+    total = total or 0
+    cores = spark.sparkContext.defaultParallelism
+    blocks = max(
+        1,
+        -(-total // limits.block_rows),
+        min(4 * cores, total // limits.least_block_rows),
+    )
     hot = hot_keys = None
     small = rows
     if hot_count:
@@ -63,7 +71,7 @@ def lay_out(rows: DataFrame, key: str, limits: Limits, reuse: bool = False) -> L
     small = small.withColumn("block", block_column(key, blocks))
     if reuse:
         small = small.repartition(tasks, "block").persist(StorageLevel.MEMORY_AND_DISK)
-    return Layout(key, blocks, small, hot, hot_keys, hot_count)
+    return Layout(key, blocks, small, hot, hot_keys, hot_count, all_rows or 0)
 
 
 def hot_batches(layout: Layout, limits: Limits):

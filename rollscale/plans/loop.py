@@ -39,6 +39,8 @@ class _Data:
 
     def __init__(self, votes: DataFrame, cfg: FitConfig):
         votes = screens.period_range(votes, cfg.first_period, cfg.last_period)
+        votes = votes.select("legislator_id", "period", "rollcall_id", "vote")
+        votes = votes.persist(StorageLevel.MEMORY_AND_DISK)
         self.cfg = cfg
         self.cells = votes
         self.margins = cut_lineage(screens.margins(votes))
@@ -53,6 +55,7 @@ class _Data:
         )
         self.by_item = lay_out(self.valid, "rollcall_id", cfg.limits, reuse=True)
         self.by_actor = lay_out(self.valid, "legislator_id", cfg.limits, reuse=True)
+        self.n_valid = self.by_item.rows
 
     def items(self, df: DataFrame) -> DataFrame:
         """Mark a table with a row per roll call for broadcast if it is small."""
@@ -69,6 +72,7 @@ class _Data:
         return scoring.star_join(votes, self.actors(state), self.items(bills))
 
     def release(self) -> None:
+        self.cells.unpersist()
         self.by_item.release()
         self.by_actor.release()
 
@@ -131,13 +135,28 @@ def _likelihood(data: _Data, state, bills, w) -> dict:
     return scoring.log_likelihood(scored).first().asDict()
 
 
-def _scalar(data, state, bills, w, cfg, name):
-    star = data.star(state, bills).select(
-        "vote", "x1", "x2", "z1", "z2", "d1", "d2"
-    )
-    if cfg.solver == "line":
-        return scalars.walk(star, w, name)
-    return scalars.bounded(star, w, name, cfg.scalar_scope)
+def _fit_scalars(data, state, bills, w, cfg, cycle, phases) -> tuple[Weights, list[dict]]:
+    """w2, then beta.  The joined votes are kept for the scans of this cycle only
+    while they are few; otherwise every scan repeats the broadcast joins."""
+    star = data.star(state, bills).select("vote", "x1", "x2", "z1", "z2", "d1", "d2")
+    keep = data.n_valid <= cfg.limits.cached_star_rows
+    if keep:
+        star = star.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = []
+    for name in ("w2", "beta"):
+        if name == "w2" and w.dims < 2:
+            continue
+        tick = time.perf_counter()
+        if cfg.solver == "line":
+            found = scalars.walk(star, w, name)
+        else:
+            found = scalars.bounded(star, w, name, cfg.scalar_scope)
+        w = w.with_value(name, found["value"])
+        rows.append({"iteration": cycle, **found})
+        phases[name] += time.perf_counter() - tick
+    if keep:
+        star.unpersist()
+    return w, rows
 
 
 def _update_bills(bills: DataFrame, fitted: DataFrame) -> DataFrame:
@@ -185,6 +204,8 @@ def fit(
     """Run the alternating fit on long votes (legislator_id, period, rollcall_id, vote)."""
     began = time.perf_counter()
     data = _Data(votes, cfg)
+    phases = {"layout": time.perf_counter() - began, "starts": 0.0}
+    phases |= {"w2": 0.0, "beta": 0.0, "items": 0.0, "actors": 0.0, "likelihood": 0.0}
     w = weights
     state = cut_lineage(
         _flat(
@@ -200,41 +221,38 @@ def fit(
     trace: list[dict] = []
     scalar_rows: list[dict] = []
     classification: dict = {}
-    before_items: DataFrame | None = None
     streak, previous, converged = 0, None, False
-    phases = {"w2": 0.0, "beta": 0.0, "items": 0.0, "actors": 0.0, "likelihood": 0.0}
     precision = Precision.profile(cfg.precision)
 
     for cycle in range(1, cfg.cycles + 1):
         budget = precision.for_cycle(cycle, 1, cfg.cycles, cfg.adaptive)
         if not cfg.fix_globals:
-            for name in ("w2", "beta"):
-                if name == "w2" and w.dims < 2:
-                    continue
-                tick = time.perf_counter()
-                found = _scalar(data, state, bills, w, cfg, name)
-                w = w.with_value(name, found["value"])
-                scalar_rows.append({"iteration": cycle, **found})
-                phases[name] += time.perf_counter() - tick
+            w, rows = _fit_scalars(data, state, bills, w, cfg, cycle, phases)
+            scalar_rows += rows
         if not cfg.fix_items:
             tick = time.perf_counter()
             if cycle == 1 and cfg.cut_starts:
                 bills = cut_lineage(cut_bills(data, state, bills, w))
-            before_items = bills
+                phases["starts"] = time.perf_counter() - tick
+                tick = time.perf_counter()
             usable = bills.where("valid")
+            if cycle == 1:
+                stored_bills = bills
             fitted = cut_lineage(
                 blocks.fit_items(data.by_item, data.actors(state), usable, w, cfg, budget)
             )
-            bills = cut_lineage(_update_bills(bills, fitted))
+            # Every cycle refits all usable roll calls, so this joins two stored tables
+            # and needs no checkpoint of its own.
+            bills = _update_bills(stored_bills, fitted)
             rows = attempt_rows(fitted, "rollcall", "rollcall_id", cycle)
             attempts = rows if attempts is None else attempts.unionByName(rows)
             phases["items"] += time.perf_counter() - tick
-        tick = time.perf_counter()
-        classification = _likelihood(data, state, bills, w)
-        phases["likelihood"] += time.perf_counter() - tick
+        if cycle == cfg.cycles and not cfg.fix_items:
+            # The reported classification is the one of the last roll-call phase.
+            classification = _likelihood(data, state, bills, w)
         if not cfg.fix_actors:
             tick = time.perf_counter()
-            starts = trajectory.start_paths(state, cfg.order)
+            starts = trajectory.start_paths(state, cfg.order, grid)
             fitted = cut_lineage(
                 blocks.fit_actors(
                     data.by_actor,
@@ -246,7 +264,7 @@ def fit(
                     budget,
                 )
             )
-            moved = trajectory.reconstruct(fitted, data.placements).select(
+            moved = trajectory.reconstruct(fitted, data.placements, grid=grid).select(
                 "legislator_id", "period", "x1", "x2"
             )
             paths = fitted
@@ -285,10 +303,9 @@ def fit(
             converged = True
             break
 
-    if not classification or cfg.fix_items and cfg.fix_actors:
-        classification = _likelihood(data, state, bills, w)
+    if not classification:
+        classification = overall
     data.release()
-    phases["before_items"] = before_items
     return Fit(
         w,
         cfg,

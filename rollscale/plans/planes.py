@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -178,7 +176,7 @@ def cutting_planes(
     planes = (
         layout.small.drop("vote")
         .groupBy("block")
-        .applyInPandas(partial(_block, turns=turns), SCHEMA)
+        .applyInPandas(lambda pdf: _block(pdf, turns), SCHEMA)
     )
     for keys, _ in hot_batches(layout, limits):
         hot = SparkCutRows(layout.hot, keys, limits)

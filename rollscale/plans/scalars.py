@@ -13,6 +13,7 @@ STEPS = {"beta": 0.1, "w2": 0.01}
 BOUNDS = {"beta": (0.05, 20.0), "w2": (0.01, 2.0)}
 LOCAL_RADIUS = {"beta": 1.6, "w2": 0.16}
 UPHILL_STEPS = 15
+NEAR_STEPS = 3  # lattice steps on each side fetched with the first scan
 HALVINGS = 32768.0
 
 
@@ -46,7 +47,7 @@ def candidate_likelihoods(star: DataFrame, w: Weights, name: str, values: list[f
         sign = F.when(F.col("vote"), w.beta).otherwise(-w.beta)
         scored = d.select("candidate", ((e("yes") - e("no")) * sign).alias("zs"))
     return (
-        scored.select("candidate", probit.log_phi(F.col("zs")).alias("ll"))
+        probit.with_log_phi(scored, "zs", "ll")
         .groupBy("candidate")
         .agg(F.sum("ll").alias("log_likelihood"))
     )
@@ -83,12 +84,23 @@ def _uphill(value: float, h: float, moves: int):
 
 
 def _bracket(value: float, h: float):
-    """Values the next three halving decisions can ask for."""
-    out = []
-    for depth in (1.0, 2.0, 4.0):
-        for base in (0.0, h / 2.0, h / 4.0, 3.0 * h / 4.0):
-            out.append(value + base + h / depth)
-    return out
+    """Values the next four halving decisions can ask for: all lie below value + 2h."""
+    return [value + h * i / 8.0 for i in range(1, 16)]
+
+
+def _vertex(points: dict[float, float], best: float) -> list[float]:
+    """Peak of the parabola through the best value and its two neighbours."""
+    known = sorted(points)
+    i = known.index(best)
+    if not 0 < i < len(known) - 1:
+        return []
+    a, b, c = known[i - 1 : i + 2]
+    fa, fb, fc = (points[v] for v in (a, b, c))
+    bend = (b - a) * (fb - fc) - (b - c) * (fb - fa)
+    if bend == 0.0:
+        return []
+    peak = b - 0.5 * ((b - a) ** 2 * (fb - fc) - (b - c) ** 2 * (fb - fa)) / bend
+    return [peak] if a < peak < c else []
 
 
 def walk(star: DataFrame, w: Weights, name: str) -> dict:
@@ -101,9 +113,7 @@ def walk(star: DataFrame, w: Weights, name: str) -> dict:
     smallest = h / HALVINGS
     start = getattr(w, name)
     ask.fetch(
-        [start, start + h, start - h]
-        + _uphill(start, h, UPHILL_STEPS + 1)
-        + _uphill(start, -h, UPHILL_STEPS + 1)
+        [start, *_uphill(start, h, NEAR_STEPS), *_uphill(start, -h, NEAR_STEPS)]
     )
     first = ask(start)
     value, best = start, first
@@ -115,7 +125,11 @@ def walk(star: DataFrame, w: Weights, name: str) -> dict:
         value, best = start + step, probe
         for _ in range(UPHILL_STEPS):
             trial = value + step
-            ll = ask(trial, _bracket(value, step))
+            whole = abs(step) == h
+            ll = ask(
+                trial,
+                _uphill(value, step, UPHILL_STEPS + 1) if whole else _bracket(value, step),
+            )
             if ll < best:
                 step /= 2.0
             else:
@@ -134,7 +148,7 @@ def walk(star: DataFrame, w: Weights, name: str) -> dict:
     }
 
 
-def bounded(star: DataFrame, w: Weights, name: str, scope: str = "local", passes: int = 4) -> dict:
+def bounded(star: DataFrame, w: Weights, name: str, scope: str = "local", passes: int = 3) -> dict:
     """Best value inside the box by nested grids; kept only if the likelihood holds."""
     low, high = BOUNDS[name]
     start = min(max(getattr(w, name), low), high)
@@ -146,8 +160,8 @@ def bounded(star: DataFrame, w: Weights, name: str, scope: str = "local", passes
     value = start
     for _ in range(passes):
         grid = [a + (b - a) * i / points for i in range(points + 1)]
-        ask.fetch([*grid, start])
-        value = max([*grid, value], key=lambda v: ask.known.get(v, float("-inf")))
+        ask.fetch([*grid, start, *_vertex(ask.known, value)] if ask.known else [*grid, start])
+        value = max(ask.known, key=ask.known.get)
         width = (b - a) / points
         a, b = max(low, value - width), min(high, value + width)
     first, last = ask(start), ask(value)

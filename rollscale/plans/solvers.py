@@ -189,6 +189,8 @@ def fit_constrained(rows, start, free, dims: int, beta: float, precision: Precis
         size = np.maximum(np.einsum("gii->gi", curvature).max(axis=1), 1e-8)
         ridge = (damping * size)[:, None, None] * eye + 1e-10 * eye
         newton = np.linalg.solve(curvature + ridge, gradient[..., None])[..., 0]
+        # Nothing in the model lives farther than a unit step away.
+        newton /= np.maximum(1.0, np.sqrt((newton**2).sum(axis=1)))[:, None]
         norm = np.maximum(np.sqrt((gradient**2).sum(axis=1)), 1e-300)[:, None]
         steps = [theta + s * newton for s in lengths]
         steps += [theta + s * gradient / norm for s in (0.05, 0.005)]

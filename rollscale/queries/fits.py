@@ -130,11 +130,11 @@ def fit_dynamic(p):
     return _with_truth(p, _fit(p, BASE))
 
 
-@query(FIT_COLUMNS)
+@query("legislator_id:l period:i x1:d x2:d")
 def fit_static(p):
-    """The busiest period alone, positions constant."""
-    cfg = replace(BASE, order=0, first_period=4, last_period=4)
-    return _with_truth(p, _fit(p, cfg))
+    """All votes as one period, positions constant."""
+    votes = p.votes.withColumn("period", F.lit(1))
+    return loop.fit(votes, replace(BASE, order=0), START, p.seeds_member).state
 
 
 @query("legislator_id:l period:i x1:d x2:d")

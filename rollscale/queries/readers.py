@@ -56,13 +56,15 @@ def detect_periods(p):
 
 @query(
     "period:i cells:l",
-    """SELECT 1 AS period, count(*) * 200 AS cells FROM (SELECT DISTINCT legislator_id FROM cells WHERE period = 1)""",
+    "SELECT 1 AS period, count(DISTINCT legislator_id) * 1400 AS cells FROM cells",
 )
 def single_matrix(p):
     """A folder with one matrix and no period in its name is period 1."""
-    lines = sinks.wide_matrix_lines(p.cells.where("period = 1"), 200).select("line")
+    whole = p.cells.select(
+        "legislator_id", F.lit(1).alias("period"), (F.col("rollcall_id") + 1).alias("local_rc"), "code"
+    )
     path = f"{scratch_path(p.spark, 'static')}/votes_matrix.csv"
-    lines.write.text(path)
+    sinks.wide_matrix_lines(whole, 1400).select("line").write.text(path)
     cells = matrices.read_vote_matrices(p.spark, path)
     return cells.groupBy("period").agg(F.count("*").alias("cells"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,3 +43,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def broadcast_within(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast hint only for a counted size; beyond it Catalyst shuffles."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers of every executor, once per session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_rollscale_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="rollscale-py-")) / "rollscale.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._rollscale_shipped = True
