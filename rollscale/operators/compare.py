@@ -219,18 +219,22 @@ def dim2_gauge(a: DataFrame, reference: DataFrame) -> DataFrame:
     )
 
 
-def orient_dim2(a: DataFrame, reference: DataFrame) -> DataFrame:
-    """Flip dimension 2 when at least three matches correlate negatively."""
+def _turn_dim2(rows: DataFrame, a: DataFrame, reference: DataFrame) -> DataFrame:
     gauge = dim2_gauge(a, reference).select(
         F.when((F.col("matched") >= 3) & (F.col("r") < 0), -1.0).otherwise(1.0).alias("_sign")
     )
     return (
-        with_totals(a, gauge)
+        with_totals(rows, gauge)
         .withColumn("coord2D", F.col("coord2D") * F.col("_sign"))
         .drop("_sign")
     )
 
 
+def orient_dim2(a: DataFrame, reference: DataFrame) -> DataFrame:
+    """Flip dimension 2 when at least three matches correlate negatively."""
+    return _turn_dim2(a, a, reference)
+
+
 def party_means(rows: DataFrame) -> DataFrame:
     return rows.groupBy("party").agg(
         F.count("*").alias("members"),
@@ -365,14 +369,20 @@ def map_slice(
     reference: DataFrame,
     right: list[str],
     period: int | None = None,
+    centres: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows of one map: a period or the career mean, oriented, with party and score."""
-    turned = orient_dim2(coords, reference)
-    rows = (
-        career_mean(turned)
-        if period is None
-        else turned.where(F.col("period") == period).drop("period")
-    )
+    """Rows of one map, oriented, with party and score.
+
+    The positions are one period, the career mean, or given centres such as path
+    intercepts; the sign of dimension 2 always comes from the period positions.
+    """
+    if centres is not None:
+        rows = _turn_dim2(centres, coords, reference)
+    elif period is None:
+        rows = career_mean(orient_dim2(coords, reference))
+    else:
+        turned = orient_dim2(coords, reference)
+        rows = turned.where(F.col("period") == period).drop("period")
     labelled = with_party_score(with_party(rows, roster))
     return orient_dim1(labelled, right)
 

@@ -8,6 +8,7 @@ from ..operators import audit, compare, scoring
 from ..panel import TRUE_WEIGHTS
 from .base_sql import scored_from
 from .catalog import query
+from .paths import _paths_sql
 
 MATCHED = """matched AS (SELECT legislator_id, period, a."coord1D" AS a1, a."coord2D" AS a2,
     b."coord1D" AS b1, b."coord2D" AS b2 FROM fit_a a JOIN fit_b b USING (legislator_id, period))"""
@@ -75,6 +76,7 @@ def three_way_join(p):
     """SELECT legislator_id, "coord1D", CASE WHEN legislator_id % 8 = 0 THEN 'IND'
   ELSE CAST(party AS VARCHAR) END AS party FROM (SELECT legislator_id, avg("coord1D") AS "coord1D"
   FROM fit_a GROUP BY 1) JOIN roster USING (legislator_id)""",
+    digits=11,
 )
 def party_join(p):
     known = p.roster.select(
@@ -278,6 +280,7 @@ SLICE_COLUMNS = "legislator_id:l coord1D:d coord2D:d party:s party_score:d"
     _slice_sql(
         """SELECT legislator_id, avg("coord1D") AS "coord1D", avg("coord2D") AS "coord2D" FROM turned GROUP BY 1"""
     ),
+    digits=11,
 )
 def map_slice(p):
     return compare.map_slice(p.fit_b, p.roster, p.fit_a, ["100"])
@@ -291,6 +294,27 @@ def map_slice_period(p):
     return compare.map_slice(p.fit_b, p.roster, p.fit_a, ["100"], period=4)
 
 
+@query(
+    SLICE_COLUMNS,
+    "WITH " + _paths_sql() + """,
+r AS (SELECT corr(b."coord2D", a."coord2D") AS r FROM fit_a a JOIN fit_b b USING (legislator_id, period)),
+cut AS (SELECT legislator_id, b0_1 AS "coord1D", CASE WHEN r < 0 THEN -b0_2 ELSE b0_2 END AS "coord2D" FROM paths, r),
+lab AS (SELECT cut.*, CAST(party AS VARCHAR) AS party FROM cut JOIN roster USING (legislator_id)),
+m AS (SELECT avg("coord1D") AS m FROM lab WHERE party = '100')
+SELECT legislator_id, CASE WHEN m < 0 THEN -"coord1D" ELSE "coord1D" END AS "coord1D", "coord2D", party,
+  0.0 AS party_score FROM lab, m""",
+    digits=5,
+)
+def map_slice_intercept(p):
+    """Path intercepts as the static picture of a dynamic fit."""
+    from ..operators import trajectory
+
+    centres = trajectory.least_squares_paths(p.state).select(
+        "legislator_id", F.col("b0_1").alias("coord1D"), F.col("b0_2").alias("coord2D")
+    )
+    return compare.map_slice(p.fit_b, p.roster, p.fit_a, ["100"], centres=centres)
+
+
 @query(
     "points:l max_radius:d outside:l",
     """SELECT count(*) AS points, max(r) AS max_radius, count(*) FILTER (WHERE r > 1.0 + 1e-9) AS outside
@@ -304,6 +328,7 @@ def slice_out_of_ball(p):
     "party:s members:l mean1:d mean2:d",
     """SELECT CAST(party AS VARCHAR) AS party, count(*) AS members, avg("coord1D") AS mean1, avg("coord2D") AS mean2
 FROM fit_a JOIN roster USING (legislator_id) GROUP BY party""",
+    digits=11,
 )
 def party_means(p):
     return compare.party_means(compare.with_party(p.fit_a, p.roster))
@@ -312,6 +337,7 @@ def party_means(p):
 @query(
     "legislator_id:l coord1D:d coord2D:d",
     """SELECT legislator_id, avg("coord1D") AS "coord1D", avg("coord2D") AS "coord2D" FROM fit_a GROUP BY 1""",
+    digits=11,
 )
 def career_mean(p):
     return compare.career_mean(p.fit_a)
@@ -352,6 +378,7 @@ def period_swing(p):
   FROM fit_a SEMI JOIN al USING (legislator_id) GROUP BY 1)
 SELECT * FROM (SELECT *, 'low' AS side FROM m ORDER BY mean1, legislator_id LIMIT 3)
 UNION ALL SELECT * FROM (SELECT *, 'high' FROM m ORDER BY mean1 DESC, legislator_id DESC LIMIT 3)""",
+    digits=11,
 )
 def anchors(p):
     return compare.anchors(p.fit_a, compare.always_present(p.placements))

@@ -109,6 +109,7 @@ def best_cut_point(p):
     CLASSIFIED
     + """ SELECT rollcall_id, side, error, count(*) AS members, avg(x1) AS c1, avg(x2) AS c2
 FROM classed WHERE error >= 0 GROUP BY 1, 2, 3""",
+    digits=11,
 )
 def cut_centroids(p):
     return cuts.centroids(classified(p))
@@ -121,6 +122,7 @@ def cut_centroids(p):
   coalesce(avg(proj) FILTER (WHERE NOT vote), 0.0) AS mean_no,
   count(*) FILTER (WHERE vote) AS n_yes, count(*) FILTER (WHERE NOT vote) AS n_no
 FROM pts GROUP BY 1""",
+    digits=11,
 )
 def cut_projection_means(p):
     return cuts.projection_means(points(p))

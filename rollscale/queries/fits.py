@@ -11,6 +11,7 @@ from ..operators import compare, screens, seeds, trajectory
 from ..panel import TRUE_WEIGHTS
 from ..plans import blocks, loop, scalars
 from ..plans.layout import lay_out
+from .base_sql import log_phi
 from .catalog import query
 
 START = Weights(w1=1.0, w2=0.45, beta=5.5)
@@ -64,10 +65,28 @@ def _star(p):
     return p.star.select("vote", "x1", "x2", "z1", "z2", "d1", "d2")
 
 
+@query("legislator_id:l inside:i")
+def perturbed_starts(p):
+    """Second start for stability runs: noise added, clamped to the square."""
+    from ..functions.votes import perturbed_start
+
+    moved = perturbed_start(F.col("x1"), 17)
+    return p.state.groupBy("legislator_id").agg(F.avg("x1").alias("x1")).select(
+        "legislator_id", moved.between(-0.99, 0.99).alias("inside")
+    )
+
+
 SCALAR_COLUMNS = "name:s initial:d value:d ll_before:d ll_after:d accepted:i at_bound:i"
 
 
-@query("candidate:d log_likelihood:d", digits=4)
+@query(
+    "candidate:d log_likelihood:d",
+    f"""SELECT candidate, sum({log_phi('zc')}) AS log_likelihood
+FROM (SELECT candidate, greatest(-5.0, least(5.0, (e_chosen - e_other) * candidate)) AS zc
+  FROM scored, (SELECT 4.0::DOUBLE + i / 4.0 AS candidate FROM range(0, 17) AS r(i)))
+GROUP BY candidate""",
+    digits=4,
+)
 def scalar_lattice(p):
     values = [4.0 + i / 4 for i in range(17)]
     return scalars.candidate_likelihoods(_star(p), TRUE_WEIGHTS, "beta", values)
