@@ -77,30 +77,91 @@ class ItemRows:
     def candidates(self, thetas, valid):
         """thetas: candidates x groups x params -> candidates x groups.
 
-        The rows of the asked groups are picked once; parameters that all candidates
-        share are placed next to the rows once.
+        Equally spaced candidates that move only the spread or only the midpoint are
+        stepped by multiplication; any other candidate is evaluated on its own.
         """
         out = np.full(valid.shape, -np.inf)
         asked = valid.any(axis=0)
-        rows, number = self._rows(asked)
         if not asked.any():
             return out
-        w, dims = self.w, self.w.dims
-        sign = self.sign[rows] * w.beta
-        same = (thetas == thetas[0]).all(axis=(0, 1))
-        x = [c[rows] for c in self.x]
-        rest = [x[k] - thetas[0, :, k].take(number) for k in range(dims)]
-        spread = [thetas[0, :, dims + k].take(number) for k in range(dims)]
+        stepped = np.zeros(valid.shape, dtype=bool)
+        if len(thetas) > 2:
+            even = thetas[0] + np.arange(len(thetas))[:, None, None] * (thetas[1] - thetas[0])
+            stepped = valid & (np.abs(thetas - even).max(axis=2) <= 1e-12)
+            moves = ((thetas[1] - thetas[0]) != 0).any(axis=0)
+            mid, spread = moves[: self.w.dims].any(), moves[self.w.dims :].any()
+            if mid == spread or not self._step(thetas, stepped, asked, spread, out):
+                stepped[:] = False
         for c in range(len(thetas)):
-            for k in range(dims):
-                if c and not same[k]:
-                    rest[k] = x[k] - thetas[c, :, k].take(number)
-                if c and not same[dims + k]:
-                    spread[k] = thetas[c, :, dims + k].take(number)
-            ll = sums(log_phi_np(signed_gap(rest, spread, sign, w)), number, self.groups)
-            out[c] = np.where(valid[c], ll, -np.inf)
+            alone = valid[c] & ~stepped[c]
+            if alone.any():
+                rows, number = self._rows(alone)
+                ll = sums(self._direct(thetas[c], rows, number), number, self.groups)
+                out[c] = np.where(alone, ll, out[c])
         return out
 
+    def _parts(self, theta, rows, number):
+        dims = self.w.dims
+        rest = [self.x[k][rows] - theta[:, k].take(number) for k in range(dims)]
+        spread = [theta[:, dims + k].take(number) for k in range(dims)]
+        return rest, spread
+
+    def _direct(self, theta, rows, number):
+        rest, spread = self._parts(theta, rows, number)
+        return log_phi_np(signed_gap(rest, spread, self.sign[rows] * self.w.beta, self.w))
+
+    def _step(self, thetas, stepped, asked, spread_moves, out) -> bool:
+        """Fill `out` along the line; False when the exponents could overflow.
+
+        zs = sign beta exp(-A) (exp(-B) - exp(B)).  Per candidate, a move of the spread
+        multiplies exp(B) by a factor per row and exp(-A) by one per group; a move of
+        the midpoint does it the other way round.
+        """
+        w, dims = self.w, self.w.dims
+        rows, number = self._rows(asked)
+        rest, spread = self._parts(thetas[0], rows, number)
+        delta = thetas[1] - thetas[0]
+        moved = slice(dims, 2 * dims) if spread_moves else slice(0, dims)
+        shift = [delta[:, moved][:, k].take(number) for k in range(dims)]
+        w2 = w.squared()
+        tilt = sum(2.0 * w2[k] * rest[k] * spread[k] for k in range(dims))
+        if spread_moves:
+            near = sum(w2[k] * rest[k] ** 2 for k in range(dims))
+            turn = sum(2.0 * w2[k] * rest[k] * shift[k] for k in range(dims))
+        else:
+            near = sum(w2[k] * (rest[k] ** 2 + spread[k] ** 2) for k in range(dims))
+            turn = sum(2.0 * w2[k] * rest[k] * shift[k] for k in range(dims))
+        if np.abs(tilt).max() + len(thetas) * np.abs(turn).max() > 300.0:
+            return False
+        base = np.exp(-near) * (self.sign[rows] * w.beta)
+        lift, factor = np.exp(tilt), np.exp(turn)
+        weights = np.array(w2[:dims])
+        for c in range(len(thetas)):
+            if c:
+                if spread_moves:
+                    lift *= factor
+                else:
+                    base *= factor
+            if not stepped[c].any():
+                continue
+            if spread_moves:
+                level = np.exp(-(weights * thetas[c][:, moved] ** 2).sum(axis=1))
+                gap = 1.0 / lift
+                gap -= lift
+            else:
+                level = np.exp(-(c * c) * (weights * delta[:, moved] ** 2).sum(axis=1))
+                slide = np.exp(
+                    -2.0 * c * (weights * delta[:, moved] * thetas[0][:, dims:]).sum(axis=1)
+                ).take(number)
+                slide *= lift
+                gap = 1.0 / slide
+                gap -= slide
+            gap *= base
+            gap *= level.take(number)
+            ll = sums(log_phi_np(gap), number, self.groups)
+            out[c] = np.where(stepped[c], ll, out[c])
+        return True
+
     def derivatives(self, theta, active, information=False):
         """Log-likelihood, unnormalised gradient terms and their outer products."""
         w, (rows, number) = self.w, self._rows(active)
@@ -133,6 +194,7 @@ class ActorRows:
     _rows = ItemRows._rows
 
     def candidates(self, thetas, valid):
+        """As for roll calls; only the path terms that move are added again."""
         out = np.full(valid.shape, -np.inf)
         asked = valid.any(axis=0)
         if not asked.any():

@@ -88,7 +88,7 @@ def merge_segments(traces: DataFrame) -> DataFrame:
         "segment", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_offset")
     )
     return (
-        traces.join(F.broadcast(offsets), "segment")
+        traces.join(offsets, "segment")
         .withColumn("iteration", F.col("iteration") + F.col("_offset"))
         .drop("_offset")
     )

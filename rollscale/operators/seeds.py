@@ -79,9 +79,7 @@ def bill_ids(starts: DataFrame, periods: DataFrame) -> DataFrame:
 
     periods: period, n_rollcalls, rc_offset.
     """
-    joined = starts.join(
-        F.broadcast(periods), starts["session"] == periods["period"]
-    )
+    joined = starts.join(periods, starts["session"] == periods["period"])
     return joined.where(
         (F.col("ID") >= 1) & (F.col("ID") <= F.col("n_rollcalls"))
     ).withColumn("rollcall_id", F.col("rc_offset") + F.col("ID") - 1)

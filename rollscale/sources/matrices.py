@@ -102,7 +102,7 @@ def global_ids(cells: DataFrame) -> DataFrame:
 
     widths = cells.groupBy("period").agg(F.max("local_rc").cast("bigint").alias("n"))
     offsets = running(widths, [], ["period"], {"rc_offset": Running(F.col("n"))}).drop("n")
-    return cells.join(F.broadcast(offsets), "period").withColumn(
+    return cells.join(offsets, "period").withColumn(
         "rollcall_id", F.col("rc_offset") + F.col("local_rc") - 1
     )
 
