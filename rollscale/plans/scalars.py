@@ -148,7 +148,7 @@ def walk(star: DataFrame, w: Weights, name: str) -> dict:
     }
 
 
-def bounded(star: DataFrame, w: Weights, name: str, scope: str = "local", passes: int = 3) -> dict:
+def bounded(star: DataFrame, w: Weights, name: str, scope: str = "local", passes: int = 2) -> dict:
     """Best value inside the box by nested grids; kept only if the likelihood holds."""
     low, high = BOUNDS[name]
     start = min(max(getattr(w, name), low), high)
@@ -156,7 +156,7 @@ def bounded(star: DataFrame, w: Weights, name: str, scope: str = "local", passes
         low, high = max(low, start - LOCAL_RADIUS[name]), min(high, start + LOCAL_RADIUS[name])
     ask = Objective(star, w, name)
     a, b = low, high
-    points = 16
+    points = 32
     value = start
     for _ in range(passes):
         grid = [a + (b - a) * i / points for i in range(points + 1)]
