@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Limits, Weights
-from ..functions import probit, spatial
+from ..functions import spatial
+
+# Candidates of one job; bounds the parameter table next to the votes.
+CANDIDATES = 32
 
 
 class _SparkRows:
@@ -33,7 +36,7 @@ class _SparkRows:
         ]
         spark = self.rows.sparkSession
         schema = f"{self.key} bigint, candidate int, theta array<double>"
-        # Bounded by hot_batch x candidates, whatever the data size.
+        # At most hot_batch x CANDIDATES rows, whatever the data size.
         return F.broadcast(spark.createDataFrame(records, schema))
 
     def _placed(self, params: DataFrame) -> DataFrame:
@@ -41,9 +44,14 @@ class _SparkRows:
 
     def candidates(self, thetas, valid):
         out = np.full((len(thetas), len(self.keys)), -np.inf)
-        scored = spatial.scored(self._placed(self._params(thetas, valid)), self.w)
-        for r in scored.groupBy(self.key, "candidate").agg(F.sum("ll").alias("ll")).collect():
-            out[r["candidate"], self.place[r[self.key]]] = r["ll"]
+        for first in range(0, len(thetas), CANDIDATES):
+            part = slice(first, first + CANDIDATES)
+            if not valid[part].any():
+                continue
+            placed = self._placed(self._params(thetas[part], valid[part]))
+            sums = spatial.scored(placed, self.w).groupBy(self.key, "candidate")
+            for r in sums.agg(F.sum("ll").alias("ll")).collect():
+                out[first + r["candidate"], self.place[r[self.key]]] = r["ll"]
         return out
 
     def derivatives(self, theta, active, information=False):

@@ -204,6 +204,13 @@ def fit(
     """Run the alternating fit on long votes (legislator_id, period, rollcall_id, vote)."""
     began = time.perf_counter()
     data = _Data(votes, cfg)
+    try:
+        return _alternate(data, cfg, weights, member_seeds, period_seeds, given_bills, began)
+    finally:
+        data.release()
+
+
+def _alternate(data, cfg, weights, member_seeds, period_seeds, given_bills, began) -> Fit:
     phases = {"layout": time.perf_counter() - began, "starts": 0.0}
     phases |= {"w2": 0.0, "beta": 0.0, "items": 0.0, "actors": 0.0, "likelihood": 0.0}
     w = weights
@@ -305,7 +312,6 @@ def fit(
 
     if not classification:
         classification = overall
-    data.release()
     return Fit(
         w,
         cfg,

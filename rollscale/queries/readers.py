@@ -440,3 +440,15 @@ FROM trace t LEFT JOIN ch ON ch.iteration = t.iteration LEFT JOIN bc ON bc.itera
 def export_metrics(p):
     table = sinks.metrics(p.trace, _coord_changes(p), _bill_changes(p))
     return round_trip(p, table, "metrics")
+
+
+@query(
+    "legislator_id:l period:i line:s",
+    """WITH r AS (SELECT s_suppkey + 1 AS legislator_id, p.period FROM supplier, range(1, 8) AS p(period))
+SELECT r.legislator_id, r.period, string_agg(CAST(coalesce(c.code, 9) AS VARCHAR), '' ORDER BY k.slot) AS line
+FROM r, range(1, 201) AS k(slot) LEFT JOIN cells c ON c.legislator_id = r.legislator_id
+  AND c.period = r.period AND c.local_rc = k.slot GROUP BY 1, 2""",
+)
+def padded_panel(p):
+    roster = p.table("supplier").select((F.col("s_suppkey") + 1).alias("legislator_id"))
+    return sinks.padded_rows(p.cells, roster, 7, 200)

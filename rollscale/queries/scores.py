@@ -39,6 +39,7 @@ def probit_scores(p):
     f"{KEYS} ll:d cdf:d density_ratio:d gauss_ratio:d",
     f"""SELECT *, {phi('zc')} AS cdf, gauss_ratio / sqrt(2.0 * pi()) AS density_ratio
 FROM (SELECT *, exp(-zs * zs / 2.0) / {phi('zc')} AS gauss_ratio FROM scored)""",
+    name="log_phi",
 )
 def log_phi_value(p):
     return p.scored.withColumns(
@@ -298,6 +299,31 @@ def legislator_stats(p):
     return records.member_records(p.scored, _after(p))
 
 
+@query(
+    "legislator_id:l period:i x1:d x2:d se1:d se2:d ll_after:d errors_after:l votes:l gmp_after:d",
+    _after_sql()
+    + f""", k AS (SELECT legislator_id, period, x1, x2,
+    row_number() OVER (PARTITION BY legislator_id ORDER BY period) AS k,
+    count(*) OVER (PARTITION BY legislator_id) AS n FROM state),
+t AS (SELECT legislator_id, period, x1, x2,
+  CASE WHEN n > 1 THEN (k - 1) * (2.0::DOUBLE / (n - 1)) - 1.0 ELSE -1.0 END AS t FROM k),
+v AS (SELECT *, sqrt(abs(i11 / 1000 + t * t * (i22 / 1000) + t * 2.0 * (i12 / 1000))) AS se1,
+    sqrt(abs(i22 / 1000 + t * t * (i11 / 1000) - t * 2.0 * (i12 / 1000))) AS se2
+  FROM t JOIN ({INFO}) USING (legislator_id))
+SELECT legislator_id, period, x1, x2, se1, se2, ll AS ll_after, e AS errors_after, b.n AS votes,
+  exp(ll / b.n) AS gmp_after
+FROM (SELECT legislator_id, period, x1, x2, se1, se2 FROM v) v JOIN (SELECT legislator_id, period,
+  sum(ll) AS ll, count(*) AS n, count(*) FILTER (WHERE gross_error) AS e FROM after_scored GROUP BY 1, 2) b
+USING (legislator_id, period)""",
+    digits=5,
+)
+def legislator_output(p):
+    """The output record of a placement: position, error, fit after the phase."""
+    return records.member_output(
+        records.member_records(p.scored, _after(p)), p.state, position_se(p)
+    )
+
+
 @query(
     "rollcall_id:l yea:l nay:l correct_before:l correct_after:l gmp_before:d gmp_after:d "
     "z1_before:d z1_after:d d1_before:d d1_after:d",

@@ -137,6 +137,28 @@ def wide_matrix_lines(cells: DataFrame, width: int, prefix: str = "rc") -> DataF
     return heads.unionByName(rows)
 
 
+def padded_rows(cells: DataFrame, roster: DataFrame, periods: int, width: int) -> DataFrame:
+    """Full roster in every period, one row per member: a digit per roll call, absent = 9.
+
+    The padding lives inside the row, so the members never multiply with the roll calls.
+    """
+    codes = cells.groupBy("legislator_id", "period").agg(
+        F.map_from_entries(F.collect_list(F.struct("local_rc", "code"))).alias("codes")
+    )
+    every = roster.select(
+        "legislator_id", F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("period")
+    )
+
+    def digit(i):
+        code = F.try_element_at("codes", i.cast("bigint"))
+        return F.coalesce(code, F.lit(9)).cast("string")
+
+    slots = F.sequence(F.lit(1), F.lit(width))
+    return every.join(codes, ["legislator_id", "period"], "left").select(
+        "legislator_id", "period", F.array_join(F.transform(slots, digit), "").alias("line")
+    )
+
+
 def report_json(*tables: tuple[str, DataFrame]) -> DataFrame:
     """One JSON document per one-row table, for an audit report."""
     out = None

@@ -68,6 +68,59 @@ def test_planes_do_not_depend_on_row_order(small):
     )
 
 
+def brute_plane(pdf, turns=25):
+    """One roll call turned and re-cut member by member, eigenvectors from numpy."""
+    pdf = pdf.sort_values("legislator_id")
+    x = pdf[["x1", "x2"]].to_numpy()
+    vote = [None if v is None or v != v else bool(v) for v in pdf["vote"]]
+    normal, best = np.array([1.0, 0.0]), None
+    for turn in range(turns):
+        proj = x @ normal
+        order = sorted(range(len(x)), key=lambda i: (proj[i], i))
+        options = []
+        for polarity, low in ((0, True), (1, False)):
+            found = []
+            for j, i in enumerate(order):
+                cut = proj[i] - 0.001 if j == 0 else (proj[i] + proj[order[j - 1]]) / 2
+                errors = sum(vote[k] is not None and vote[k] != low for k in order[:j])
+                errors += sum(vote[k] is not None and vote[k] == low for k in order[j:])
+                found.append((errors, abs(cut), j, cut, low))
+            options.append(min(found))
+        errors, _, _, cut, low = options[0] if options[0][0] <= options[1][0] else options[1]
+        if best is None or errors <= best[0]:
+            best = (errors, turn, cut)
+        if errors == 0:
+            break
+        cloud = []
+        for i in range(len(x)):
+            side = low if proj[i] < cut else not low
+            wrong = vote[i] is not None and vote[i] != side
+            cloud.append(x[i] if wrong else x[i] + (cut - proj[i]) * normal)
+        normal = np.linalg.eigh(np.cov(np.array(cloud).T))[1][:, 0]
+        if normal[0] < 0 or (normal[0] == 0 and normal[1] < 0):
+            normal = -normal
+    return best
+
+
+def test_planes_against_brute_force(spark):
+    rng = np.random.default_rng(23)
+    rows, state = [], []
+    x = rng.uniform(-0.8, 0.8, (25, 2))
+    for m in range(25):
+        state.append((m + 1, 1, float(x[m, 0]), float(x[m, 1])))
+        for rc in range(6):
+            n = np.array([np.cos(rc), np.sin(rc)])
+            noisy = x[m] @ n + rng.normal(0, 0.25) < 0.1
+            rows.append((m + 1, 1, rc, None if rng.random() < 0.15 else bool(noisy)))
+    votes = spark.createDataFrame(rows, "legislator_id bigint, period int, rollcall_id bigint, vote boolean")
+    at = spark.createDataFrame(state, "legislator_id bigint, period int, x1 double, x2 double")
+    pdf = votes.join(at, ["legislator_id", "period"]).toPandas()
+    for r in planes.cutting_planes(votes, at).collect():
+        errors, turn, cut = brute_plane(pdf[pdf["rollcall_id"] == r["rollcall_id"]])
+        assert (r["errors"], r["turn"]) == (errors, turn)
+        assert r["cut"] == pytest.approx(cut, abs=1e-9)
+
+
 @pytest.mark.parametrize("solver", ["line", "constrained"])
 def test_oversized_groups_get_the_same_fit(small, solver):
     votes, state, bills = small
