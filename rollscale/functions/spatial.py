@@ -1,10 +1,9 @@
-"""Spatial utility, probit argument and derivative terms as Column algebra."""
+"""Spatial utility, probit argument and derivative terms as column expressions."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..config import Weights
 from . import probit
@@ -13,51 +12,39 @@ from . import probit
 GRAD_SCALE = -2.0 / float(np.sqrt(2.0 * np.pi))
 
 
-def yes_distance(x: Column, z: Column, d: Column) -> Column:
-    return x - z + d
-
-
-def no_distance(x: Column, z: Column, d: Column) -> Column:
-    return x - z - d
-
-
 def with_distances(df: DataFrame) -> DataFrame:
     """yes1, no1, yes2, no2: signed distance to the Yes and No point per dimension."""
-    out = {}
-    for k in ("1", "2"):
-        x, z, d = F.col(f"x{k}"), F.col(f"z{k}"), F.col(f"d{k}")
-        out[f"yes{k}"] = yes_distance(x, z, d)
-        out[f"no{k}"] = no_distance(x, z, d)
-    return df.withColumns(out)
+    return df.selectExpr(
+        "*",
+        *[
+            text
+            for k in (1, 2)
+            for text in (f"x{k} - z{k} + d{k} as yes{k}", f"x{k} - z{k} - d{k} as no{k}")
+        ],
+    )
 
 
 def with_utilities(df: DataFrame, w: Weights) -> DataFrame:
     w1, w2 = w.squared()
 
-    def utility(side: str) -> Column:
-        first = F.col(f"{side}1")
-        second = F.col(f"{side}2")
-        return -(first * first * w1 + second * second * w2)
+    def utility(side: str) -> str:
+        return f"-({side}1 * {side}1 * {w1!r}D + {side}2 * {side}2 * {w2!r}D)"
 
     yes, no = utility("yes"), utility("no")
-    return df.withColumns(
-        {
-            "u_chosen": F.when(F.col("vote"), yes).otherwise(no),
-            "u_other": F.when(F.col("vote"), no).otherwise(yes),
-        }
+    return df.selectExpr(
+        "*", f"if(vote, {yes}, {no}) as u_chosen", f"if(vote, {no}, {yes}) as u_other"
     )
 
 
 def with_scores(df: DataFrame, w: Weights) -> DataFrame:
     """zs, log-likelihood contribution and the classification flags."""
-    df = df.withColumns({"e_chosen": F.exp("u_chosen"), "e_other": F.exp("u_other")})
-    df = df.withColumn("zs", (F.col("e_chosen") - F.col("e_other")) * w.beta)
-    return probit.with_log_phi(df, "zs", "ll").withColumns(
-        {
-            "correct": F.abs(F.col("u_chosen")) <= F.abs(F.col("u_other")),
-            "gross_error": F.col("zs") < 0,
-            "positive": F.col("zs") > 0,
-        }
+    df = df.selectExpr("*", "exp(u_chosen) as e_chosen", "exp(u_other) as e_other")
+    df = df.selectExpr("*", f"(e_chosen - e_other) * {w.beta!r}D as zs")
+    return probit.with_log_phi(df, "zs", "ll").selectExpr(
+        "*",
+        "abs(u_chosen) <= abs(u_other) as correct",
+        "zs < 0 as gross_error",
+        "zs > 0 as positive",
     )
 
 
@@ -71,15 +58,19 @@ def with_derivatives(df: DataFrame, w: Weights) -> DataFrame:
     The true gradient is GRAD_SCALE * beta times each term; the midpoint term is
     the actor term with the opposite sign.
     """
-    df = probit.with_gauss_over_phi(df, "zs", "ratio")
-    sign = F.when(F.col("vote"), 1.0).otherwise(-1.0)
-    e_yes = F.when(F.col("vote"), F.col("e_chosen")).otherwise(F.col("e_other"))
-    e_no = F.when(F.col("vote"), F.col("e_other")).otherwise(F.col("e_chosen"))
-    terms = {}
-    for k, w2 in zip(("1", "2"), w.squared()):
-        a = F.col(f"yes{k}") * e_yes
-        b = F.col(f"no{k}") * e_no
-        terms[f"gx{k}"] = sign * F.col("ratio") * (a - b) * w2
-        terms[f"gz{k}"] = sign * F.col("ratio") * (b - a) * w2
-        terms[f"gd{k}"] = sign * F.col("ratio") * (a + b) * w2
-    return df.withColumns(terms)
+    names = df.columns
+    df = probit.with_gauss_over_phi(df, "zs", "ratio").selectExpr(
+        "*",
+        "if(vote, ratio, -ratio) as _pull",
+        "if(vote, e_chosen, e_other) as _yes",
+        "if(vote, e_other, e_chosen) as _no",
+    )
+    terms = []
+    for k, w2 in zip((1, 2), w.squared()):
+        a, b = f"yes{k} * _yes", f"no{k} * _no"
+        terms += [
+            f"_pull * ({a} - {b}) * {w2!r}D as gx{k}",
+            f"_pull * ({b} - {a}) * {w2!r}D as gz{k}",
+            f"_pull * ({a} + {b}) * {w2!r}D as gd{k}",
+        ]
+    return df.selectExpr(*names, "ratio", *terms)

@@ -56,60 +56,43 @@ class Panel:
     @cached_property
     def cells(self) -> DataFrame:
         """legislator_id, period, rollcall_id, local_rc, code: one row per cell."""
-        line = self.table("lineitem").select(
-            (F.col("l_suppkey") + 1).alias("legislator_id"),
-            (F.year("l_shipdate") - 1994).cast("int").alias("period"),
-            (F.col("l_partkey") % ITEMS_PER_PERIOD).alias("slot"),
+        line = self.table("lineitem").selectExpr(
+            "l_suppkey + 1 as legislator_id",
+            "cast(year(l_shipdate) - 1994 as int) as period",
+            f"l_partkey % {ITEMS_PER_PERIOD} as slot",
             # (order, line, flag) in one number: a plain hash aggregate keeps the first.
-            (
-                (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 4
-                + F.when(F.col("l_returnflag") == "A", 0)
-                .when(F.col("l_returnflag") == "N", 1)
-                .otherwise(2)
-            ).alias("record"),
+            "(l_orderkey * 8 + l_linenumber) * 4"
+            " + case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as record",
         )
-        first = (
-            line.withColumn(
-                "rollcall_id", (F.col("period") - 1) * ITEMS_PER_PERIOD + F.col("slot")
-            )
-            .groupBy("legislator_id", "period", "rollcall_id")
-            .agg(F.min("record").alias("r"))
-            .withColumns(
-                {
-                    "o": F.shiftright("r", 5),
-                    "ln": F.shiftright("r", 2) % 8,
-                    "flag": F.col("r") % 4,
-                }
-            )
+        first = line.groupBy("legislator_id", "period", "slot").agg(F.min("record").alias("r"))
+        fields = first.selectExpr(
+            "legislator_id",
+            "period",
+            f"(period - 1) * {ITEMS_PER_PERIOD} + slot as rollcall_id",
+            "slot + 1 as local_rc",
+            "legislator_id - 1 as s",
+            "shiftright(r, 5) as o",
+            "shiftright(r, 2) % 8 as ln",
+            "r % 4 = 1 as open_flag",
         )
-        s = F.col("legislator_id") - 1
-        rc = F.col("rollcall_id")
         t1, t2 = true_position(F.col("legislator_id"), F.col("period"))
-        n1, n2, cut = true_plane(rc)
-        last_term = F.when(s % 4 == 0, 4).when(s % 4 == 1, 6).otherwise(7)
-        serving = (
-            (F.col("period") >= s % 3 + 1)
-            & (F.col("period") <= last_term)
-            & ~((s % 5 == 0) & (F.col("period") == 4))
-        )
-        noise = F.when(rc % 10 == 3, False).otherwise(
-            (F.col("o") * 31 + F.col("ln") * 7) % 10 == 0
-        )
-        yea = (n1 * t1 + n2 * t2 < cut) != noise
-        k = F.col("ln")
-        absent = F.when(k % 4 == 0, 0).when(k % 4 == 1, 7).when(k % 4 == 2, 8).otherwise(9)
-        code = (
-            F.when(~serving | (s % 25 == 24), 9)
-            .when((F.col("flag") == 1) & (F.col("o") % 3 == 0), absent)
-            .when(yea, k % 3 + 1)
-            .otherwise(k % 3 + 4)
+        n1, n2, cut = true_plane(F.col("rollcall_id"))
+        placed = fields.withColumn("low", n1 * t1 + n2 * t2 < cut).selectExpr(
+            "*",
+            "period >= s % 3 + 1"
+            " and period <= case s % 4 when 0 then 4 when 1 then 6 else 7 end"
+            " and not (s % 5 = 0 and period = 4) and s % 25 <> 24 as serving",
+            "if(rollcall_id % 10 = 3, false, (o * 31 + ln * 7) % 10 = 0) as noise",
         )
-        cells = first.select(
+        cells = placed.selectExpr(
             "legislator_id",
             "period",
             "rollcall_id",
-            (rc - (F.col("period") - 1) * ITEMS_PER_PERIOD + 1).alias("local_rc"),
-            code.cast("int").alias("code"),
+            "local_rc",
+            "cast(case when not serving then 9"
+            " when open_flag and o % 3 = 0"
+            " then case ln % 4 when 0 then 0 when 1 then 7 when 2 then 8 else 9 end"
+            " when low <> noise then ln % 3 + 1 else ln % 3 + 4 end as int) as code",
         )
         # The votes table is derived once per session and folder: equal plans share
         # the cached copy, which spills to disk and is rebuilt where it gets lost.

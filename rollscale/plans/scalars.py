@@ -23,29 +23,28 @@ def candidate_likelihoods(star: DataFrame, w: Weights, name: str, values: list[f
     Each row meets all candidates inside the task and leaves as partial sums, one
     row per candidate and task.
     """
-    spread = F.explode(F.array(*[F.lit(float(v)) for v in values])).alias("candidate")
+    spread = F.explode(F.lit([float(v) for v in values])).alias("candidate")
+    rows = spatial.with_distances(star)
     if name == "beta":
-        diff = spatial.with_utilities(spatial.with_distances(star), w).select(
-            (F.exp("u_chosen") - F.exp("u_other")).alias("diff")
-        )
-        scored = diff.select("diff", spread).select(
-            "candidate", (F.col("diff") * F.col("candidate")).alias("zs")
-        )
+        gap = spatial.with_utilities(rows, w).selectExpr("exp(u_chosen) - exp(u_other) as gap")
+        scored = gap.select("gap", spread).selectExpr("candidate", "gap * candidate as zs")
     else:
         w1 = w.squared()[0]
-        d = spatial.with_distances(star)
-        sides = {}
-        for side in ("yes", "no"):
-            sides[f"{side}_fix"] = F.col(f"{side}1") * F.col(f"{side}1") * w1
-            sides[f"{side}_sq"] = F.col(f"{side}2") * F.col(f"{side}2")
-        d = d.withColumns(sides).select("vote", *sides, spread)
-        w2 = F.col("candidate") * F.col("candidate")
-
-        def e(side):
-            return F.exp(-(F.col(f"{side}_fix") + F.col(f"{side}_sq") * w2))
-
-        sign = F.when(F.col("vote"), w.beta).otherwise(-w.beta)
-        scored = d.select("candidate", ((e("yes") - e("no")) * sign).alias("zs"))
+        sides = [
+            text
+            for side in ("yes", "no")
+            for text in (
+                f"{side}1 * {side}1 * {w1!r}D as {side}_fix",
+                f"{side}2 * {side}2 as {side}_sq",
+            )
+        ]
+        gap = "exp(-(yes_fix + yes_sq * w2)) - exp(-(no_fix + no_sq * w2))"
+        scored = (
+            rows.selectExpr("vote", *sides)
+            .select("*", spread)
+            .selectExpr("*", "candidate * candidate as w2")
+            .selectExpr("candidate", f"({gap}) * if(vote, {w.beta!r}D, {-w.beta!r}D) as zs")
+        )
     return (
         probit.with_log_phi(scored, "zs", "ll")
         .groupBy("candidate")
