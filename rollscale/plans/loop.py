@@ -130,18 +130,23 @@ def cut_bills(data: _Data, state: DataFrame, bills: DataFrame, w: Weights) -> Da
     )
 
 
-def _likelihood(data: _Data, state, bills, w) -> dict:
-    scored = scoring.score(data.star(state, bills), w)
-    return scoring.log_likelihood(scored).first().asDict()
+def _joined(data: _Data, state: DataFrame, bills: DataFrame) -> DataFrame:
+    """Votes with their parameters, for one likelihood and the scalar scans after it.
 
-
-def _fit_scalars(data, state, bills, w, cfg, cycle, phases) -> tuple[Weights, list[dict]]:
-    """w2, then beta.  The joined votes are kept for the scans of this cycle only
-    while they are few; otherwise every scan repeats the broadcast joins."""
+    They are kept only while they are few; otherwise every scan repeats the joins.
+    """
     star = data.star(state, bills).select("vote", "x1", "x2", "z1", "z2", "d1", "d2")
-    keep = data.n_valid <= cfg.limits.cached_star_rows
-    if keep:
+    if data.n_valid <= data.cfg.limits.cached_star_rows:
         star = star.persist(StorageLevel.MEMORY_AND_DISK)
+    return star
+
+
+def _likelihood(star: DataFrame, w: Weights) -> dict:
+    return scoring.log_likelihood(scoring.score(star, w)).first().asDict()
+
+
+def _fit_scalars(star, w, cfg, cycle, phases) -> tuple[Weights, list[dict]]:
+    """w2, then beta."""
     rows = []
     for name in ("w2", "beta"):
         if name == "w2" and w.dims < 2:
@@ -154,8 +159,6 @@ def _fit_scalars(data, state, bills, w, cfg, cycle, phases) -> tuple[Weights, li
         w = w.with_value(name, found["value"])
         rows.append({"iteration": cycle, **found})
         phases[name] += time.perf_counter() - tick
-    if keep:
-        star.unpersist()
     return w, rows
 
 
@@ -224,7 +227,7 @@ def _alternate(data, cfg, weights, member_seeds, period_seeds, given_bills, bega
     )
     bills = cut_lineage(_flat(start_bills(data.margins, given_bills, cfg), w.dims))
     grid = cut_lineage(trajectory.served_grid(data.placements))
-    paths = attempts = None
+    paths = attempts = star = None
     trace: list[dict] = []
     scalar_rows: list[dict] = []
     classification: dict = {}
@@ -234,8 +237,12 @@ def _alternate(data, cfg, weights, member_seeds, period_seeds, given_bills, bega
     for cycle in range(1, cfg.cycles + 1):
         budget = precision.for_cycle(cycle, 1, cfg.cycles, cfg.adaptive)
         if not cfg.fix_globals:
-            w, rows = _fit_scalars(data, state, bills, w, cfg, cycle, phases)
+            if star is None:
+                star = _joined(data, state, bills)
+            w, rows = _fit_scalars(star, w, cfg, cycle, phases)
             scalar_rows += rows
+        if star is not None:
+            star.unpersist()
         if not cfg.fix_items:
             tick = time.perf_counter()
             if cycle == 1 and cfg.cut_starts:
@@ -256,7 +263,7 @@ def _alternate(data, cfg, weights, member_seeds, period_seeds, given_bills, bega
             phases["items"] += time.perf_counter() - tick
         if cycle == cfg.cycles and not cfg.fix_items:
             # The reported classification is the one of the last roll-call phase.
-            classification = _likelihood(data, state, bills, w)
+            classification = _likelihood(data.star(state, bills), w)
         if not cfg.fix_actors:
             tick = time.perf_counter()
             starts = trajectory.start_paths(state, cfg.order, grid)
@@ -280,7 +287,8 @@ def _alternate(data, cfg, weights, member_seeds, period_seeds, given_bills, bega
             attempts = rows if attempts is None else attempts.unionByName(rows)
             phases["actors"] += time.perf_counter() - tick
         tick = time.perf_counter()
-        overall = _likelihood(data, state, bills, w)
+        star = _joined(data, state, bills)
+        overall = _likelihood(star, w)
         phases["likelihood"] += time.perf_counter() - tick
         ll = overall["log_likelihood"]
         gain = None if previous is None else ll - previous
@@ -312,6 +320,7 @@ def _alternate(data, cfg, weights, member_seeds, period_seeds, given_bills, bega
 
     if not classification:
         classification = overall
+    star.unpersist()
     return Fit(
         w,
         cfg,
