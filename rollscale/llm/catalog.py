@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from rollscale.llm import bytepair, exact, lines, packing
+from rollscale.llm import bytepair, classifier, exact, lines, packing, rules
 
 MODULES = {
     "op1_power_of_two_packing": packing,
     "op4_byte_bpe": bytepair,
     "op5_line_dedup": lines,
+    "op7_weak_supervision_rules": rules,
+    "op8_ftrl_quality": classifier,
     "op10_exact_dedup": exact,
 }
 
