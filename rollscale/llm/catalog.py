@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rollscale.llm import bytepair, classifier, exact, lines, packing, rules
+from rollscale.llm import bytepair, classifier, exact, lines, packing, rules, substrings
 
 MODULES = {
     "op1_power_of_two_packing": packing,
@@ -10,6 +10,7 @@ MODULES = {
     "op5_line_dedup": lines,
     "op7_weak_supervision_rules": rules,
     "op8_ftrl_quality": classifier,
+    "op9_block_anchor_repeats": substrings,
     "op10_exact_dedup": exact,
 }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -62,8 +63,8 @@ class Grams:
     def __init__(self):
         self.memo = Memo(MEMO)
 
-    def _word(self, word: bytes) -> tuple[int, int]:
-        return _hash(word), _hash(b"\0" + _shape(word))
+    def _word(self, word: bytes) -> bytes:
+        return struct.pack("<QQ", _hash(word), _hash(b"\0" + _shape(word)))
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Feature numbers, and values that make a unit vector."""
@@ -72,7 +73,8 @@ class Grams:
             return np.zeros(0, np.int64), np.zeros(0)
         for w in self.memo.missing(set(words)):
             self.memo.young[w] = self._word(w)
-        both = np.array([self.memo.young[w] for w in words], np.uint64)
+        both = np.frombuffer(b"".join(map(self.memo.young.__getitem__, words)), "<u8")
+        both = both.reshape(-1, 2)
         own, shape = both[:, 0], both[:, 1]
         same = (own[1:] == own[:-1]).astype(np.uint64)
         step, base = np.uint64(SEED), np.uint64(3)
