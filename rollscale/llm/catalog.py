@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rollscale.llm import bytepair, classifier, exact, lines, neardup, packing, rules, substrings
+from rollscale.llm import bytepair, classifier, exact, lines, neardup, packing, personal, rules, substrings
 
 MODULES = {
     "op1_power_of_two_packing": packing,
+    "op2_weak_supervision_pii": personal,
     "op3_chosen_path_near_dup": neardup,
     "op4_byte_bpe": bytepair,
     "op5_line_dedup": lines,
