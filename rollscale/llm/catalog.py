@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rollscale.llm import bytepair, classifier, exact, lines, neardup, packing, personal, rules, substrings
+from rollscale.llm import bytepair, classifier, exact, htmltext, lines, neardup, packing, personal, rules, substrings
 
 MODULES = {
     "op1_power_of_two_packing": packing,
@@ -10,6 +10,7 @@ MODULES = {
     "op3_chosen_path_near_dup": neardup,
     "op4_byte_bpe": bytepair,
     "op5_line_dedup": lines,
+    "op6_recurrent_html_blocks": htmltext,
     "op7_weak_supervision_rules": rules,
     "op8_ftrl_quality": classifier,
     "op9_block_anchor_repeats": substrings,
