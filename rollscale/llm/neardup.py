@@ -50,7 +50,8 @@ def _minwise(members: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, key (hash of the whole set), sketch and tokens of the first level."""
+    """doc_id, print (of the text), n_shingles, key (hash of the whole set), sketch and the tokens
+    of the first level."""
     first = TREES * BRANCHES
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,19 +71,24 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("print"),
                     pa.array(size, pa.int64()),
                     pa.array(key, pa.binary()),
                     pa.array(sketch, pa.binary()),
                     pa.array(tokens, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "key", "sketch", "tokens"],
+                ["doc_id", "print", "n_shingles", "key", "sketch", "tokens"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(body()).alias("print"),
+        body().alias("text"),
+    )
     return in_python(
         rows,
         work,
-        "doc_id long, n_shingles long, key binary, sketch binary, tokens array<bigint>",
+        "doc_id long, print long, n_shingles long, key binary, sketch binary, tokens array<bigint>",
     )
 
 
@@ -311,7 +317,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def classes(
     docs: DataFrame, similarity: float = 0.8, width: int = 5
 ) -> tuple[DataFrame, DataFrame]:
-    """(documents with their set's key and size, sets with the smallest doc_id of their class).
+    """(documents with their set's key and size, sets with the label and the smallest doc_id of
+    their class).
 
     Documents with the same set fold into one at once. A set follows, in TREES trees, the nodes of
     its minwise tokens; a node with more than LEAF sets branches again by BRANCHES tokens of each
@@ -355,8 +362,8 @@ def classes(
     labelled = sets.select("key", "doc_id").join(components(exact), "key", "left")
     labelled = labelled.select("key", "doc_id", F.coalesce("label", "key").alias("label"))
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    found = stored(labelled.join(least, "label").select("key", "component_id"), "classes")
-    return each.select("doc_id", "n_shingles", "key"), found
+    found = stored(labelled.join(least, "label").select("key", "label", "component_id"), "classes")
+    return each.select("doc_id", "print", "n_shingles", "key"), found
 
 
 def assign(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
@@ -383,6 +390,33 @@ def assign(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFram
     )
 
 
+def deduplicate(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """One row of docs for each class, with all its columns: the one with the smallest doc_id, of
+    rows with that id the smallest by text hash. Rows without words all stay."""
+    each, found = classes(docs, similarity, width)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("print"))
+    kept = (
+        each.where("n_shingles > 0")
+        .groupBy("key")
+        .agg(F.min(order).alias("best"))
+        .join(found, "key")
+        .groupBy("label")
+        .agg(F.min("best").alias("best"))
+        .select(
+            F.coalesce(F.col("best.doc_id").cast("string"), F.lit("null")).alias("id"),
+            F.col("best.print").alias("print"),
+        )
+    )
+    word = body().rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.where(word).select(
+        F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")).alias("id"),
+        F.xxhash64(body()).alias("print"),
+        F.struct(*docs.columns).alias("row"),
+    )
+    one = rows.join(kept, ["id", "print"]).groupBy("id", "print").agg(F.max("row").alias("row"))
+    return one.select("row.*").unionByName(docs.where(~word))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(documents(spark, sf_dir), width=4)
 
