@@ -14,8 +14,8 @@ from rollscale.session import ship_package
 WINDOW = 35
 #: Bits of a block hash inside its bucket; two more hold flags.
 KEPT_BITS = 30
-#: Hash buckets, and document batches, for each shuffle partition.
-FINER = 4
+#: Document batches for each shuffle partition.
+FINER = 2
 _PARCEL = "bucket long, batch long, data binary"
 
 
@@ -252,7 +252,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     ship_package(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(4, (FINER * parts - 1).bit_length())
+    bits = max(2, (parts - 1).bit_length())
     ident = F.col("doc_id").cast("long")
     rows = (
         docs.select(ident.alias("doc_id"), body().alias("text"))
