@@ -18,7 +18,7 @@ from rollscale.session import ship_package
 #: Independent trees, and the minwise tokens that each node of a tree branches by.
 TREES, BRANCHES = 6, 2
 #: Nodes of at most LEAF documents are compared exhaustively; larger ones branch, down to DEPTH.
-LEAF, DEPTH = 400, 4
+LEAF, DEPTH = 3000, 3
 #: Minwise values of a sketch, a byte each. A pair at the threshold falls below the margin with a
 #: chance of about 2e-7 (five standard deviations).
 VALUES = 128
