@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollscale.llm.common import stored
+from rollscale.llm.common import joined, stored
 
 
 def _state(edges: DataFrame):
@@ -33,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = (
-            both.join(least, "a")
+            joined(both, least, "a")
             .where("b > a AND b <> m")
             .select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
@@ -41,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
             least.where("m <> a").select("a", F.col("m").alias("b"))
         ).distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a")
+        small = joined(large, lower, "a")
         stars = stored(
             small.where("b <> m")
             .select(F.col("b").alias("a"), F.col("m").alias("b"))

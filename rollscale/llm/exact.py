@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollscale.llm.common import SPACE, body, documents, stored
+from rollscale.llm.common import SPACE, body, documents, joined, stored
 
 FAN_IN = 16
 #: A digest with what verifies it: a second hash and the length of the normalised text.
@@ -74,12 +74,9 @@ def assign(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     found = levels[-1].where("n > 1").select(*KEY, "run", "best", "n")
     for below in reversed(levels[:-1]):
         answer = found.withColumnRenamed("run", "above")
-        found = (
-            below.select(*KEY, "run", F.expr(f"run div {fan_in}").cast("int").alias("above"))
-            .join(answer, [*KEY, "above"])
-            .select(*KEY, "run", "best", "n")
-        )
-    return rows.join(found, [*KEY, "run"], "left").select(
+        asks = below.select(*KEY, "run", F.expr(f"run div {fan_in}").cast("int").alias("above"))
+        found = joined(asks, answer, [*KEY, "above"]).select(*KEY, "run", "best", "n")
+    return joined(rows, found, [*KEY, "run"], "left").select(
         "doc_id",
         F.when(F.col("n").isNull(), F.col("doc_id"))
         .otherwise(F.col("best.doc_id"))
@@ -102,7 +99,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     )
     # Repeated rows, or texts of one id that differ only in white space: the longest stays.
     return (
-        rows.join(kept, ["id", "sha"])
+        joined(rows, kept, ["id", "sha"])
         .groupBy("id", "sha")
         .agg(F.max(F.struct("chars", "row")).alias("best"))
         .select("best.row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollscale.llm.common import SPACE_CHARS, ascii_lower, body, documents, stored
+from rollscale.llm.common import SPACE_CHARS, ascii_lower, body, documents, joined, stored
 
 #: Stands for a missing doc_id: such rows count as one document, after all others.
 UNNAMED = 2**63 - 1
@@ -54,14 +54,13 @@ def deduplicate(docs: DataFrame, shortest: int = 10, threshold: int = 2) -> Data
         "shared-lines",
     )
     drops = (
-        hashed.join(shared, "hash")
+        joined(hashed, shared, "hash")
         .where("doc <> owner")
         .groupBy("doc", "print")
         .agg(F.collect_set("pos").alias("drops"))
     )
     rows = (
-        _named(docs)
-        .join(drops, ["doc", "print"], "left")
+        joined(_named(docs), drops, ["doc", "print"], "left")
         .select("doc", F.split("text", "\n").alias("lines"), "drops")
         .withColumn("n", F.size("lines"))
         .withColumn("every", F.sequence(F.lit(0), F.col("n") - 1))

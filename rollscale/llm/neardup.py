@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollscale.llm import words as w
-from rollscale.llm.common import body, documents, in_python, mix, slices, stored, texts
+from rollscale.llm.common import body, documents, in_python, joined, mix, slices, stored, texts
 from rollscale.llm.components import components
 from rollscale.session import ship_package
 
@@ -196,7 +196,7 @@ def links(rows: DataFrame, pairs, similarity: float, parts: int, sizes: DataFram
     largest component are compared once more, with every chunk, so no pair is missed and pairs
     inside the large component are never formed.
     """
-    sized = rows.join(sizes, "group").withColumn(
+    sized = joined(rows, sizes, "group").withColumn(
         "chunk", F.pmod(F.xxhash64("key", "group"), F.col("chunks"))
     )
     leaf = F.xxhash64("group", "chunk").alias("leaf")
@@ -218,7 +218,7 @@ def links(rows: DataFrame, pairs, similarity: float, parts: int, sizes: DataFram
         ),
         "links",
     )
-    labelled = large.join(components(first), "key", "left").withColumn(
+    labelled = joined(large, components(first), "key", "left").withColumn(
         "label", F.coalesce("label", "key")
     )
     labelled = stored(labelled, "labelled-groups")
@@ -228,7 +228,7 @@ def links(rows: DataFrame, pairs, similarity: float, parts: int, sizes: DataFram
         .groupBy("group")
         .agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     )
-    judged = labelled.join(main, "group").withColumn("ask", F.col("label") != F.col("main"))
+    judged = joined(labelled, main, "group").withColumn("ask", F.col("label") != F.col("main"))
     asked = judged.where("ask").withColumn(
         "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     )
@@ -246,7 +246,7 @@ def _counted(rows: DataFrame) -> DataFrame:
     sizes = stored(
         rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "node-sizes"
     )
-    return stored(rows.join(sizes, "node"), "nodes")
+    return stored(joined(rows, sizes, "node"), "nodes")
 
 
 def candidates(sets: DataFrame, similarity: float, parts: int) -> DataFrame:
@@ -263,8 +263,7 @@ def candidates(sets: DataFrame, similarity: float, parts: int) -> DataFrame:
             break
         branch = F.posexplode(F.array(*(F.lit(b) for b in range(BRANCHES))))
         rows = (
-            sized.where(F.col("n") > LEAF)
-            .join(sets.select("key", "sketch"), "key")
+            joined(sized.where(F.col("n") > LEAF), sets.select("key", "sketch"), "key")
             .select("key", "sketch", "node", branch.alias("b", "_"))
             .withColumn("at", F.pmod(F.xxhash64("node", "b"), F.lit(VALUES)).cast("int"))
             .select(_node("node", "b", F.substring("sketch", F.col("at") + 1, F.lit(1))), "key")
@@ -279,7 +278,7 @@ def candidates(sets: DataFrame, similarity: float, parts: int) -> DataFrame:
         ),
         "leaf-sizes",
     )
-    rows = members.join(sets.select("key", "sketch"), "key").select(
+    rows = joined(members, sets.select("key", "sketch"), "key").select(
         F.col("node").alias("group"), "key", F.col("sketch").alias("payload")
     )
     return links(rows, _by_sketch, similarity, parts, sizes)
@@ -308,10 +307,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             )
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
-    joined = named.join(wanted, named["doc_id"].eqNullSafe(wanted["doc_id"])).select(
-        "group", "key", "text"
-    )
-    return in_python(joined, work, "group binary, key binary, payload binary")
+    rows = joined(named, wanted, named["doc_id"].eqNullSafe(wanted["doc_id"]))
+    rows = rows.select("group", "key", "text")
+    return in_python(rows, work, "group binary, key binary, payload binary")
 
 
 def classes(
@@ -344,7 +342,7 @@ def classes(
     )
     edges = stored(candidates(sets, similarity, parts), "candidates")
     grouped = stored(
-        sets.join(components(edges), "key").select(
+        joined(sets, components(edges), "key").select(
             "doc_id", "key", "n_shingles", F.col("label").alias("group")
         ),
         "candidate-groups",
@@ -359,10 +357,10 @@ def classes(
         "full-sets",
     )
     exact = stored(links(payload, _by_set, similarity, parts, sizes), "exact-links")
-    labelled = sets.select("key", "doc_id").join(components(exact), "key", "left")
+    labelled = joined(sets.select("key", "doc_id"), components(exact), "key", "left")
     labelled = labelled.select("key", "doc_id", F.coalesce("label", "key").alias("label"))
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    found = stored(labelled.join(least, "label").select("key", "label", "component_id"), "classes")
+    found = stored(joined(labelled, least, "label").select("key", "label", "component_id"), "classes")
     return each.select("doc_id", "print", "n_shingles", "key"), found
 
 
@@ -378,7 +376,7 @@ def assign(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFram
     gives no rows; other columns are unread.
     """
     each, found = classes(docs, similarity, width)
-    return each.join(found, "key", "left").select(
+    return joined(each, found, "key", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id"))
@@ -395,11 +393,9 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
     rows with that id the smallest by text hash. Rows without words all stay."""
     each, found = classes(docs, similarity, width)
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("print"))
+    firsts = each.where("n_shingles > 0").groupBy("key").agg(F.min(order).alias("best"))
     kept = (
-        each.where("n_shingles > 0")
-        .groupBy("key")
-        .agg(F.min(order).alias("best"))
-        .join(found, "key")
+        joined(firsts, found, "key")
         .groupBy("label")
         .agg(F.min("best").alias("best"))
         .select(
@@ -413,7 +409,8 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
         F.xxhash64(body()).alias("print"),
         F.struct(*docs.columns).alias("row"),
     )
-    one = rows.join(kept, ["id", "print"]).groupBy("id", "print").agg(F.max("row").alias("row"))
+    one = joined(rows, kept, ["id", "print"]).groupBy("id", "print")
+    one = one.agg(F.max("row").alias("row"))
     return one.select("row.*").unionByName(docs.where(~word))
 
 
