@@ -37,7 +37,7 @@ CUES = (
 ANTI_CUES = "isbn|issn|order|page|version|year|seite|jahr|année|año|página|commit|sha1|md5|sha256"
 FEATURES = 4096
 ROUNDS = 40
-PRIOR, START_ACCURACY, SMOOTHING = 0.5, 0.8, 1.0
+PRIOR, START_ACCURACY, SMOOTHING, ANCHOR = 0.5, 0.8, 1.0, 0.25
 STRIDE = 128
 
 
@@ -259,7 +259,15 @@ class Model:
 
 
 def reliabilities(patterns: dict[tuple[int, ...], float]) -> dict[tuple[int, ...], float]:
-    """Posterior of each vote pattern by expectation-maximisation over the counts of patterns."""
+    """Posterior of each vote pattern by expectation-maximisation over the counts of patterns.
+
+    Unanimous patterns count ANCHOR of all candidates more on either side, so that the classes keep
+    their meaning where nearly all candidates are of one kind.
+    """
+    patterns = dict(patterns)
+    for side in (-1, 1):
+        unanimous = (side,) * len(next(iter(patterns)))
+        patterns[unanimous] = patterns.get(unanimous, 0.0) + ANCHOR * sum(patterns.values())
     odds = math.log(START_ACCURACY / (1 - START_ACCURACY))
     prior = math.log(PRIOR / (1 - PRIOR))
     post = {p: 1 / (1 + math.exp(-prior - odds * sum(p))) for p in patterns}
@@ -302,7 +310,7 @@ def train(found: DataFrame) -> Model:
         post = reliabilities(dict(sorted(patterns.items())))
         posts += [(kind, list(p), q) for p, q in post.items()]
         yes = sum(n * post[p] for p, n in patterns.items())
-        no = sum(patterns.values()) - yes
+        no = sum((1 - post[p]) * n for p, n in patterns.items())
         bias[kind] = math.log((yes + SMOOTHING) / (no + SMOOTHING))
         weights[kind] = {}
     if not posts:
@@ -317,8 +325,8 @@ def train(found: DataFrame) -> Model:
     )
     mass = {
         k: (
-            sum(r["yes"] for r in sums if r["kind"] == k) + SMOOTHING,
-            sum(r["no"] for r in sums if r["kind"] == k) + SMOOTHING,
+            sum(r["yes"] for r in sums if r["kind"] == k) + SMOOTHING * FEATURES,
+            sum(r["no"] for r in sums if r["kind"] == k) + SMOOTHING * FEATURES,
         )
         for k in bias
     }

@@ -31,7 +31,7 @@ RULES = {
 PLAIN = bytes([*b"0123456789", *SPACE_CHARS.encode(), *range(0x41, 0x5B), *range(0x61, 0x7B)])
 PLAIN += bytes(range(0x80, 0x100))
 ROUNDS = 50
-PRIOR, START_ACCURACY, SMOOTHING = 0.85, 0.85, 2.0
+PRIOR, START_ACCURACY, SMOOTHING, ANCHOR = 0.85, 0.85, 2.0, 0.05
 
 
 def _repeated(words: list[bytes]) -> int:
@@ -116,8 +116,14 @@ def fit(patterns: np.ndarray, times: np.ndarray) -> np.ndarray:
     """Posterior probability of good quality of each vote pattern, by expectation-maximisation.
 
     Each rule has a chance of voting good, bad or nothing under either class; rules vote
-    independently given the class. Counts are smoothed, so no rule is ever certain.
+    independently given the class. Counts are smoothed, so no rule is ever certain. Unanimous
+    patterns count ANCHOR of all documents more on either side, so that the classes keep their
+    meaning in a corpus that is nearly all good.
     """
+    seen = len(patterns)
+    unanimous = np.stack([np.ones(len(RULES), int), -np.ones(len(RULES), int)])
+    patterns = np.concatenate([patterns, unanimous])
+    times = np.append(times, [ANCHOR * times.sum()] * 2)
     good, bad = patterns == 1, patterns == -1
     agree = np.log(START_ACCURACY / (1 - START_ACCURACY)) * (good.sum(1) - 2.0 * bad.sum(1))
     posterior = 1 / (1 + np.exp(-np.log(PRIOR / (1 - PRIOR)) - agree))
@@ -130,7 +136,7 @@ def fit(patterns: np.ndarray, times: np.ndarray) -> np.ndarray:
             prior = (weight.sum() + SMOOTHING) / (times.sum() + 2 * SMOOTHING)
             score.append(np.log(prior) + np.einsum("prk,rk->p", kinds, np.log(rate)))
         posterior = 1 / (1 + np.exp(np.clip(score[1] - score[0], -500, 500)))
-    return posterior
+    return posterior[:seen]
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -63,7 +63,7 @@ class Batch:
 
 def _parcels(bucket: np.ndarray, cut: np.ndarray, batch: int, make) -> pa.Table:
     """A row per bucket; bucket is sorted, cut holds the first position of each."""
-    ends = np.append(cut[1:], len(bucket))
+    ends = _ends(cut, len(bucket))
     return pa.table(
         {
             "bucket": pa.array(bucket[cut].astype(np.int64), pa.int64()),
@@ -78,6 +78,10 @@ def _cuts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
 
 
+def _ends(cut: np.ndarray, total: int) -> np.ndarray:
+    return np.append(cut[1:], total) if len(cut) else cut
+
+
 def _offer_blocks(table: pa.Table, window: int, bits: int) -> pa.Table:
     """Distinct rolling blocks of the batch: is it there twice, is it a reference block."""
     batch = Batch(table, window)
@@ -85,10 +89,8 @@ def _offer_blocks(table: pa.Table, window: int, bits: int) -> pa.Table:
     marked = np.sort((short << np.uint64(1) | anchor.astype(np.uint64))[whole])
     short = marked >> np.uint64(1)
     first = _cuts(short)
-    last = np.append(first[1:], len(short)) - 1
-    flags = ((last > first).astype(np.uint64) << np.uint64(1)) | (
-        marked[last] & np.uint64(1) if len(last) else np.zeros(0, np.uint64)
-    )
+    last = _ends(first, len(short)) - 1
+    flags = (last > first).astype(np.uint64) << np.uint64(1) | marked[last] & np.uint64(1)
     short = short[first]
     packed = (((short & np.uint64(2**KEPT_BITS - 1)) << np.uint64(2)) | flags).astype(np.uint32)
     bucket = short >> np.uint64(KEPT_BITS)
@@ -106,7 +108,7 @@ def _answers(bucket: int, batch: np.ndarray, kept: np.ndarray, kind: type) -> pa
     order = np.lexsort((kept, batch))
     batch, kept = batch[order], kept[order].astype(kind)
     cut = _cuts(batch)
-    ends = np.append(cut[1:], len(batch))
+    ends = _ends(cut, len(batch))
     return pa.table(
         {
             "bucket": pa.array([bucket] * len(cut), pa.int64()),
@@ -164,9 +166,9 @@ def _offer_windows(table: pa.Table, hits: pa.Table, window: int, bits: int) -> p
     a, b = first[some], second[some] >> np.uint64(33)
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
-    cut = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else []
-    cut = np.asarray(cut, np.int64)
-    twice = (np.diff(np.append(cut, len(a))) > 1).astype(np.uint32)
+    differs = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    cut = np.flatnonzero(differs)
+    twice = (_ends(cut, len(a)) - cut > 1).astype(np.uint32)
     a, b = a[cut], (b[cut].astype(np.uint32) << np.uint32(1)) | twice
     bucket = a >> np.uint64(64 - bits)
 
