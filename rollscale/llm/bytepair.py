@@ -6,13 +6,12 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from rollscale.llm.common import Memo, body, documents, in_python, slices, texts
+from rollscale.llm.common import Memo, body, documents, in_python, remembered, slices, texts
 
 #: A byte as a character of the model: letters from U+0100 on, so that no piece has white space.
 FIRST_CHAR = 0x100
@@ -133,10 +132,8 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
 def _codec(model: bytes, pattern: str) -> Codec:
-    """One per worker process, so that what it remembers outlives a task."""
-    return Codec(model, pattern)
+    return remembered(("pairs", model, pattern), lambda: Codec(model, pattern))
 
 
 def _run(batches: Iterator[pa.RecordBatch], model: bytes, pattern: str, work):

@@ -5,21 +5,20 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollscale.llm.common import Memo, body, documents, in_python, mix, slices, texts
+from rollscale.llm.common import Memo, body, documents, in_python, mix, remembered, slices, texts
 
 BITS = 15
 #: Labelled rows that a fit reads at most, those with the smallest hash of their id.
 MOST_ROWS = 4096
 EPOCHS = 4
 SEED = 0x9E3779B97F4A7C15
-MEMO = 400_000
+MEMO = 200_000
 
 
 @dataclass(frozen=True)
@@ -93,10 +92,8 @@ class Grams:
         return at, value / np.sqrt(value @ value)
 
 
-@lru_cache(maxsize=1)
 def _grams() -> Grams:
-    """One per worker process, so that what it remembers outlives a task."""
-    return Grams()
+    return remembered("grams", Grams)
 
 
 def _label_bit(doc_id: str) -> F.Column:

@@ -103,3 +103,15 @@ class Memo:
                 else:
                     young[k] = v
         return out
+
+
+_STATE: list = [None, None]
+
+
+def remembered(key, make):
+    """What this worker process made last under this key; making another thing drops it, so a
+    worker that serves several operators holds the memory of one."""
+    if _STATE[0] != key:
+        _STATE[:] = [None, None]
+        _STATE[:] = [key, make()]
+    return _STATE[1]

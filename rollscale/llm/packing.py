@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +10,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollscale.llm.common import Memo, body, documents, in_python, slices, texts
+from rollscale.llm.common import Memo, body, documents, in_python, remembered, slices, texts
 
 LONGEST = 2048
 END_ID = 1
 #: Words, and word stems, whose ids a worker remembers.
-MEMO = 400_000
+MEMO = 300_000
 #: What may follow a word's letters without changing how they are split (no apostrophe).
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -62,10 +61,8 @@ class Words:
         return [b"".join(map(get, words)) for words in split]
 
 
-@lru_cache(maxsize=2)
 def _words(tokenizer: str) -> Words:
-    """One per worker process, so that what it remembers outlives a task."""
-    return Words(tokenizer)
+    return remembered(("packing", tokenizer), lambda: Words(tokenizer))
 
 
 def lengths(total: int, longest: int) -> list[int]:

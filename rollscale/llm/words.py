@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import xxhash
 
-from rollscale.llm.common import Memo, mix
+from rollscale.llm.common import Memo, mix, remembered
 
-MEMO = 300_000
+MEMO = 200_000
 STEP = 0x9E3779B97F4A7C15
 
 
-@lru_cache(maxsize=1)
 def _memo() -> Memo:
-    """One per worker process, so that what it remembers outlives a task."""
-    return Memo(MEMO)
+    return remembered("words", lambda: Memo(MEMO))
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
