@@ -13,12 +13,6 @@ from ..config import Weights
 from .probit import gauss_over_phi_np, log_phi_np
 
 
-def group_starts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys -> (unique keys, group number per row, rows per group)."""
-    unique, number, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    return unique, number, counts
-
-
 def sums(values: np.ndarray, number: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount(number, weights=values, minlength=groups)
 

@@ -61,7 +61,8 @@ def null_if_na(cell: Column) -> Column:
 
 
 def parse_int(cell: Column, default: int | None = None) -> Column:
-    value = null_if_na(cell).try_cast("int")
+    """The integer that the cell begins with: 6 for "6.0", 1 for "1x"."""
+    value = F.regexp_extract(null_if_na(cell), r"^([+-]?[0-9]+)", 1).try_cast("int")
     return value if default is None else F.coalesce(value, F.lit(default))
 
 

@@ -33,8 +33,11 @@ def period_of(file: Column) -> Column:
 
 def periods_found(spark: SparkSession, path: str) -> DataFrame:
     """Periods named by the matrix files of a folder."""
-    files = spark.read.option("recursiveFileLookup", True).text(path).select(
-        F.col("_metadata.file_path").alias("file")
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .load(path)
+        .select(F.col("path").alias("file"))
     )
     return files.where(F.col("file").rlike(MATRIX_NAME)).select(
         period_of(F.col("file")).alias("period")
@@ -42,7 +45,12 @@ def periods_found(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _cells(line: Column) -> Column:
-    return F.transform(F.split(line, ","), lambda c: V.unquote(c))
+    """Cells of a line; commas inside double quotes belong to the cell."""
+    quoted = F.regexp_extract_all(
+        F.concat(F.lit(","), line), F.lit(',("(?:[^"]++|"")*+"[^,]*|[^,]*)'), F.lit(1)
+    )
+    cells = F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ","))
+    return F.transform(cells, lambda c: V.unquote(c))
 
 
 def read_vote_matrices(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -156,7 +164,7 @@ def read_fixed_width_votes(
 ) -> DataFrame:
     """Prefix fields and one row per one-digit code (slot is 1-based)."""
     lines = text_lines(spark, path).where(F.trim("line") != "")
-    codes = F.split(F.rtrim(F.substring("line", votes_start, 1_000_000)), "")
+    codes = F.split(F.rtrim(F.expr(f"substring(line, {int(votes_start)})")), "")
     return (
         lines.select(*_slices(prefix), F.posexplode(codes).alias("slot", "digit"))
         .where(F.col("digit") != "")

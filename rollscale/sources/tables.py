@@ -190,7 +190,6 @@ LOG_CYCLE = r"^\s*=== Iteracion global (\d+) ==="
 LOG_W2 = r"\[WINT\] W2:\s*([\d.]+)\s*->\s*([\d.]+),\s*LL:\s*([-\d.]+)"
 LOG_BETA = r"\[SIGMAS\] Beta:\s*([\d.]+)\s*->\s*([\d.]+),\s*LL:\s*([-\d.]+)"
 LOG_CLASS = r"Clasificacion:\s*(\d+)/(\d+)\s*\(([\d.]+)%\)"
-LOG_TIMING = r"\[TIMING iter (\d+)\]"
 
 
 def read_run_log(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -120,3 +120,24 @@ def test_optimizer_trace_needs_its_columns(spark, tmp_path):
     spark.range(1).select(F.lit(1).alias("attempted")).write.parquet(path)
     with pytest.raises(ValueError):
         tables.read_optimizer_trace(spark, path)
+
+
+def test_matrix_cells_with_quotes_and_decimals(spark, tmp_path):
+    from rollscale.sources import matrices
+
+    (tmp_path / "votes_matrix_p2.csv").write_text(
+        'id,"Ley 1, art 2",rc2,"a ""b"", c"\n7,6.0,1x,\n8,"9",x,-1\n'
+    )
+    rows = matrices.read_vote_matrices(spark, str(tmp_path)).collect()
+    got = {(r.legislator_id, r.local_rc): (r.rollcall_key, r.code) for r in rows}
+    assert got[7, 1] == ("Ley 1, art 2", 6) and got[7, 2] == ("rc2", 1) and got[7, 3][1] == -1
+    assert got[8, 1][1] == 9 and got[8, 2][1] == -1 and got[8, 3][1] == -1
+    assert [r.period for r in matrices.periods_found(spark, str(tmp_path)).collect()] == [2]
+
+
+def test_fixed_width_votes_have_no_length_limit(spark, tmp_path):
+    from rollscale.sources import matrices
+
+    (tmp_path / "wide.txt").write_text("  7" + "16" * 600_000 + "\n")
+    votes = matrices.read_fixed_width_votes(spark, str(tmp_path), [("member", 1, 3, "int")], 4)
+    assert votes.count() == 1_200_000
