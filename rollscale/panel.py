@@ -1,8 +1,9 @@
 """Vote panel derived from the TPC-H-ish driver tables with integer arithmetic.
 
 Suppliers act as members, order lines as vote records, ship years as periods.
-Every line of the table becomes a cell; lines outside a member's term or of a
-phantom member keep their cell with the absent code 9.
+Every line of the table has a part in a cell: the lines of one member and item
+are added up to one record. Cells outside a member's term or of a phantom member
+have the absent code 9.
 """
 
 from __future__ import annotations
@@ -54,26 +55,35 @@ class Panel:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
     @cached_property
-    def cells(self) -> DataFrame:
-        """legislator_id, period, rollcall_id, local_rc, code: one row per cell."""
+    def records(self) -> DataFrame:
+        """Lines of one member, period and item as one record; each has a part in its sums."""
         line = self.table("lineitem").selectExpr(
             "l_suppkey + 1 as legislator_id",
             "cast(year(l_shipdate) - 1994 as int) as period",
             f"l_partkey % {ITEMS_PER_PERIOD} as slot",
-            # (order, line, flag) in one number: a plain hash aggregate keeps the first.
-            "(l_orderkey * 8 + l_linenumber) * 4"
-            " + case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as record",
+            "l_orderkey",
+            "l_linenumber",
+            "l_returnflag = 'N' as open",
         )
-        first = line.groupBy("legislator_id", "period", "slot").agg(F.min("record").alias("r"))
-        fields = first.selectExpr(
+        return line.groupBy("legislator_id", "period", "slot").agg(
+            F.sum("l_orderkey").alias("o"),
+            F.sum("l_linenumber").alias("ln"),
+            F.min("open").alias("open_flag"),
+            F.count("*").alias("lines"),
+        )
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        """legislator_id, period, rollcall_id, local_rc, code: one row per cell."""
+        fields = self.records.selectExpr(
             "legislator_id",
             "period",
             f"(period - 1) * {ITEMS_PER_PERIOD} + slot as rollcall_id",
             "slot + 1 as local_rc",
             "legislator_id - 1 as s",
-            "shiftright(r, 5) as o",
-            "shiftright(r, 2) % 8 as ln",
-            "r % 4 = 1 as open_flag",
+            "o",
+            "ln",
+            "open_flag",
         )
         t1, t2 = true_position(F.col("legislator_id"), F.col("period"))
         n1, n2, cut = true_plane(F.col("rollcall_id"))

@@ -52,10 +52,10 @@ line AS (
   SELECT l_suppkey AS s, CAST(year(l_shipdate) AS BIGINT) - 1994 AS p,
     l_partkey % 200 AS slot, l_orderkey AS o, l_linenumber AS ln, l_returnflag AS rf
   FROM lineitem),
-first_line AS (
-  SELECT s, p, (p - 1) * 200 + slot AS rc, o, ln, rf,
-    row_number() OVER (PARTITION BY s, p, slot ORDER BY o, ln, rf) AS n
-  FROM line),
+folded AS (
+  SELECT s, p, (p - 1) * 200 + slot AS rc, CAST(sum(o) AS BIGINT) AS o,
+    CAST(sum(ln) AS BIGINT) AS ln, bool_and(rf = 'N') AS open_flag
+  FROM line GROUP BY s, p, slot),
 coded AS (
   SELECT *, ((s * 37) % 101) - 50 + (p - 4) * ((s % 3) - 1) * 2 AS t1,
     ((s * 53) % 97) - 48 AS t2,
@@ -63,12 +63,12 @@ coded AS (
     CASE WHEN rc % 10 = 3 THEN false ELSE (o * 31 + ln * 7) % 10 = 0 END AS noise,
     p >= s % 3 + 1 AND p <= (CASE s % 4 WHEN 0 THEN 4 WHEN 1 THEN 6 ELSE 7 END)
       AND NOT (s % 5 = 0 AND p = 4) AS serving
-  FROM first_line WHERE n = 1),
+  FROM folded),
 cells AS (
   SELECT s + 1 AS legislator_id, CAST(p AS INTEGER) AS period, rc AS rollcall_id,
     rc - (p - 1) * 200 + 1 AS local_rc,
     CAST(CASE WHEN NOT serving OR s % 25 = 24 THEN 9
-      WHEN rf = 'N' AND o % 3 = 0
+      WHEN open_flag AND o % 3 = 0
         THEN (CASE ln % 4 WHEN 0 THEN 0 WHEN 1 THEN 7 WHEN 2 THEN 8 ELSE 9 END)
       WHEN ((10 + (rc * 7) % 11) * t1 + ((rc * 13) % 21 - 10) * t2 < cut) <> noise
         THEN 1 + ln % 3

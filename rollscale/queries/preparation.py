@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import votes as V
 from ..operators import audit, compare, running, screens, seeds, scoring
+from ..session import scratch_path
 from ..sources import sinks
 from .catalog import query
 
@@ -417,13 +418,28 @@ def input_profile(p):
     "SELECT period, count(*) AS cells FROM cells GROUP BY period",
 )
 def union_periods(p):
-    from functools import reduce
-
-    parts = [p.cells.where(F.col("period") == i) for i in range(1, 8)]
-    whole = reduce(lambda a, b: a.unionByName(b), parts)
+    """One read of all period folders, however many there are."""
+    path = scratch_path(p.spark, "period-cells")
+    p.cells.write.partitionBy("period").parquet(path)
+    whole = p.spark.read.schema(p.cells.schema).parquet(path)
     return whole.groupBy("period").agg(F.count("*").alias("cells"))
 
 
+@query(
+    "lines:l repeated_lines:l cells:l",
+    """SELECT (SELECT count(*) FROM lineitem) AS lines,
+  (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM cells) AS repeated_lines,
+  (SELECT count(*) FROM cells) AS cells""",
+)
+def panel_coverage(p):
+    """Lines that the cells are made of, and how many of them share a cell with another."""
+    return p.records.agg(
+        F.sum("lines").alias("lines"),
+        F.sum(F.col("lines") - 1).alias("repeated_lines"),
+        F.count("*").alias("cells"),
+    )
+
+
 @query(
     "legislator_id:l",
     """SELECT legislator_id FROM cells WHERE period <= 3 UNION

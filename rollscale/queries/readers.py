@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import convergence, trajectory
+from ..panel import ITEMS_PER_PERIOD
 from ..session import scratch_path
 from ..sources import matrices, sinks, tables
 from .catalog import query
@@ -38,7 +39,7 @@ FROM (SELECT DISTINCT legislator_id, period FROM cells) r, range(1, 201) AS k(lo
 LEFT JOIN cells c ON c.legislator_id = r.legislator_id AND c.period = r.period AND c.local_rc = k.local_rc""",
 )
 def vote_melt(p):
-    lines = sinks.wide_matrix_lines(p.cells, 200)
+    lines = sinks.wide_matrix_lines(p.cells, ITEMS_PER_PERIOD)
     path = written_text(
         p, lines.withColumnRenamed("period", "votes_matrix_p"), "matrices", "votes_matrix_p"
     )
@@ -47,7 +48,7 @@ def vote_melt(p):
 
 @query("period:i", "SELECT DISTINCT period FROM cells")
 def detect_periods(p):
-    lines = sinks.wide_matrix_lines(p.cells, 200)
+    lines = sinks.wide_matrix_lines(p.cells, ITEMS_PER_PERIOD)
     path = written_text(
         p, lines.withColumnRenamed("period", "votes_matrix_p"), "matrices", "votes_matrix_p"
     )
@@ -64,7 +65,7 @@ def single_matrix(p):
         "legislator_id", F.lit(1).alias("period"), (F.col("rollcall_id") + 1).alias("local_rc"), "code"
     )
     path = f"{scratch_path(p.spark, 'static')}/votes_matrix.csv"
-    sinks.wide_matrix_lines(whole, 1400).select("line").write.text(path)
+    sinks.wide_matrix_lines(whole, 7 * ITEMS_PER_PERIOD).select("line").write.text(path)
     cells = matrices.read_vote_matrices(p.spark, path)
     return cells.groupBy("period").agg(F.count("*").alias("cells"))
 
@@ -312,15 +313,8 @@ LEFT JOIN cells c ON c.legislator_id = s.legislator_id AND c.period = s.period A
 )
 def fixed_width_parse(p):
     """Legacy votes by member: prefix fields, then one digit per roll call."""
-    slots = F.sequence(F.lit(1), F.lit(200))
-    codes = F.map_from_entries(F.collect_list(F.struct("local_rc", "code")))
-    rows = p.cells.groupBy("legislator_id", "period").agg(codes.alias("codes"))
-    digits = F.array_join(
-        F.transform(
-            slots, lambda i: F.coalesce(F.element_at("codes", i.cast("bigint")), F.lit(9)).cast("string")
-        ),
-        "",
-    )
+    rows = p.cells.groupBy("legislator_id", "period").agg(sinks.by_slot().alias("codes"))
+    digits = sinks.filled_slots(F.col("codes"), ITEMS_PER_PERIOD)
     prefix = F.format_string(
         "%4d%6d%3d%2d %7s %4d %11s", "period", "legislator_id", F.lit(41), F.lit(1),
         F.lit("STATE"), F.lit(100), F.lit("NAME"),
@@ -451,4 +445,4 @@ FROM r, range(1, 201) AS k(slot) LEFT JOIN cells c ON c.legislator_id = r.legisl
 )
 def padded_panel(p):
     roster = p.table("supplier").select((F.col("s_suppkey") + 1).alias("legislator_id"))
-    return sinks.padded_rows(p.cells, roster, 7, 200)
+    return sinks.padded_rows(p.cells, roster, 7, ITEMS_PER_PERIOD)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.running import LIMITS, row_numbers
@@ -117,19 +117,44 @@ def write_fit(state: DataFrame, bills: DataFrame, one_row: DataFrame, folder: st
     return folder
 
 
+def by_slot() -> Column:
+    """Aggregate: (local_rc, code) of a group in the order of roll calls."""
+    return F.sort_array(F.collect_list(F.struct("local_rc", "code")))
+
+
+def filled_slots(codes: Column, width: int, mark: str = "") -> Column:
+    """Codes of roll calls 1 to width as one text, each after `mark`; 9 where a slot has none.
+
+    codes is what by_slot gives, or null. Work is in proportion to the width. A roll call that
+    comes twice or lies outside the width raises an error, so no cell is lost.
+    """
+
+    def empty(before: Column, after: Column) -> Column:
+        gap = (after - before - 1).cast("int")
+        lost = F.raise_error(F.lit("a roll call is repeated or outside the matrix"))
+        return F.repeat(F.lit(mark + "9"), F.when(gap >= 0, gap).otherwise(lost))
+
+    def slot_after(i: Column) -> Column:
+        return F.coalesce(F.get(codes, i)["local_rc"], F.lit(width + 1))
+
+    filled = F.transform(
+        codes,
+        lambda pair, i: F.concat(
+            F.lit(mark),
+            F.coalesce(pair["code"], F.lit(9)).cast("string"),
+            empty(pair["local_rc"], slot_after(i + 1)),
+        ),
+    )
+    head = empty(F.lit(0), slot_after(F.lit(0)))
+    return F.concat(head, F.coalesce(F.array_join(filled, ""), F.lit("")))
+
+
 def wide_matrix_lines(cells: DataFrame, width: int, prefix: str = "rc") -> DataFrame:
     """Padded wide matrix as text lines per period; a group holds one member's period."""
-    slots = F.sequence(F.lit(1), F.lit(width))
-    by_slot = F.map_from_entries(F.collect_list(F.struct("local_rc", "code")))
-    rows = cells.groupBy("legislator_id", "period").agg(by_slot.alias("codes")).select(
+    rows = cells.groupBy("legislator_id", "period").agg(by_slot().alias("codes")).select(
         "period",
-        F.concat_ws(
-            ",",
-            F.col("legislator_id").cast("string"),
-            F.transform(
-                slots,
-                lambda i: F.coalesce(F.element_at("codes", i.cast("bigint")), F.lit(9)).cast("string"),
-            ),
+        F.concat(
+            F.col("legislator_id").cast("string"), filled_slots(F.col("codes"), width, ",")
         ).alias("line"),
     )
     header = ",".join(["", *[f"{prefix}{i}" for i in range(1, width + 1)]])
@@ -140,22 +165,21 @@ def wide_matrix_lines(cells: DataFrame, width: int, prefix: str = "rc") -> DataF
 def padded_rows(cells: DataFrame, roster: DataFrame, periods: int, width: int) -> DataFrame:
     """Full roster in every period, one row per member: a digit per roll call, absent = 9.
 
-    The padding lives inside the row, so the members never multiply with the roll calls.
+    The padding lives inside the row, so the members never multiply with the roll calls. A cell
+    outside the periods or the width raises an error.
     """
-    codes = cells.groupBy("legislator_id", "period").agg(
-        F.map_from_entries(F.collect_list(F.struct("local_rc", "code"))).alias("codes")
+    lost = F.raise_error(F.lit("a period is outside the panel"))
+    known = F.when(F.col("period").between(1, periods), F.col("period")).otherwise(lost)
+    codes = (
+        cells.withColumn("period", known)
+        .groupBy("legislator_id", "period")
+        .agg(by_slot().alias("codes"))
     )
     every = roster.select(
         "legislator_id", F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("period")
     )
-
-    def digit(i):
-        code = F.try_element_at("codes", i.cast("bigint"))
-        return F.coalesce(code, F.lit(9)).cast("string")
-
-    slots = F.sequence(F.lit(1), F.lit(width))
     return every.join(codes, ["legislator_id", "period"], "left").select(
-        "legislator_id", "period", F.array_join(F.transform(slots, digit), "").alias("line")
+        "legislator_id", "period", filled_slots(F.col("codes"), width).alias("line")
     )
 
 

@@ -12,7 +12,9 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
-SPARK_TO_ARROW = {"bigint": "int64", "int": "int32", "double": "double", "string": "string"}
+SPARK_TO_ARROW = {
+    "bigint": "int64", "int": "int32", "double": "double", "string": "string", "boolean": "bool",
+}
 
 
 @pytest.fixture(scope="module")

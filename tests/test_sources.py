@@ -141,3 +141,30 @@ def test_fixed_width_votes_have_no_length_limit(spark, tmp_path):
     (tmp_path / "wide.txt").write_text("  7" + "16" * 600_000 + "\n")
     votes = matrices.read_fixed_width_votes(spark, str(tmp_path), [("member", 1, 3, "int")], 4)
     assert votes.count() == 1_200_000
+
+
+def test_wide_lines_fill_gaps(spark):
+    cells = spark.createDataFrame(
+        [(1, 1, 2, 6), (1, 1, 4, 1), (2, 1, 1, 3), (2, 2, 5, None)],
+        "legislator_id long, period int, local_rc long, code int",
+    )
+    lines = sinks.wide_matrix_lines(cells, 5).where("NOT line LIKE ',%'").collect()
+    assert sorted((r.period, r.line) for r in lines) == [
+        (1, "1,9,6,9,1,9"), (1, "2,3,9,9,9,9"), (2, "2,9,9,9,9,9"),
+    ]
+    roster = spark.createDataFrame([(1,), (2,), (3,)], "legislator_id long")
+    rows = sinks.padded_rows(cells, roster, 2, 5).collect()
+    assert {(r.legislator_id, r.period): r.line for r in rows} == {
+        (1, 1): "96919", (1, 2): "99999", (2, 1): "39999",
+        (2, 2): "99999", (3, 1): "99999", (3, 2): "99999",
+    }
+
+
+@pytest.mark.parametrize("row", [(1, 1, 6, 1), (1, 1, 0, 1), (1, 1, 2, 1), (1, 3, 1, 1)])
+def test_cells_outside_the_matrix_raise(spark, row):
+    cells = spark.createDataFrame(
+        [(1, 1, 2, 6), row], "legislator_id long, period int, local_rc long, code int"
+    )
+    roster = spark.createDataFrame([(1,)], "legislator_id long")
+    with pytest.raises(Exception, match="outside"):
+        sinks.padded_rows(cells, roster, 2, 5).collect()
