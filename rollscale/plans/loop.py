@@ -145,7 +145,7 @@ def _likelihood(star: DataFrame, w: Weights) -> dict:
     return scoring.log_likelihood(scoring.score(star, w)).first().asDict()
 
 
-def _fit_scalars(star, w, cfg, cycle, phases) -> tuple[Weights, list[dict]]:
+def _fit_scalars(star, w, cfg, budget, cycle, phases) -> tuple[Weights, list[dict]]:
     """w2, then beta."""
     rows = []
     for name in ("w2", "beta"):
@@ -155,7 +155,7 @@ def _fit_scalars(star, w, cfg, cycle, phases) -> tuple[Weights, list[dict]]:
         if cfg.solver == "line":
             found = scalars.walk(star, w, name)
         else:
-            found = scalars.bounded(star, w, name, cfg.scalar_scope)
+            found = scalars.bounded(star, w, name, cfg.scalar_scope, budget)
         w = w.with_value(name, found["value"])
         rows.append({"iteration": cycle, **found})
         phases[name] += time.perf_counter() - tick
@@ -179,7 +179,10 @@ def attempt_rows(fitted: DataFrame, block: str, key: str, cycle: int) -> DataFra
         "algorithm",
         "fallback_used",
         "objective_evaluations",
-        F.when(F.col("accepted") == 1, "accepted").otherwise("rejected").alias("status"),
+        F.when(F.col("attempted") == 0, "skipped")
+        .when(F.col("accepted") == 1, "accepted")
+        .otherwise("rejected")
+        .alias("status"),
         F.col("ll_before").alias("initial_log_likelihood"),
         F.col("ll_after").alias("final_log_likelihood"),
         (F.col("ll_after") - F.col("ll_before")).alias("improvement"),
@@ -239,7 +242,7 @@ def _alternate(data, cfg, weights, member_seeds, period_seeds, given_bills, bega
         if not cfg.fix_globals:
             if star is None:
                 star = _joined(data, state, bills)
-            w, rows = _fit_scalars(star, w, cfg, cycle, phases)
+            w, rows = _fit_scalars(star, w, cfg, budget, cycle, phases)
             scalar_rows += rows
         if star is not None:
             star.unpersist()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Weights
+from ..config import Precision, Weights
 from ..functions import probit, spatial
 
 # First step, bounds and local box of the two scalars.
@@ -15,6 +15,7 @@ LOCAL_RADIUS = {"beta": 1.6, "w2": 0.16}
 UPHILL_STEPS = 15
 NEAR_STEPS = 3  # lattice steps on each side fetched with the first scan
 HALVINGS = 32768.0
+GRID = 32  # steps across the box in one scan of the bounded search
 
 
 def candidate_likelihoods(star: DataFrame, w: Weights, name: str, values: list[float]) -> DataFrame:
@@ -147,23 +148,48 @@ def walk(star: DataFrame, w: Weights, name: str) -> dict:
     }
 
 
-def bounded(star: DataFrame, w: Weights, name: str, scope: str = "local", passes: int = 2) -> dict:
-    """Best value inside the box by nested grids; kept only if the likelihood holds."""
+def bounded(
+    star: DataFrame,
+    w: Weights,
+    name: str,
+    scope: str = "local",
+    precision: Precision | None = None,
+) -> dict:
+    """Best value inside the box by nested grids; kept only if the likelihood holds.
+
+    Each pass is one scan. The box shrinks to the neighbours of the best value until it is
+    narrower than the x tolerance ("x"), a finer grid gains no more than the f tolerance ("f"),
+    both relative, or the evaluations are spent ("budget"); `stop` says which.
+    """
+    precision = precision or Precision.profile()
     low, high = BOUNDS[name]
     start = min(max(getattr(w, name), low), high)
     if scope == "local":
         low, high = max(low, start - LOCAL_RADIUS[name]), min(high, start + LOCAL_RADIUS[name])
     ask = Objective(star, w, name)
     a, b = low, high
-    points = 32
-    value = start
-    for _ in range(passes):
-        grid = [a + (b - a) * i / points for i in range(points + 1)]
-        ask.fetch([*grid, start, *_vertex(ask.known, value)] if ask.known else [*grid, start])
+    value, stop = start, ""
+    while not stop:
+        left = precision.scalar_evals - len(ask.known)
+        # Room for the start and the vertex; a grid needs an inner point.
+        points = min(GRID, left - 3)
+        if points < 2:
+            stop = "budget"
+            break
+        before = ask.known.get(value)
+        peak = _vertex(ask.known, value) if ask.known else []
+        ask.fetch([*(a + (b - a) * i / points for i in range(points + 1)), start, *peak])
         value = max(ask.known, key=ask.known.get)
-        width = (b - a) / points
-        a, b = max(low, value - width), min(high, value + width)
-    first, last = ask(start), ask(value)
+        best = ask(value)
+        known = sorted(ask.known)
+        at = known.index(value)
+        a, b = known[max(0, at - 1)], known[min(len(known) - 1, at + 1)]
+        if b - a <= precision.x_tol * max(1.0, abs(value)):
+            stop = "x"
+        elif before is not None and best - before <= precision.f_tol * max(1.0, abs(best)):
+            stop = "f"
+    first = ask(start)
+    last = ask(value)
     accepted = last >= first
     if not accepted:
         value, last = start, first
@@ -175,6 +201,8 @@ def bounded(star: DataFrame, w: Weights, name: str, scope: str = "local", passes
         "ll_before": first,
         "ll_after": last,
         "scans": ask.scans,
+        "evaluations": len(ask.known),
+        "stop": stop,
         "accepted": int(accepted),
         "at_bound": int(value <= edge[0] or value >= edge[1]),
     }

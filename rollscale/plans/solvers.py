@@ -45,12 +45,54 @@ class _Gains:
         return stop
 
 
+class _Watch:
+    """What a solver asks of the objective: evaluations, and those outside the ball.
+
+    The first `dims` parameters belong in the unit ball; an excess is a squared radius above 1.
+    """
+
+    TOLERANCE = 1e-10
+
+    def __init__(self, groups, dims):
+        self.dims = dims
+        self.evaluations = np.zeros(groups, dtype=int)
+        self.outside = np.zeros(groups, dtype=int)
+        self.violation = np.zeros(groups)
+        self.correction = np.zeros(groups)
+
+    def excess(self, thetas):
+        return np.maximum(0.0, (thetas[..., : self.dims] ** 2).sum(axis=-1) - 1.0)
+
+    def see(self, thetas, asked):
+        """Points x groups x parameters, of which `asked` are evaluated."""
+        excess = np.where(asked, self.excess(thetas), 0.0)
+        self.evaluations += asked.sum(axis=0)
+        self.outside += (excess > self.TOLERANCE).sum(axis=0)
+        self.violation = np.maximum(self.violation, excess.max(axis=0))
+
+    def corrected(self, raw, kept, moved):
+        """Groups that moved to a point which a projection took from `raw` to `kept`."""
+        norm = np.sqrt(((raw - kept) ** 2).sum(axis=1))
+        self.correction = np.maximum(self.correction, np.where(moved, norm, 0.0))
+
+    def report(self, theta):
+        return {
+            "evaluations": self.evaluations,
+            "violation": self.excess(theta),
+            "correction": self.correction,
+            "outside": self.outside,
+            "objective_violation": self.violation,
+        }
+
+
 def fit_items_line(rows, start: np.ndarray, dims: int, cfg: LineSearch):
     """Alternate spread and midpoint line searches per roll call."""
     theta = start.copy()
     counts = rows.counts
     voted = counts > 0
     n = np.maximum(counts, 1)[:, None]
+    watch = _Watch(len(theta), dims)
+    watch.see(theta[None], voted[None])
     first = rows.derivatives(theta, voted)[0]
     mid, spr = list(range(dims)), list(range(dims, 2 * dims))
     steps = np.zeros((2, len(theta)), dtype=int)
@@ -78,6 +120,7 @@ def fit_items_line(rows, start: np.ndarray, dims: int, cfg: LineSearch):
             thetas, valid = _line_points(
                 theta, direction, columns, norm, cfg, cfg.points, not is_spread
             )
+            watch.see(thetas, valid & moving)
             found = rows.candidates(thetas, valid & moving)
             best = found.argmax(axis=0)  # first of the ties
             at = np.arange(len(theta))
@@ -93,7 +136,7 @@ def fit_items_line(rows, start: np.ndarray, dims: int, cfg: LineSearch):
         phase(spr, True)
         phase(mid, False)
     final = rows.derivatives(theta, voted)[0]
-    return theta, {"initial": first, "final": final, "steps": steps}
+    return theta, {"initial": first, "final": final, "steps": steps, **watch.report(theta)}
 
 
 def _rescue_grid():
@@ -117,6 +160,9 @@ def fit_actors_line(rows, start, order, dims: int, cfg: LineSearch):
     theta[:, :dims] = start[:, :dims]
     norm = np.sqrt((theta[:, :dims] ** 2).sum(axis=1))
     theta[:, :dims] *= np.where(norm > 1.0, cfg.interior / np.maximum(norm, 1e-300), 1.0)[:, None]
+    watch = _Watch(groups, dims)
+    watch.corrected(start[:, :dims], theta[:, :dims], voted)
+    watch.see(theta[None], voted[None])
     initial = rows.derivatives(theta[:, :dims], voted)[0]
     rescued = np.zeros(groups, dtype=bool)
 
@@ -141,7 +187,9 @@ def fit_actors_line(rows, start, order, dims: int, cfg: LineSearch):
                     grid = _rescue_grid()
                     tried = np.repeat(current[None], len(grid), axis=0)
                     tried[..., :2] = grid[:, None, :]
-                    found = rows.candidates(tried, np.broadcast_to(low, tried.shape[:2]))
+                    asked = np.broadcast_to(low, tried.shape[:2])
+                    watch.see(tried, asked)
+                    found = rows.candidates(tried, asked)
                     theta[low, :2] = grid[found.argmax(axis=0)][low]
                     current = theta[:, :width]
                     ll, gradient, _ = rows.derivatives(current, active)
@@ -151,6 +199,7 @@ def fit_actors_line(rows, start, order, dims: int, cfg: LineSearch):
             thetas, valid = _line_points(
                 current, direction, columns, norm, cfg, points, term == 0
             )
+            watch.see(thetas, valid & moving)
             found = rows.candidates(thetas, valid & moving)
             best = len(found) - 1 - found[::-1].argmax(axis=0)  # last of the ties
             at = np.arange(groups)
@@ -158,7 +207,13 @@ def fit_actors_line(rows, start, order, dims: int, cfg: LineSearch):
             gmp = np.where(moving, _gmp(found[best, at], counts), _gmp(ll, counts))
             active &= moving & ~gains.small(step, gmp)
     final = rows.derivatives(theta, voted)[0]
-    return theta, {"initial": initial, "final": final, "rescued": rescued}
+    return theta, {
+        "initial": initial,
+        "final": final,
+        "rescued": rescued,
+        "snapped": watch.correction > 0,
+        **watch.report(theta),
+    }
 
 
 def fit_constrained(rows, start, free, dims: int, beta: float, precision: Precision, budget: int):
@@ -172,12 +227,15 @@ def fit_constrained(rows, start, free, dims: int, beta: float, precision: Precis
     counts = rows.counts
     voted = counts > 0
     theta, snapped = project_first(start, dims)
+    watch = _Watch(groups, dims)
+    watch.corrected(start, theta, voted)
+    watch.see(theta[None], voted[None])
     ll = rows.derivatives(theta, voted)[0]
     initial = ll.copy()
     damping = np.full(groups, 1e-3)
     active = voted.copy()
     fallback = np.zeros(groups, dtype=bool)
-    evaluations = np.ones(groups, dtype=int)
+    spent = np.ones(groups, dtype=int)
     lengths = np.array([2.0, 1.0, 0.5, 0.25, 0.0625])
     eye = np.eye(p)
     scale = GRAD_SCALE * beta
@@ -194,36 +252,39 @@ def fit_constrained(rows, start, free, dims: int, beta: float, precision: Precis
         norm = np.maximum(np.sqrt((gradient**2).sum(axis=1)), 1e-300)[:, None]
         steps = [theta + s * newton for s in lengths]
         steps += [theta + s * gradient / norm for s in (0.05, 0.005)]
-        thetas, _ = project_first(np.stack(steps), dims)
-        found = rows.candidates(thetas, np.broadcast_to(active, thetas.shape[:2]))
+        raw = np.stack(steps)
+        thetas, _ = project_first(raw, dims)
+        asked = np.broadcast_to(active, thetas.shape[:2])
+        watch.see(thetas, asked)
+        found = rows.candidates(thetas, asked)
         found = np.where(np.isfinite(found), found, -np.inf)
         best = found.argmax(axis=0)
         at = np.arange(groups)
         new_ll, moved = found[best, at], thetas[best, at]
         better = active & (new_ll > ll)
+        watch.corrected(raw[best, at], moved, better)
         gain = np.where(better, new_ll - ll, 0.0)
         shift = np.abs(moved - theta).max(axis=1)
         theta = np.where(better[:, None], moved, theta)
         ll = np.where(better, new_ll, ll)
         fallback |= better & (best >= len(lengths))
         damping = np.where(better, np.maximum(damping * 0.3, 1e-9), damping * 10.0)
-        evaluations += active * (len(thetas) + 1)
+        spent += active * (len(thetas) + 1)
         done = better & (
             (gain <= precision.f_tol * np.maximum(1.0, np.abs(ll)))
             | (shift <= precision.x_tol)
         )
-        active &= ~done & (damping < 1e6) & (evaluations < budget)
-    radius = np.sqrt((theta[:, :dims] ** 2).sum(axis=1))
-    violation = np.maximum(0.0, radius * radius - 1.0)
+        active &= ~done & (damping < 1e6) & (spent < budget)
+    report = watch.report(theta)
+    feasible = report["violation"] <= precision.constraint_tol
     return theta, {
         "initial": initial,
         "final": ll,
-        "evaluations": evaluations,
         "fallback": fallback,
         "attempted": voted,
-        "accepted": voted & (violation <= precision.constraint_tol) & (ll >= initial),
-        "violation": violation,
+        "accepted": voted & feasible & (ll >= initial),
         "snapped": snapped,
+        **report,
     }
 
 

@@ -201,6 +201,18 @@ def test_bounded_scalars_respect_box_and_likelihood(panel):
             if scope == "local":
                 assert abs(found["value"] - found["initial"]) <= scalars.LOCAL_RADIUS[name] + 1e-12
             assert found["ll_after"] >= found["ll_before"]
+            assert found["stop"] in ("x", "f")
+            # No value of a fine lattice around the answer is better.
+            ask = scalars.Objective(star, START, name)
+            ask.fetch([found["value"] * (1 + i * 1e-4) for i in range(-20, 21)])
+            reach = scalars.LOCAL_RADIUS[name] if scope == "local" else np.inf
+            inside = [
+                v for v in ask.known if low <= v <= high and abs(v - found["initial"]) <= reach
+            ]
+            assert found["ll_after"] >= max(ask.known[v] for v in inside) - 1e-6
+        tight = replace(Precision.profile(), scalar_evals=20)
+        found = scalars.bounded(star, START, name, "local", tight)
+        assert found["stop"] == "budget" and found["evaluations"] <= 20
 
 
 def agreement(panel, fit):
@@ -237,7 +249,16 @@ def test_stopping_rule_and_attempts(panel):
     from rollscale.operators import audit
 
     row = audit.check_trace(fit.attempts)
-    assert row["accepted_infeasible"] == 0
+    assert row["accepted_infeasible"] == 0 and row["infeasible_evaluations"] == 0
+    tried = fit.attempts.where("attempted = 1")
+    assert tried.where("objective_evaluations < 2").isEmpty()
+    assert not tried.where("feasibility_correction_norm > 0").isEmpty()
+    assert fit.attempts.where("attempted = 0 AND status <> 'skipped'").isEmpty()
+    broken = fit.attempts.withColumn(
+        "raw_return_feasible", (F.col("item_index") % 2 == 0).cast("int")
+    )
+    with pytest.raises(ValueError, match="infeasible"):
+        audit.check_trace(broken)
 
 
 def test_given_starts_override_and_frozen_parts_stay(panel):
