@@ -124,6 +124,56 @@ def fit_legislators_constrained(p):
     return _actors(p, replace(BASE, solver="constrained"))
 
 
+SOLVERS = ("line", "constrained")
+
+
+@query(
+    "solver:s rollcall_id:l votes:l inside:i not_worse:i",
+    """SELECT solver, rollcall_id, yea + nay AS votes, 1 AS inside, 1 AS not_worse
+FROM bills, (VALUES ('line'), ('constrained')) AS s(solver) WHERE valid""",
+)
+def fit_rollcalls_invariants(p):
+    """What holds for every fitted roll call: all its votes read, midpoint in the ball, no loss of
+    the constrained fit."""
+    found = None
+    for solver in SOLVERS:
+        fitted = _items(p, replace(BASE, solver=solver))
+        one = fitted.select(
+            F.lit(solver).alias("solver"),
+            "rollcall_id",
+            "votes",
+            F.expr("sqrt(z1 * z1 + z2 * z2) <= 1 + 1e-9").alias("inside"),
+            F.expr(f"'{solver}' = 'line' or ll_after >= ll_before").alias("not_worse"),
+        )
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query(
+    "solver:s legislator_id:l served:i votes:l inside:i not_worse:i",
+    """SELECT solver, legislator_id, served, coalesce(votes, 0) AS votes, 1 AS inside, 1 AS not_worse
+FROM (SELECT legislator_id, count(*) AS served FROM placements GROUP BY 1)
+LEFT JOIN (SELECT legislator_id, count(*) AS votes FROM star GROUP BY 1) USING (legislator_id),
+  (VALUES ('line'), ('constrained')) AS s(solver)""",
+)
+def fit_legislators_invariants(p):
+    """What holds for every fitted member: periods, all votes read, intercept in the ball, no loss
+    of the constrained fit."""
+    found = None
+    for solver in SOLVERS:
+        fitted = _actors(p, replace(BASE, solver=solver))
+        one = fitted.select(
+            F.lit(solver).alias("solver"),
+            "legislator_id",
+            "served",
+            "votes",
+            F.expr("sqrt(b0_1 * b0_1 + b0_2 * b0_2) <= 1 + 1e-9").alias("inside"),
+            F.expr(f"'{solver}' = 'line' or ll_after >= ll_before").alias("not_worse"),
+        )
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def _with_truth(p, fit):
     """Fitted positions aligned to the true ones."""
     named = fit.state.select(
