@@ -110,15 +110,9 @@ def alignment(matched: DataFrame, by: list[str] | None = None) -> DataFrame:
         sums[f"m_{c}"] = F.avg(c)
     for i in "12":
         for j in "12":
-            sums[f"s{i}{j}"] = F.sum(F.col(f"a{i}") * F.col(f"b{j}"))
+            # Centred while it is summed: no digits cancel on a large panel.
+            sums[f"x{i}{j}"] = F.covar_pop(f"a{i}", f"b{j}") * n
     df = matched.groupBy(*by).agg(*[e.alias(k) for k, e in sums.items()])
-    df = df.withColumns(
-        {
-            f"x{i}{j}": F.col(f"s{i}{j}") - F.col("n") * F.col(f"m_a{i}") * F.col(f"m_b{j}")
-            for i in "12"
-            for j in "12"
-        }
-    )
     p, q = F.col("x11") + F.col("x22"), F.col("x12") - F.col("x21")
     r, s = F.col("x11") - F.col("x22"), F.col("x12") + F.col("x21")
     df = df.withColumns({"turn": F.sqrt(p * p + q * q), "mirror": F.sqrt(r * r + s * s)})
