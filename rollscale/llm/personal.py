@@ -15,14 +15,51 @@ BASE = ["email", "ip", "card", "phone"]
 ADDED = ["number", "secret"]
 KINDS = BASE + ADDED
 _LOCAL, _HOST = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9-]"
-#: The patterns of the kinds, with possessive loops (they can't give back anything that helps) and
-#: starts only where a run of their first characters starts, so time is linear in any text.
+_GAP, _END = r"[\x20().-]", r"(?![0-9A-Za-z@])"
+#: Complete numbers, which end where their shape ends even if more digits follow.
+_CARD = [rf"[0-9]{{4}}(?:{s}[0-9]{{4}}){{3}}" for s in (r"\x20", "-")]
+_COMPLETE = [
+    *_CARD,
+    *(rf"[0-9]{{4}}{s}[0-9]{{6}}{s}[0-9]{{5}}" for s in (r"\x20", "-")),
+    *(rf"[0-9]{{3}}{s}[0-9]{{2}}{s}[0-9]{{4}}" for s in (r"\x20", "-")),
+    r"(?:[0-9]{1,3}[\x20.-])?(?:\([0-9]{3}\)[\x20-]?|\(?[0-9]{3}\)?[\x20.-])[0-9]{3}[\x20.-][0-9]{4}",
+    *(rf"0[1-9](?:{s}[0-9]{{2}}){{4}}" for s in (r"\x20", r"\.", "-")),
+    r"0[0-9]{1,4}[\x20-][0-9]{5,8}",
+    "[0-9]{13,19}",
+]
+_WHOLE = rf"(?:{'|'.join(_COMPLETE)}){_END}(?![.-][0-9])"
+_NEXT = rf"{_GAP}{{1,2}}{_WHOLE}"
+#: A card with three digits more, or fewer at the end of a list; none that begin the next number.
+_LONG_CARD = "|".join(
+    rf"{c}(?!{_NEXT}){s}(?:[0-9]{{3}}|[0-9]{{1,2}}(?!{_NEXT}))"
+    for c, s in zip([*_CARD, "[0-9]{13,16}"], (r"\x20", "-", r"\x20"), strict=True)
+)
+_TIGHT = r"[0-9](?:[().-]{0,2}[0-9]){6,18}"
+_SHORT = r"[0-9]{3}\x20[0-9]{4}"
+#: Any other run of digits, up to where a complete number starts.
+_LOOSE = rf"[0-9](?:(?:[0-9]|[().-]{{1,2}}[0-9]|(?!{_NEXT}){_GAP}{{1,2}}[0-9])){{6,18}}{_END}"
+_REST = rf"{_GAP}{{1,2}}[0-9](?:{_GAP}{{0,2}}[0-9]){{0,5}}(?!{_GAP}{{0,2}}[0-9])"
+#: One number, the next one left to itself: complete shapes, runs without spaces or of three and
+#: four digits before another such, then runs that leave nothing or a number over, then any.
+_NUMBER = "|".join(
+    [
+        rf"(?:{_LONG_CARD}){_END}(?![.-][0-9])",
+        _WHOLE,
+        rf"\(?{_TIGHT}(?=\x20{{1,2}}\(?{_TIGHT}(?![0-9]))",
+        rf"{_SHORT}(?={_GAP}{{1,2}}{_SHORT}(?![0-9]))",
+        rf"\(?{_LOOSE}(?!{_REST})",
+        rf"\(?{_LOOSE}",
+    ]
+)
+#: The patterns of the kinds. Loops are possessive (they can't give back anything that helps), those
+#: of numbers bounded instead, as a number gives back what belongs to the next one; starts only where
+#: a run of their first characters starts. So time is linear in any text.
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_HOST}++(?:\.{_HOST}++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "number": r"(?<![0-9A-Za-z.+@])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}+(?![0-9A-Za-z@])",
+    "number": rf"(?<![0-9A-Za-z.+@])\+?(?:{_NUMBER})",
     "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{20,}+",
 }
 #: What a text must have for a pattern to be tried.

@@ -148,6 +148,51 @@ def test_personal_data_is_masked(spark, odd, documents):
     assert [r.text for r in out.collect() if r.doc_id == 2] == [None]
 
 
+#: Numbers next to each other, parted by spaces; each is a number of its own.
+ADJACENT = [
+    ["7536784127813050", "4845168114407329"],
+    ["123-45-6789", "987-65-4321", "111-22-3333"],
+    ["555-123-4567", "555-123-4568"],
+    ["(555) 123-4567", "(555) 123-4568", "(555) 123-4569"],
+    ["4111 1111 1111 1112", "4242 4242 4242 4243"],
+    ["4111-1111-1111-1112", "123-45-6789", "555-123-4567"],
+    ["3782 822463 10006", "3714 496353 98432"],
+    ["01 23 45 67 89", "01 23 45 67 98"],
+    ["030 1234567", "4111 1111 1111 1112", "040 7654321"],
+    ["1234567", "2345678", "3456789", "4567890"],
+    ["555 1234", "555 1235", "555 1236"],
+    ["+15551234567", "4111111111111112"],
+    ["4111111111111112 123", "4242424242424243 456"],
+    ["3704 0044 0532 0130 00"],
+]
+
+
+def test_adjacent_numbers_are_candidates(spark):
+    rows = [(i, " ".join(numbers) + " 2nd") for i, numbers in enumerate(ADJACENT)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in personal.detect(docs).collect():
+        spans = [(s.start, s.end) for s in r.base] + [(s.start, s.end) for s in r.more]
+        assert [r.text[a:b] for a, b in sorted(spans)] == ADJACENT[r.row.doc_id]
+
+
+def test_adjacent_numbers_are_masked(spark, documents):
+    lists = [" ".join(n) for n in ADJACENT[:6]]
+    rows = [(900 + i, f"Call or pay with card: {t}\nthen go on.") for i, t in enumerate(lists)]
+    more = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = documents.select("doc_id", "text").union(more)
+    want = {(900 + i, n) for i, numbers in enumerate(ADJACENT[:6]) for n in numbers}
+    told = {r.doc_id: r.spans for r in personal.find(docs).collect() if r.doc_id >= 900}
+    text = dict(rows)
+    got = set()
+    for d, spans in told.items():
+        for s in spans.split(","):
+            _, a, b = s.split(":")
+            got.add((d, text[d][int(a) : int(b)]))
+    assert got == want
+    masked = {r.doc_id: r.text for r in personal.mask(docs).collect()}
+    assert all(n not in masked[d] for d, n in want)
+
+
 @pytest.mark.parametrize("limits", [(3000, 4096), (3, 3)])
 @pytest.mark.parametrize("which", ["documents", "odd", "nothing"])
 def test_near_duplicates(request, monkeypatch, which, limits):
