@@ -23,9 +23,12 @@ LEAF, DEPTH = 3000, 3
 #: chance of about 2e-7 (five standard deviations).
 VALUES = 128
 MARGIN = 0.18
-#: Sets and bytes that one task compares at most by full sets; larger groups are dealt in chunks.
+#: Sets and bytes of a chunk, as dealt by hash: a comparison holds a chunk of a larger group and, in
+#: the second round, a block of questions of the same size.
 CHUNK, CHUNK_BYTES = 4096, 48 << 20
 PIVOTS = 8
+#: Counters of the order by which sets of large groups are filtered.
+COUNTERS = 1 << 16
 
 _MULTIPLIERS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(w.STEP)) | np.uint64(1)
 _MASKS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -152,8 +155,9 @@ def _by_set(payload: list[bytes], known: _Groups, ask: np.ndarray, similarity: f
                 yield int(i), int(j)
 
 
-def _compare(dealt: DataFrame, pairs, similarity: float, parts: int) -> DataFrame:
-    """Edges within each leaf. Rows: leaf, key, label (known component), ask, payload."""
+def _compare(dealt: DataFrame, pairs, similarity: float) -> DataFrame:
+    """Edges within each leaf. Rows: bucket, leaf, key, label (known component), ask, payload;
+    leaves of one bucket are in memory together."""
 
     def work(table: pa.Table) -> pa.Table:
         table = table.sort_by([("leaf", "ascending"), ("key", "ascending")])
@@ -181,10 +185,15 @@ def _compare(dealt: DataFrame, pairs, similarity: float, parts: int) -> DataFram
                 b.append(key[rows[y]])
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return (
-        dealt.withColumn("bucket", F.pmod(F.xxhash64("leaf"), F.lit(8 * parts)))
-        .groupBy("bucket")
-        .applyInArrow(work, _EDGES)
+    return dealt.groupBy("bucket").applyInArrow(work, _EDGES)
+
+
+def _chunks(payload: str) -> F.Column:
+    """The chunks of a group, by its sets and their bytes."""
+    return F.greatest(
+        F.ceil(F.count("*") / F.lit(CHUNK)),
+        F.ceil(F.sum(F.length(payload).cast("long")) / F.lit(CHUNK_BYTES)),
+        F.lit(1).cast("long"),
     )
 
 
@@ -193,29 +202,28 @@ def links(rows: DataFrame, pairs, similarity: float, parts: int, sizes: DataFram
 
     sizes has group and chunks. A group of one chunk is one leaf. A larger one is dealt into
     chunks, each with some common pivots, and joined up; then only keys outside the group's
-    largest component are compared once more, with every chunk, so no pair is missed and pairs
-    inside the large component are never formed.
+    largest component are compared once more: they are dealt into blocks like chunks, and every
+    block meets every chunk in a leaf and a task of its own, so no pair is missed, pairs inside the
+    large component are never formed, and no leaf holds more than a chunk and a block.
     """
     sized = joined(rows, sizes, "group").withColumn(
         "chunk", F.pmod(F.xxhash64("key", "group"), F.col("chunks"))
     )
-    leaf = F.xxhash64("group", "chunk").alias("leaf")
+    leaf = F.xxhash64("group", "chunk")
+    bucket = F.when(F.col("chunks") > 1, leaf).otherwise(F.pmod(leaf, F.lit(8 * parts)))
     blank = F.lit(None).cast("binary").alias("label")
-    plain = sized.select(leaf, "key", blank, F.lit(True).alias("ask"), "payload")
+    whole = [bucket.alias("bucket"), leaf.alias("leaf"), "key", blank]
+    whole += [F.lit(True).alias("ask"), "payload"]
+    plain = sized.select(*whole)
     if sizes.where("chunks > 1").isEmpty():
-        return _compare(plain, pairs, similarity, parts)
+        return _compare(plain, pairs, similarity)
     large = stored(sized.where("chunks > 1"), "large-groups")
     pivots = large.where(
         F.pmod(F.xxhash64(F.lit(7), "key", "group"), F.col("chunks") * F.lit(CHUNK))
         < F.lit(PIVOTS)
     ).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     first = stored(
-        _compare(
-            plain.union(pivots.select(leaf, "key", blank, F.lit(True).alias("ask"), "payload")),
-            pairs,
-            similarity,
-            parts,
-        ),
+        _compare(plain.union(pivots.select(*whole)), pairs, similarity),
         "links",
     )
     labelled = joined(large, components(first), "key", "left").withColumn(
@@ -229,12 +237,100 @@ def links(rows: DataFrame, pairs, similarity: float, parts: int, sizes: DataFram
         .agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     )
     judged = joined(labelled, main, "group").withColumn("ask", F.col("label") != F.col("main"))
+    blocks = judged.where("ask").groupBy("group").agg(_chunks("payload").alias("blocks"))
+    judged = joined(judged, stored(blocks, "question-blocks"), "group")
     asked = judged.where("ask").withColumn(
+        "block", F.pmod(F.xxhash64(F.lit(11), "key", "group"), F.col("blocks"))
+    )
+    asked = asked.withColumn(
         "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     )
-    columns = [leaf, F.col("key"), F.col("label"), F.col("ask"), F.col("payload")]
+    judged = judged.withColumn("ask", F.lit(False)).withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    )
+    leaf = F.xxhash64("group", "chunk", "block")
+    columns = [leaf.alias("bucket"), leaf.alias("leaf"), "key", "label", "ask", "payload"]
     again = judged.select(*columns).union(asked.select(*columns))
-    return first.union(_compare(again, pairs, similarity, parts))
+    return first.union(_compare(again, pairs, similarity))
+
+
+def filtered(rows: DataFrame, sizes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """rows (group, key, payload) and sizes, the groups of several chunks cut into finer ones.
+
+    Of two sets of at least the similarity s, the smaller has one of its first
+    n - ceil(2 * s / (1 + s) * n) + 1 members among the first n - ceil(s * n) + 1 of the larger,
+    whatever order both follow. The order is rarest first, by a table of COUNTERS hashed counts, so
+    what templates share comes last. Only sets that such members connect stay together; those
+    without company have no similar set and leave. Linear in the members.
+    """
+    large = sizes.where("chunks > 1").select("group")
+    if large.isEmpty():
+        return rows, sizes
+    many = stored(joined(rows, large, "group"), "filtered-groups")
+    limit = round(similarity * 100)
+
+    def place(members: np.ndarray) -> np.ndarray:
+        return (mix(members) % np.uint64(COUNTERS)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for p in batch.column("payload"):
+                members = np.frombuffer(p.as_buffer(), np.uint64)
+                total += np.bincount(place(members), minlength=COUNTERS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["at", "n"]
+        )
+
+    told = in_python(many.select("payload"), count, "at long, n long")
+    counts = np.zeros(COUNTERS, np.int64)
+    for r in told.groupBy("at").agg(F.sum("n").alias("n")).collect():
+        counts[r["at"]] = r["n"]
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "payload"):
+            firsts, short, long, size = [], [], [], []
+            for p in batch.column("payload"):
+                members = np.frombuffer(p.as_buffer(), np.uint64)
+                n = len(members)
+                order = np.lexsort((members, counts[place(members)]))
+                long.append(n + limit * n // -100 + 1)
+                short.append(n + 2 * limit * n // -(100 + limit) + 1)
+                size.append(n)
+                firsts.append(members[order[: long[-1]]].view(np.int64))
+            at = np.repeat(np.arange(len(firsts)), long)
+            rank = np.arange(len(at)) - np.repeat(np.cumsum(long) - long, long)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("group").take(pa.array(at)),
+                    batch.column("key").take(pa.array(at)),
+                    pa.array(np.concatenate(firsts), pa.int64()),
+                    pa.array(np.array(size)[at], pa.int64()),
+                    pa.array(rank < np.array(short)[at]),
+                ],
+                ["group", "key", "member", "size", "early"],
+            )
+
+    firsts = in_python(
+        many.select("group", "key", "payload"),
+        begin,
+        "group binary, key binary, member long, size long, early boolean",
+    )
+    firsts = stored(
+        firsts.select(_node("group", "member"), "key", "size", "early"), "first-members"
+    )
+    # All that must meet at a node does so through its smallest early set.
+    heads = firsts.where("early").groupBy("node").agg(F.min(F.struct("size", "key")).alias("head"))
+    met = joined(firsts, heads, "node").where("size >= head.size AND key <> head.key")
+    met = met.select(F.col("key").alias("a"), F.col("head.key").alias("b"))
+    finer = joined(many.drop("group"), components(met), "key")
+    finer = stored(finer.select(F.col("label").alias("group"), "key", "payload"), "finer-groups")
+    few = joined(rows, large, "group", "left_anti").select("group", "key", "payload")
+    chunks = finer.groupBy("group").agg(_chunks("payload").alias("chunks"))
+    return few.union(finer), stored(
+        sizes.where("chunks = 1").union(chunks.select("group", "chunks")), "finer-sizes"
+    )
 
 
 def _node(*parts) -> F.Column:
@@ -321,8 +417,9 @@ def classes(
     Documents with the same set fold into one at once. A set follows, in TREES trees, the nodes of
     its minwise tokens; a node with more than LEAF sets branches again by BRANCHES tokens of each
     node. Sets in a leaf whose sketches agree form candidate edges, only as many as connect them.
-    Components of these are then settled on full sets, each of which moves once: intersections
-    are counted exactly and again only connecting links are kept. A pair at the threshold meets in
+    Components of these are then settled on full sets, those of several chunks after a filter of
+    their first members: intersections are counted exactly and again only connecting links are
+    kept. Full sets move once, of large components once more for each block or chunk they meet. A pair at the threshold meets in
     a small node with a chance of 1 - 0.2 ^ 12, in a deep one of 1 - 0.0625 ^ 6.
     """
     spark = docs.sparkSession
@@ -356,6 +453,7 @@ def classes(
         full_sets(docs, grouped.select("doc_id", "key", "group"), width).dropDuplicates(["key"]),
         "full-sets",
     )
+    payload, sizes = filtered(payload, sizes, similarity)
     exact = stored(links(payload, _by_set, similarity, parts, sizes), "exact-links")
     labelled = joined(sets.select("key", "doc_id"), components(exact), "key", "left")
     labelled = labelled.select("key", "doc_id", F.coalesce("label", "key").alias("label"))

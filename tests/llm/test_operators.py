@@ -221,6 +221,53 @@ def test_near_duplicates(request, monkeypatch, which, limits):
     assert collections.Counter(map(tuple, got)) == want
 
 
+@pytest.fixture
+def templated(spark):
+    """300 sets of one group that share 70 of 85 members, at about 0.7, and 20 pairs of them at 0.9.
+    Keys, sets by key, rows, sizes."""
+    rng = np.random.default_rng(3)
+    new = lambda n: rng.integers(1, 1 << 63, n, dtype=np.uint64)
+    shared, sets = new(70), []
+    for i in range(280):
+        sets.append(np.concatenate([shared, new(15)]))
+        if i < 20:
+            sets.append(np.concatenate([sets[-1][:-4], new(4)]))
+    sets = {neardup._key(np.sort(s)): np.sort(s) for s in sets}
+    rows = [(bytearray(b"g"), bytearray(k), bytearray(s.tobytes())) for k, s in sets.items()]
+    rows = spark.createDataFrame(rows, "group binary, key binary, payload binary")
+    keys = list(sets)
+    want = {frozenset(keys[2 * i : 2 * i + 2]) for i in range(20)}
+    return rows, want
+
+
+def test_near_duplicate_leaves_are_bounded(spark, templated, monkeypatch):
+    rows, want = templated
+    monkeypatch.setattr(neardup, "CHUNK", 30)
+    held, compare = [], neardup._compare
+
+    def spy(dealt, *args):
+        name = "bucket" if "bucket" in dealt.columns else "leaf"
+        held.append(max(r["count"] for r in dealt.groupBy(name).count().collect()))
+        return compare(dealt, *args)
+
+    monkeypatch.setattr(neardup, "_compare", spy)
+    sizes = spark.createDataFrame([(bytearray(b"g"), 10)], "group binary, chunks long")
+    found = neardup.links(rows, neardup._by_set, 0.8, 4, sizes).collect()
+    assert {frozenset([bytes(r.a), bytes(r.b)]) for r in found} == want
+    assert len(held) == 2 and max(held) <= 4 * 30
+
+
+def test_near_duplicate_filter_leaves_similar_sets_together(spark, templated):
+    rows, want = templated
+    sizes = spark.createDataFrame([(bytearray(b"g"), 10)], "group binary, chunks long")
+    finer, chunks = neardup.filtered(rows, sizes, 0.8)
+    groups = collections.defaultdict(set)
+    for r in finer.collect():
+        groups[bytes(r.group)].add(bytes(r.key))
+    assert {frozenset(g) for g in groups.values()} == want
+    assert {(bytes(r.group), r.chunks) for r in chunks.collect()} == {(g, 1) for g in groups}
+
+
 def test_near_duplicate_stage_keeps_one_row_each(odd):
     out = neardup.deduplicate(odd)
     assert out.columns == odd.columns
