@@ -23,8 +23,9 @@ MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 class Words:
     """Ids of texts, word by word: the vocabulary drops white space and merges nothing over it.
 
-    A word of letters and closing marks is the ids of its letters, then those of the marks, as the
-    pre-tokenizer separates letters from other characters and lower-cases them.
+    A word of ASCII letters and closing marks is the ids of its letters, then those of the marks, as
+    the pre-tokenizer separates letters from other characters and lower-cases them. Other words are
+    encoded whole: normalised, a last letter can end in a combining mark that joins the marks.
     """
 
     def __init__(self, tokenizer: str):
@@ -42,9 +43,8 @@ class Words:
         for word in words:
             text = word.decode()
             stem = text.rstrip(MARKS)
-            if stem.isalpha():
-                low = stem.lower() if stem.isascii() else stem
-                split.append((low, text[len(stem) :]))
+            if stem.isascii() and stem.isalpha():
+                split.append((stem.lower(), text[len(stem) :]))
             else:
                 split.append((text, ""))
         for part in self.parts.missing({p for own in split for p in own}):

@@ -63,6 +63,14 @@ def test_packing_is_a_round_trip(request, which):
     assert crc == {p.sequence_id: zlib.crc32(p.ids) for p in pieces}
 
 
+def test_packing_of_letters_that_normalise_to_marks(spark):
+    text = "VERGİ, ALİ! ALİ क\u095e, \u092b\u093c, ש\ufb2a! Élan, ÉTÉ. stra\u00dfe; Word, word?"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    pieces = sorted(packing.pack(docs, WORD_BPE).collect(), key=lambda p: p.start)
+    got = np.frombuffer(b"".join(p.ids for p in pieces), "<u4").tolist()
+    assert got == [*Tokenizer.from_file(WORD_BPE).encode(text, add_special_tokens=False).ids, 1]
+
+
 @pytest.mark.parametrize("which", ["documents", "odd", "nothing"])
 def test_byte_pairs_equal_the_library(request, which):
     docs = request.getfixturevalue(which)
