@@ -18,18 +18,26 @@ from rollscale.llm.common import in_python, slices, texts
 #: Elements that do not end a block of text.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark "
-    "q s samp small span strike strong sub sup time tt u var wbr".split()
+    "q s samp small span strike strong sub sup time tt u var wbr "
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom "
+    "mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder "
+    "munderover none semantics annotation annotation-xml".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never text of the page.
+#: Elements whose content is never text of the page: of the first kind it has no tags and runs to
+#: the end tag or the end of the page, the others are open elements that silence what is inside.
+RAW = frozenset("script style textarea title".split())
 SILENT = frozenset(
-    "script style noscript template svg iframe object select option button textarea title "
-    "canvas audio video math".split()
+    "noscript template svg iframe object select option button canvas audio video".split()
 )
+#: Tags that end open silent elements whose end tag is missing, but for KEPT, which may hold them.
+SECTIONS = frozenset("article aside body footer header main nav section".split())
+KEPT = frozenset(("noscript", "template"))
 #: An opening tag ends an open element of these names.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
-    "td": {"td", "th"}, "th": {"td", "th"},
+    "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"},
+    "button": {"button"},
 }
 CLOSES_P = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr "
@@ -103,8 +111,23 @@ def blocks(page: str) -> list[Block]:
             if stack[i][0] in until:
                 return
 
+    def silent() -> bool:
+        return any(t[0] in SILENT for t in stack)
+
+    lasts: dict[str, int] = {}
+
+    def ends(tag: str, at: int) -> bool:
+        """Whether an end tag follows; option needs none."""
+        if tag not in lasts:
+            lasts[tag] = max(
+                (m.start() for m in re.finditer(rf"</{tag}\s*>", page, re.I)), default=-1
+            )
+        return tag == "option" or lasts[tag] >= at
+
     def add(text: str):
         nonlocal linked, path
+        if silent():
+            return
         if not parts:
             if text.isspace():
                 return
@@ -121,17 +144,32 @@ def blocks(page: str) -> list[Block]:
         if (tag := m[2]) is None:
             continue
         tag = tag.lower()
+        quiet = silent()
         if m[1]:
-            if tag not in INLINE:
+            if tag not in INLINE and not quiet:
                 flush()
             close({tag}, until=() if tag not in INLINE else ("p", "div", "article", "li", "td"))
+            if quiet and tag not in INLINE and tag not in ("button", "svg") and not silent():
+                flush()
             continue
-        if tag in SILENT:
+        if tag in RAW:
             if not m[3].endswith("/"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
-            if tag not in INLINE and tag not in ("button", "svg"):
+            if not quiet:
+                flush()
+            continue
+        if quiet and tag in SECTIONS and not any(t[0] in KEPT for t in stack):
+            while silent():
+                close(SILENT)
+            quiet = False
+        if quiet or tag in SILENT:
+            if not quiet and tag not in ("button", "svg"):
                 flush()
+            if tag in ENDS:
+                close(ENDS[tag], until=("ul", "ol", "dl", "table", "select", "datalist"))
+            if tag not in VOID and not m[3].endswith("/") and (tag not in SILENT or ends(tag, at)):
+                stack.append(_tokens(tag, m[3]))
             continue
         if tag == "br" or tag == "wbr":
             if parts:

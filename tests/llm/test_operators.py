@@ -436,6 +436,33 @@ def test_html_main_text(spark, labeller):
     assert not htmltext.fit(pages.where("false")).trained
 
 
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<datalist id=x><option value=A><option value=B></datalist>",
+        "<select><option>A<option>B<optgroup><option>C</select>",
+        *(f"<{t}>" for t in "button select object svg canvas video audio iframe".split()),
+        "<button>One <button>Two</button>",
+        "<object><param name=a>",
+        "<p>A <svg><path d=x><g></g></svg></p>",
+    ],
+)
+def test_html_after_silent_elements(before):
+    page = f"<body><div>{before}</div>{before}<article><p>Kept text.</p></article>"
+    for after in ("", "<button>Later</button><video>x</video><object>x</object><svg></svg>"):
+        got = [b.text for b in htmltext.blocks(page + after + "</body>")]
+        assert [t for t in got if t not in ("A", "One")] == ["Kept text."]
+
+
+def test_html_keeps_formulas_and_silences_inside():
+    page = (
+        "<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be <button><div>Buy</div></button>"
+        "<svg><g><text>no</text></g></svg>it.</p><template><article>no</article></template>"
+        "<select><option>a<option>b</select><p>End"
+    )
+    assert [b.text for b in htmltext.blocks(page)] == ["Let x=2 be it.", "End"]
+
+
 def test_html_on_held_out_pages(spark, labeller):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     texts = {r.page_id: r.text for r in htmltext.extract(pages, labeller).collect()}
