@@ -52,6 +52,12 @@ BAD = (
     "copyright toolbar masthead"
 ).split()
 _GOOD, _BAD = frozenset(GOOD), frozenset(BAD)
+#: Parts of names that tell a state of the page, not what an element holds, as first or last part.
+STATE_FIRST = frozenset("has with without no not is hide show".split())
+STATE_LAST = frozenset("open closed enabled disabled on off visible hidden".split())
+#: What stays other text whatever is named inside it.
+FIRM_TAGS = frozenset("nav footer aside header".split())
+FIRM = frozenset("comment comments reply replies discussion related recommended".split())
 
 PATH, WORDS, PLAIN = 96, 48, 8
 SIZE = PATH + WORDS + PLAIN
@@ -189,14 +195,38 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _named(element: tuple[str, ...]) -> set[str]:
+    """Tag, names and their parts, without names that tell a state."""
+    out, at = {element[0]}, 1
+    while at < len(element):
+        name = element[at].lstrip(".")
+        parts = [p for p in _SPLIT.split(name) if p and p != name]
+        at += 1 + len(parts)
+        if len(parts) < 2 or not (parts[0] in STATE_FIRST or parts[-1] in STATE_LAST):
+            out |= {name, *parts}
+    return out
+
+
 def judged(path: tuple) -> int:
-    """1 inside main text, 0 inside anything else that is named, -1 unknown."""
-    state = -1
+    """1 inside main text, 0 inside anything else that is named, -1 unknown.
+
+    The innermost named element decides, but nothing inside FIRM ones is main text. Names of html
+    and body, and a form that holds the page, say nothing.
+    """
+    state, outer = -1, True
     for element in path:
-        names = {t.lstrip(".") for t in element}
-        if names & _BAD and not (state == 1 and element[0] == "header"):
-            return 0
-        if names & _GOOD:
+        tag = element[0]
+        if tag in ("html", "body"):
+            continue
+        names = _named(element)
+        if tag == "form" and outer:
+            names.discard("form")
+        outer = False
+        if names & _BAD and not (state == 1 and tag == "header"):
+            if tag in FIRM_TAGS or names & FIRM:
+                return 0
+            state = 0
+        elif names & _GOOD:
             state = 1
     return state
 
@@ -327,6 +357,17 @@ def _varied(page: list[Block], known: list[int], pool: list[str], rng) -> tuple[
     good = (("div", "." + rng.choice(GOOD)), ("section", "." + rng.choice(GOOD)), ("div",))
     wrap = {}
     new, labels = [], []
+    state = f"{rng.choice(['has', 'with', 'no'])}-{rng.choice(BAD)}"
+    state = tuple("." + n for n in (state, *state.split("-")))
+    outer = (None, ("body", *state), ("div", *state), ("form",))[rng.integers(4)]
+
+    def wrapped(path):
+        """The path with a page wrapper whose names say nothing of the text."""
+        if outer is None or ("body",) not in path:
+            return path
+        at = path.index(("body",))
+        inner = () if outer[0] == "body" else (("body",),)
+        return (*path[:at], *inner, outer, *path[at + 1 :])
 
     def renamed(element, label):
         names = {t.lstrip(".") for t in element}
@@ -339,19 +380,20 @@ def _varied(page: list[Block], known: list[int], pool: list[str], rng) -> tuple[
     def intruder():
         tag = rng.choice(["p", "li", "div", "h3"])
         name = rng.choice(BAD)
-        outer = (name,) if rng.random() < 0.3 else ("div", "." + name)
+        around = (name,) if rng.random() < 0.3 else ("div", "." + name)
         path = (("html",), ("body",))
         if rng.random() < 0.4:
             path += (wrap.get("good", ("article",)),)
         for text in rng.choice(pool, rng.integers(1, 4)):
             words = str(text).split()
-            new.append(Block((*path, outer, (tag,)), " ".join(words[: rng.integers(1, 60)]), 0))
+            new.append(Block(wrapped((*path, around, (tag,))), " ".join(words[: rng.integers(1, 60)]), 0))
             labels.append(0)
 
     for b, y in zip(page, known, strict=True):
         if rng.random() < 0.08:
             intruder()
-        new.append(Block(tuple(renamed(e, y) for e in b.path), b.text, b.linked))
+        path = wrapped(tuple(renamed(e, y) for e in b.path))
+        new.append(Block(path, b.text, b.linked))
         labels.append(y)
     if rng.random() < 0.5:
         intruder()

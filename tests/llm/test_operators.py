@@ -463,6 +463,37 @@ def test_html_keeps_formulas_and_silences_inside():
     assert [b.text for b in htmltext.blocks(page)] == ["Let x=2 be it.", "End"]
 
 
+WRAPPERS = [
+    ("<body class='has-sidebar'>", ""),
+    ("<body class='single-post comments-open'>", ""),
+    ("<body><div class='main-content with-sidebar'>", "</div>"),
+    ("<body><div class='no-banner'>", "</div>"),
+    ("<body><form id=f action=x>", "</form>"),
+]
+
+
+def test_html_names_of_wrappers_and_inner_notices():
+    for start, end in WRAPPERS:
+        page = htmltext.blocks(
+            f"<html>{start}<nav>Menu</nav><article><p>Text<div class=notice>Note</div><p>More"
+            f"</article><footer><div class=content>Foot</div></footer>{end}</html>"
+        )
+        assert [(b.text, htmltext.judged(b.path)) for b in page[1:]] == [
+            ("Text", 1), ("Note", 0), ("More", 1), ("Foot", 0)
+        ], start
+        assert htmltext.judged(page[0].path) == 0
+
+
+def test_html_main_text_in_wrappers(spark, labeller):
+    page = lambda a, b: PAGE.replace("<body>", a).replace("</body>", b + "</body>")
+    rows = [(i, "u", page(a, b)) for i, (a, b) in enumerate(WRAPPERS)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in htmltext.extract(pages, labeller).collect():
+        # A header inside an element named as main text belongs to it, as a title may.
+        text = r.text.removeprefix("Tagline of the site here\n\n") if r.page_id == 2 else r.text
+        assert text.startswith("The title\n\nFirst & bold text") and "Great" not in text
+
+
 def test_html_on_held_out_pages(spark, labeller):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     texts = {r.page_id: r.text for r in htmltext.extract(pages, labeller).collect()}
