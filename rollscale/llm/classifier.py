@@ -145,6 +145,11 @@ def fit(docs: DataFrame, labels: DataFrame, rates: Ftrl = Ftrl(), most: int = MO
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text")).join(
         F.broadcast(chosen), "doc_id"
     )
+    # Rows that share an id: only the one whose text has the smallest hash, so `most` bounds them.
+    rows = rows.groupBy("doc_id").agg(
+        F.first("quality").alias("quality"), F.min(F.struct(F.xxhash64("text"), "text")).alias("best")
+    )
+    rows = rows.select("doc_id", "quality", F.col("best.text").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = _grams()
@@ -169,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, rates: Ftrl = Ftrl(), most: int = MO
                 np.frombuffer(r["at"], "<i4").astype(np.int64),
                 np.frombuffer(r["value"], "<f4").astype(float),
             )
-            for r in found[: 2 * most]
+            for r in found
         ],
         rates,
     )

@@ -374,6 +374,18 @@ def test_rules_and_classifier_on_held_out_labels(spark):
     assert sum(a == b for a, b in part) / len(part) > 0.95
 
 
+def test_classifier_reads_one_row_for_each_label(spark, monkeypatch):
+    rows = [(i % 6, f"text number {i} of some id") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, i % 2, 0) for i in range(6)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    want = labels.where(~classifier.held_out()).count()
+    read = []
+    monkeypatch.setattr(classifier, "train", lambda rows, *rest: read.append(len(rows)))
+    classifier.fit(docs, labels)
+    assert 0 < want and read == [want]
+
+
 def test_classifier_odd_inputs(spark, odd, nothing):
     labels = spark.createDataFrame([(3, 1), (8, 0), (None, 1)], "doc_id long, quality int")
     weights = classifier.fit(odd, labels)
