@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from rollscale.llm import bytepair, classifier, exact, htmltext, lines, neardup, packing, personal, rules, substrings
+from rollscale.llm import (
+    bytepair,
+    classifier,
+    exact,
+    htmltext,
+    lines,
+    neardup,
+    packing,
+    personal,
+    rules,
+    substrings,
+    whitening,
+)
 
 MODULES = {
     "op1_power_of_two_packing": packing,
@@ -15,6 +27,7 @@ MODULES = {
     "op8_ftrl_quality": classifier,
     "op9_block_anchor_repeats": substrings,
     "op10_exact_dedup": exact,
+    "op13_bit_sliced_whitening": whitening,
 }
 
 
