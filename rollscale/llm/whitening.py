@@ -119,7 +119,8 @@ class Whitening:
         centred = (x.astype(object if wide else np.int64) - whole).astype(np.float64) - part
         usable = self.values > 0
         scale = np.where(usable, np.sqrt(np.where(usable, self.values, 1.0)), np.nan)
-        return (centred @ self.vectors) / scale
+        # not a matrix product, whose rounding may depend on the place of a row in its batch
+        return np.einsum("ij,jk->ik", centred, self.vectors) / scale
 
     def deviation(self, x: np.ndarray) -> list[int]:
         """Sum over dimensions of (n x - sum)^2 by row, exact."""
