@@ -9,8 +9,10 @@ from rollscale.llm import (
     htmltext,
     lines,
     neardup,
+    neighbours,
     packing,
     personal,
+    prefixes,
     rules,
     substrings,
     whitening,
@@ -27,6 +29,8 @@ MODULES = {
     "op8_ftrl_quality": classifier,
     "op9_block_anchor_repeats": substrings,
     "op10_exact_dedup": exact,
+    "op11_conversation_prefix_trie": prefixes,
+    "op12_multiprobe_neighbours": neighbours,
     "op13_bit_sliced_whitening": whitening,
 }
 
