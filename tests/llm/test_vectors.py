@@ -155,7 +155,7 @@ def test_probes_come_in_order_of_cost():
     want = [[sum({-1: f**2, 0: 0, 1: (1 - f) ** 2}[d] for f, d in zip(w, m, strict=True)) for m in moves.tolist()] for w in within]
     assert np.allclose(index.costs(places), want)
     assert (index.visits(x, 1)[:, 0] == index.codes(np.floor(places).astype(int), 1)).all()
-    near = x + 0.01 * rng.normal(size=x.shape)
+    near = x * (2.999 / np.linalg.norm(x, axis=1))[:, None]
     assert (index.ranks(x, near, np.arange(9)) < 27).all()
 
 
