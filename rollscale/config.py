@@ -26,19 +26,23 @@ class Limits:
     """Sizes that decide between two exact ways of doing the same work.
 
     broadcast_rows: a table is only broadcast when its counted rows stay below this.
-    group_rows: groups above this never enter a single task; they take the
-        aggregate-per-step path instead.
+    group_rows: groups above this never enter a single task; the same kernels sum
+        their votes where they are, a job per solver step.
     block_rows: most rows a grouped numpy block should hold on average.
     least_block_rows: blocks are not cut smaller than this to feed idle cores.
     cached_star_rows: joined votes up to this many are kept for the scalar scans.
-    hot_batch: how many oversized groups are stepped together from the driver.
+    hot_batch: most oversized groups that are stepped together from the driver.
+    leaf_rows: points of an oversized roll call that are sorted together.
+    slice_rows: votes of an oversized group that lie together in a partition.
     """
 
     broadcast_rows: int = 1_000_000
     group_rows: int = 1_000_000
     block_rows: int = 40_000
     least_block_rows: int = 2_000
-    hot_batch: int = 5_000
+    hot_batch: int = 100_000
+    leaf_rows: int = 4_096
+    slice_rows: int = 100_000
     cached_star_rows: int = 50_000_000
 
 

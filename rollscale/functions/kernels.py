@@ -51,6 +51,13 @@ def signed_gap(rest, spread, sign, w: Weights) -> np.ndarray:
     return gap
 
 
+def path_basis(t: np.ndarray) -> np.ndarray:
+    """Legendre terms 0 to 3 of local times, a column each."""
+    basis = np.ones((len(t), 4))
+    basis[:, 1], basis[:, 2], basis[:, 3] = t, (3 * t**2 - 1) / 2, (5 * t**3 - 3 * t) / 2
+    return basis
+
+
 class ItemRows:
     """Votes of a block of roll calls; parameters vary by group."""
 

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FitConfig, Precision, Weights
-from ..functions.kernels import ActorRows, ItemRows
+from ..functions.kernels import ActorRows, ItemRows, path_basis
 from . import solvers
-from .hot import SparkActorRows, SparkItemRows
-from .layout import Layout, hot_batches
+from .layout import Layout, hot_groups
+from .spread import SpreadActorRows, SpreadItemRows
 
 ITEM_COLUMNS = ["z1", "z2", "d1", "d2"]
 BETA_COLUMNS = [f"b{j}_{k}" for j in range(4) for k in (1, 2)]
@@ -139,26 +139,26 @@ def fit_items(
         .cogroup(_renewed(starts).groupBy("block"))
         .applyInPandas(partial(_item_block, w=w, cfg=cfg, precision=precision), ITEM_SCHEMA)
     )
-    for keys, counts in hot_batches(layout, cfg.limits):
-        begin = {
-            r["rollcall_id"]: [r[c] for c in ITEM_COLUMNS]
-            for r in bills.where(F.col("rollcall_id").isin(keys)).collect()
-        }
-        kept = [(k, n) for k, n in zip(keys, counts) if k in begin]
-        if not kept:
-            continue
-        hot_rows = layout.hot.where(F.col("rollcall_id").isin([k for k, _ in kept])).join(
+    for hot in hot_groups(layout, cfg.limits, bills):
+        start = _starts_of(hot.keys, bills, "rollcall_id", ITEM_COLUMNS)
+        hot_rows = hot.rows.join(
             state.select("legislator_id", "period", "x1", "x2"), ["legislator_id", "period"]
         )
         hot_rows = hot_rows.select("rollcall_id", "vote", "x1", "x2").persist()
-        rows = SparkItemRows(hot_rows, "rollcall_id", [k for k, _ in kept], [n for _, n in kept], w)
-        start = np.array([begin[k] for k, _ in kept])
+        rows = SpreadItemRows(hot_rows, "rollcall_id", hot.keys, hot.counts, w)
         frame = _solve_items(rows, rows.keys, start, w, cfg, precision)
         hot_rows.unpersist()
         out = out.unionByName(out.sparkSession.createDataFrame(frame, ITEM_SCHEMA))
     return out
 
 
+def _starts_of(keys: list, starts: DataFrame, key: str, columns: list[str]) -> np.ndarray:
+    """Columns of a table with a row per group, in the order of some of its keys."""
+    wanted = starts.sparkSession.createDataFrame([(k,) for k in keys], f"{key} bigint")
+    found = {r[key]: [r[c] for c in columns] for r in starts.join(wanted, key).collect()}
+    return np.array([found[k] for k in keys])
+
+
 def _solve_actors(rows, keys, served, order, start, w, cfg: FitConfig, precision):
     began = time.perf_counter()
     dims = w.dims
@@ -193,12 +193,9 @@ def _actor_block(votes: pd.DataFrame, actors: pd.DataFrame, *, w, cfg, precision
     if not len(keys):
         return pd.DataFrame(columns=[c.split()[0] for c in ACTOR_SCHEMA.split(", ")])
     number = np.searchsorted(keys, votes["legislator_id"].to_numpy())
-    basis = np.ones((len(votes), 4))
-    t = votes["t"].to_numpy()
-    basis[:, 1], basis[:, 2], basis[:, 3] = t, (3 * t**2 - 1) / 2, (5 * t**3 - 3 * t) / 2
     rows = ActorRows(
         number,
-        basis,
+        path_basis(votes["t"].to_numpy()),
         votes[["z1", "z2"]].to_numpy(),
         votes[["d1", "d2"]].to_numpy(),
         votes["vote"].to_numpy(bool),
@@ -243,45 +240,23 @@ def fit_actors(
         .cogroup(_renewed(begin).groupBy("block"))
         .applyInPandas(partial(_actor_block, w=w, cfg=cfg, precision=precision), ACTOR_SCHEMA)
     )
-    for keys, _ in hot_batches(layout, cfg.limits):
-        start_of = {
-            r["legislator_id"]: r
-            for r in starts.where(F.col("legislator_id").isin(keys)).collect()
-        }
-        kept = [k for k in keys if k in start_of]
-        if not kept:
-            continue
-        t = F.col("t")
+    for hot in hot_groups(layout, cfg.limits, starts):
+        columns = ["served", "eff_order", *BETA_COLUMNS]
+        start = _starts_of(hot.keys, starts, "legislator_id", columns)
         hot_rows = (
-            layout.hot.where(F.col("legislator_id").isin(kept))
-            .join(params, "rollcall_id")
+            hot.rows.join(params, "rollcall_id")
             .join(times, ["legislator_id", "period"])
-            .select(
-                "legislator_id",
-                "vote",
-                t.alias("b1"),
-                ((t * t * 3.0 - 1.0) / 2.0).alias("b2"),
-                ((t * t * t * 5.0 - t * 3.0) / 2.0).alias("b3"),
-                *ITEM_COLUMNS,
-            )
+            .select("legislator_id", "vote", "t", *ITEM_COLUMNS)
             .persist()
         )
         n_of = {
             r["legislator_id"]: r["n"]
             for r in hot_rows.groupBy("legislator_id").agg(F.count("*").alias("n")).collect()
         }
-        rows = SparkActorRows(
-            hot_rows, "legislator_id", kept, [n_of.get(k, 0) for k in kept], w
-        )
+        counts = [n_of.get(k, 0) for k in hot.keys]
+        rows = SpreadActorRows(hot_rows, "legislator_id", hot.keys, counts, w)
         frame = _solve_actors(
-            rows,
-            kept,
-            [start_of[k]["served"] for k in kept],
-            np.array([start_of[k]["eff_order"] for k in kept]),
-            np.array([[start_of[k][c] for c in BETA_COLUMNS] for k in kept]),
-            w,
-            cfg,
-            precision,
+            rows, hot.keys, start[:, 0], start[:, 1].astype(int), start[:, 2:], w, cfg, precision
         )
         hot_rows.unpersist()
         out = out.unionByName(out.sparkSession.createDataFrame(frame, ACTOR_SCHEMA))

@@ -64,9 +64,15 @@ def lay_out(rows: DataFrame, key: str, limits: Limits, reuse: bool = False) -> L
     if hot_count:
         # At most (all rows / group_rows) keys, so this table is small by construction.
         hot_keys = sizes.where(hot_if).select(key, F.col("n").alias("rows"))
-        marked = broadcast_within(hot_keys.select(key), hot_count, limits.broadcast_rows)
-        small = rows.join(marked, key, "left_anti")
-        hot = rows.join(marked, key, "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+        small = rows.join(_sized(hot_keys, hot_count, limits), key, "left_anti")
+        hot = rows.join(_sized(hot_keys, hot_count, limits), key)
+        # Slices of a group lie together and sorted, so a task meets few groups, whole batches of
+        # one at a time.
+        others = [c for c in rows.columns if c != key]
+        slices = F.ceil(F.col("rows") / limits.slice_rows).cast("long")
+        hot = hot.withColumn("slice", F.pmod(F.xxhash64(*others), slices)).drop("rows")
+        hot = hot.repartition(key, "slice").sortWithinPartitions(key).drop("slice")
+        hot = hot.persist(StorageLevel.MEMORY_AND_DISK)
     tasks = max(1, min(blocks, 64 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     small = small.withColumn("block", block_column(key, blocks))
     if reuse:
@@ -74,13 +80,31 @@ def lay_out(rows: DataFrame, key: str, limits: Limits, reuse: bool = False) -> L
     return Layout(key, blocks, small, hot, hot_keys, hot_count, all_rows or 0)
 
 
-def hot_batches(layout: Layout, limits: Limits):
-    """Oversized keys in bounded batches of (keys, rows per key)."""
+def _sized(keys: DataFrame, count: int, limits: Limits) -> DataFrame:
+    return broadcast_within(keys, count, limits.broadcast_rows)
+
+
+@dataclass
+class HotGroups:
+    """Oversized groups that a solver advances together: keys in order, their counts and rows."""
+
+    keys: list
+    counts: list
+    rows: DataFrame
+
+
+def hot_groups(layout: Layout, limits: Limits, wanted: DataFrame | None = None):
+    """The oversized groups (of `wanted` only, if given), as a rule all at once; the batches only
+    bound what the driver holds for the solver."""
     if not layout.hot_count:
         return
+    key, keys = layout.key, layout.hot_keys
+    if wanted is not None:
+        keys = keys.join(wanted.select(key), key, "left_semi")
     parts = -(-layout.hot_count // limits.hot_batch)
-    keyed = layout.hot_keys.withColumn("part", block_column(layout.key, parts))
     for part in range(parts):
-        rows = keyed.where(F.col("part") == part).orderBy(layout.key).collect()
-        if rows:
-            yield [r[layout.key] for r in rows], [r["rows"] for r in rows]
+        mine = keys.where(block_column(key, parts) == part)
+        found = mine.orderBy(key).collect()
+        if found:
+            rows = layout.hot.join(_sized(mine.select(key), len(found), limits), key, "left_semi")
+            yield HotGroups([r[key] for r in found], [r["rows"] for r in found], rows)

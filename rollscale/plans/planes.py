@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import Limits
 from ..operators.cuts import EDGE, TIE
-from .hot import SparkCutRows
-from .layout import hot_batches, lay_out
+from .layout import hot_groups, lay_out
+from .spread import SpreadCutRows
 
 TURNS = 25
 COUNTS = ("correct_low", "error_low", "correct_high", "error_high")
@@ -178,8 +178,8 @@ def cutting_planes(
         .groupBy("block")
         .applyInPandas(lambda pdf: _block(pdf, turns), SCHEMA)
     )
-    for keys, _ in hot_batches(layout, limits):
-        hot = SparkCutRows(layout.hot, keys, limits)
-        frame = _frame(keys, *find_planes(hot, turns))
+    for hot in hot_groups(layout, limits):
+        rows = SpreadCutRows(hot.rows.drop("vote"), hot.keys, limits.leaf_rows)
+        frame = _frame(hot.keys, *find_planes(rows, turns))
         planes = planes.unionByName(planes.sparkSession.createDataFrame(frame, SCHEMA))
     return planes

@@ -150,7 +150,7 @@ def test_oversized_groups_get_the_same_fit(small, solver):
         (items, "rollcall_id", blocks.ITEM_COLUMNS),
         (actors, "legislator_id", blocks.BETA_COLUMNS + blocks.VARIANCE_COLUMNS),
     ):
-        close(fit(Limits()), fit(HOT), key, [*names, "ll_before", "ll_after"], 1e-5)
+        close(fit(Limits()), fit(HOT), key, [*names, "ll_before", "ll_after"], 1e-12)
 
 
 @pytest.mark.parametrize("solver", ["line", "constrained"])
