@@ -159,8 +159,67 @@ def cut_starts(p):
     return cuts.starts_from_cuts(best.withColumns({"n1": F.lit(1.0), "n2": F.lit(0.0)}))
 
 
+# One turn of every roll call whose last cut still had errors: cut along the normal, move the right
+# voters onto the plane, turn the normal to the flattest direction of the moved cloud.
+TURNED = """
+SELECT rollcall_id, turn, n1, n2, cut, polarity, errors, classified,
+  CASE WHEN m1 < 0 OR (m1 = 0 AND m2 < 0) THEN -m1 ELSE m1 END AS m1,
+  CASE WHEN m1 < 0 OR (m1 = 0 AND m2 < 0) THEN -m2 ELSE m2 END AS m2
+FROM (SELECT *, -sin(angle) AS m1, cos(angle) AS m2
+  FROM (SELECT rollcall_id, any_value(turn) AS turn, any_value(n1) AS n1, any_value(n2) AS n2,
+      any_value(cut) AS cut, any_value(polarity) AS polarity, any_value(errors) AS errors,
+      any_value(yes_all + no_all) AS classified,
+      0.5 * atan2(2.0 * covar_pop(y1, y2), var_pop(y1) - var_pop(y2)) AS angle
+    FROM (SELECT *, x1 + move * n1 AS y1, x2 + move * n2 AS y2
+      FROM (SELECT *, CASE WHEN vote <> ((proj < cut) = (polarity = 'yes_low')) THEN 0.0
+          ELSE cut - proj END AS move
+        FROM (SELECT *,
+            CASE WHEN err_yes[1] <= err_no[1] THEN 'yes_low' ELSE 'no_low' END AS polarity,
+            CASE WHEN err_yes[1] <= err_no[1] THEN err_yes[1] ELSE err_no[1] END AS errors,
+            CASE WHEN err_yes[1] <= err_no[1] THEN err_yes[4] ELSE err_no[4] END AS cut
+          FROM (SELECT *,
+              min(CASE WHEN e_yes - least_yes <= 0.00001 * greatest(yes_all + no_all, 1)
+                THEN [abs(spot), idx, e_yes, spot] END) OVER r AS pick_yes,
+              min(CASE WHEN e_no - least_no <= 0.00001 * greatest(yes_all + no_all, 1)
+                THEN [abs(spot), idx, e_no, spot] END) OVER r AS pick_no,
+              [pick_yes[3], pick_yes[1], pick_yes[2], pick_yes[4]] AS err_yes,
+              [pick_no[3], pick_no[1], pick_no[2], pick_no[4]] AS err_no
+            FROM (SELECT *, min(e_yes) OVER r AS least_yes, min(e_no) OVER r AS least_no
+              FROM (SELECT *, no_left + yes_all - yes_left AS e_yes,
+                  yes_left + no_all - no_left AS e_no,
+                  coalesce((proj + before) / 2.0, proj - 0.001) AS spot
+                FROM (SELECT *, lag(proj) OVER w AS before, row_number() OVER w - 1 AS idx,
+                    coalesce(count(*) FILTER (WHERE vote) OVER b, 0) AS yes_left,
+                    coalesce(count(*) FILTER (WHERE NOT vote) OVER b, 0) AS no_left,
+                    count(*) FILTER (WHERE vote) OVER r AS yes_all,
+                    count(*) FILTER (WHERE NOT vote) OVER r AS no_all
+                  FROM (SELECT rollcall_id, legislator_id, vote, x1, x2, turn + 1 AS turn,
+                      m1 AS n1, m2 AS n2, x1 * m1 + x2 * m2 AS proj
+                    FROM turns JOIN pts USING (rollcall_id) WHERE turn < 24 AND errors > 0)
+                  WINDOW r AS (PARTITION BY rollcall_id),
+                    w AS (PARTITION BY rollcall_id ORDER BY proj, legislator_id),
+                    b AS (PARTITION BY rollcall_id ORDER BY proj, legislator_id
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))
+              WINDOW r AS (PARTITION BY rollcall_id))
+            WINDOW r AS (PARTITION BY rollcall_id)))))
+    GROUP BY rollcall_id))"""
+PLANES = f"""WITH RECURSIVE pts AS (SELECT rollcall_id, legislator_id, x1, x2, vote
+  FROM votes JOIN state USING (legislator_id, period)),
+turns AS (
+  SELECT DISTINCT rollcall_id, -1::BIGINT AS turn, 0.0::DOUBLE AS n1, 0.0::DOUBLE AS n2,
+    0.0::DOUBLE AS cut, '' AS polarity, 1.0::DOUBLE AS errors, 0::BIGINT AS classified,
+    1.0::DOUBLE AS m1, 0.0::DOUBLE AS m2 FROM pts
+  UNION ALL {TURNED}),
+ranked AS (SELECT *, min(errors) OVER r AS least,
+    max(errors) FILTER (WHERE turn = 0) OVER r AS first_errors
+  FROM turns WHERE turn >= 0 WINDOW r AS (PARTITION BY rollcall_id)),
+plane AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rollcall_id
+    ORDER BY turn DESC) AS k FROM ranked WHERE errors = least) WHERE k = 1)"""
+
+
 @query(
-    "rollcall_id:l turn:i errors:l first_errors:l classified:l",
+    "rollcall_id:l turn:i n1:d n2:d cut:d polarity:s errors:l first_errors:l classified:l",
+    PLANES + " SELECT * FROM plane",
 )
 def cutting_plane(p):
     from ..plans.planes import cutting_planes
