@@ -151,6 +151,14 @@ def _exact_log_phi_np(z: np.ndarray) -> np.ndarray:
     return np.where(z <= 0, half + np.log(ratio), np.log1p(-np.exp(half) * ratio))
 
 
+def log_phi_sum_np(low: np.ndarray, high: np.ndarray) -> float:
+    """Sum of `log_phi` over arguments up to 0 and above 0."""
+    low, high = np.minimum(-low, Z_MAX), np.minimum(high, Z_MAX)
+    left = np.log(_tail_ratio(low)) - 0.5 * low * low
+    right = np.log1p(-np.exp(-0.5 * high * high) * _tail_ratio(high))
+    return float(left.sum() + right.sum())
+
+
 @functools.lru_cache(maxsize=1)
 def _log_table() -> tuple[np.ndarray, np.ndarray]:
     """log Phi on the 1e-4 grid and its forward differences."""

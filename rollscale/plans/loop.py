@@ -16,6 +16,10 @@ from . import blocks, planes, scalars
 from .layout import lay_out
 
 
+#: Votes that a partition of the cached scalar scans should hold.
+SCAN_ROWS = 200_000
+
+
 @dataclass
 class Fit:
     """Tables of a finished fit."""
@@ -137,6 +141,9 @@ def _joined(data: _Data, state: DataFrame, bills: DataFrame) -> DataFrame:
     """
     star = data.star(state, bills).select("vote", "x1", "x2", "z1", "z2", "d1", "d2")
     if data.n_valid <= data.cfg.limits.cached_star_rows:
+        # Scans of few votes in many small partitions would be all overhead.
+        cores = star.sparkSession.sparkContext.defaultParallelism
+        star = star.coalesce(max(cores, data.n_valid // SCAN_ROWS))
         star = star.persist(StorageLevel.MEMORY_AND_DISK)
     return star
 
@@ -147,18 +154,15 @@ def _likelihood(star: DataFrame, w: Weights) -> dict:
 
 def _fit_scalars(star, w, cfg, budget, cycle, phases) -> tuple[Weights, list[dict]]:
     """w2, then beta."""
-    rows = []
-    for name in ("w2", "beta"):
-        if name == "w2" and w.dims < 2:
-            continue
-        tick = time.perf_counter()
-        if cfg.solver == "line":
-            found = scalars.walk(star, w, name)
-        else:
-            found = scalars.bounded(star, w, name, cfg.scalar_scope, budget)
-        w = w.with_value(name, found["value"])
-        rows.append({"iteration": cycle, **found})
-        phases[name] += time.perf_counter() - tick
+    tick = time.perf_counter()
+    if cfg.solver == "line":
+        found = scalars.walk(star, w)
+    else:
+        found = scalars.bounded(star, w, scope=cfg.scalar_scope, precision=budget)
+    for one in found:
+        w = w.with_value(one["name"], one["value"])
+    phases["scalars"] += time.perf_counter() - tick
+    rows = [{"iteration": cycle, **one} for one in found]
     return w, rows
 
 
@@ -218,7 +222,7 @@ def fit(
 
 def _alternate(data, cfg, weights, member_seeds, period_seeds, given_bills, began) -> Fit:
     phases = {"layout": time.perf_counter() - began, "starts": 0.0}
-    phases |= {"w2": 0.0, "beta": 0.0, "items": 0.0, "actors": 0.0, "likelihood": 0.0}
+    phases |= {"scalars": 0.0, "items": 0.0, "actors": 0.0, "likelihood": 0.0}
     w = weights
     state = cut_lineage(
         _flat(

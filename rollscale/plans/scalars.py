@@ -1,12 +1,15 @@
-"""Global scalars: likelihood at many candidates per scan, then two search rules."""
+"""Global scalars: likelihood at a lattice of (w2, beta) per scan, then two search rules."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Precision, Weights
-from ..functions import probit, spatial
+from ..functions import probit
+from ..session import ship_package
 
 # First step, bounds and local box of the two scalars.
 STEPS = {"beta": 0.1, "w2": 0.01}
@@ -15,63 +18,82 @@ LOCAL_RADIUS = {"beta": 1.6, "w2": 0.16}
 UPHILL_STEPS = 15
 NEAR_STEPS = 3  # lattice steps on each side fetched with the first scan
 HALVINGS = 32768.0
-GRID = 32  # steps across the box in one scan of the bounded search
+GRID = 6  # steps across the box in one scan of the bounded search
+LATTICE = "place int, ll double"
 
 
-def candidate_likelihoods(star: DataFrame, w: Weights, name: str, values: list[float]) -> DataFrame:
-    """(candidate, log_likelihood) for every value in one scan of the votes.
+def _pair_sums(star: DataFrame, w: Weights, w2s: list[float], betas: list[float]) -> DataFrame:
+    """(place, log_likelihood) of every pair, w2 by w2, in one scan of the votes.
 
-    Each row meets all candidates inside the task and leaves as partial sums, one
-    row per candidate and task.
+    Squared distances are folded once per vote and dimension; a value of w2 costs two exponentials
+    and a value of beta one log Phi.  A task adds up its votes and sends a number per pair.
     """
-    spread = F.explode(F.lit([float(v) for v in values])).alias("candidate")
-    rows = spatial.with_distances(star)
-    if name == "beta":
-        gap = spatial.with_utilities(rows, w).selectExpr("exp(u_chosen) - exp(u_other) as gap")
-        scored = gap.select("gap", spread).selectExpr("candidate", "gap * candidate as zs")
-    else:
-        w1 = w.squared()[0]
-        sides = [
-            text
-            for side in ("yes", "no")
-            for text in (
-                f"{side}1 * {side}1 * {w1!r}D as {side}_fix",
-                f"{side}2 * {side}2 as {side}_sq",
+    ship_package(star.sparkSession)
+    w2s, betas = [float(v) for v in w2s], np.array(betas, dtype=float)
+    first, flat = w.w1 * w.w1, w.dims < 2
+
+    def sums(batches):
+        total = np.zeros((len(w2s), len(betas)))
+        for batch in batches:
+            x1, x2, z1, z2, d1, d2 = (
+                batch.column(c).to_numpy(zero_copy_only=False)
+                for c in ("x1", "x2", "z1", "z2", "d1", "d2")
             )
-        ]
-        gap = "exp(-(yes_fix + yes_sq * w2)) - exp(-(no_fix + no_sq * w2))"
-        scored = (
-            rows.selectExpr("vote", *sides)
-            .select("*", spread)
-            .selectExpr("*", "candidate * candidate as w2")
-            .selectExpr("candidate", f"({gap}) * if(vote, {w.beta!r}D, {-w.beta!r}D) as zs")
+            sign = np.where(batch.column("vote").to_numpy(zero_copy_only=False), 1.0, -1.0)
+            yes, no = first * (x1 - z1 + d1) ** 2, first * (x1 - z1 - d1) ** 2
+            yes2, no2 = (x2 - z2 + d2) ** 2, (x2 - z2 - d2) ** 2
+            for i, w2 in enumerate(w2s):
+                second = 0.0 if flat else w2 * w2
+                gap = np.exp(-(yes + yes2 * second)) - np.exp(-(no + no2 * second))
+                gap *= sign
+                low, high = gap[gap <= 0], gap[gap > 0]  # beta is positive
+                for j, beta in enumerate(betas):
+                    total[i, j] += probit.log_phi_sum_np(low * beta, high * beta)
+        yield pa.record_batch(
+            [pa.array(range(total.size), pa.int32()), pa.array(total.reshape(-1))],
+            names=["place", "ll"],
         )
-    return (
-        probit.with_log_phi(scored, "zs", "ll")
-        .groupBy("candidate")
-        .agg(F.sum("ll").alias("log_likelihood"))
-    )
 
+    parts = star.select("vote", "x1", "x2", "z1", "z2", "d1", "d2").mapInArrow(sums, LATTICE)
+    return parts.groupBy("place").agg(F.sum("ll").alias("log_likelihood"))
 
-class Objective:
-    """Remembers likelihoods; a missing value is fetched together with likely next ones."""
 
-    def __init__(self, star: DataFrame, w: Weights, name: str):
-        self.star, self.w, self.name = star, w, name
-        self.known: dict[float, float] = {}
+def lattice(star: DataFrame, w: Weights, w2s: list[float], betas: list[float]) -> DataFrame:
+    """(w2, beta, log_likelihood) of every pair."""
+    n = len(betas)
+    pairs = [(i * n + j, float(a), float(b)) for i, a in enumerate(w2s) for j, b in enumerate(betas)]
+    named = star.sparkSession.createDataFrame(pairs, "place int, w2 double, beta double")
+    return F.broadcast(named).join(_pair_sums(star, w, w2s, betas), "place").drop("place")
+
+
+class Surface:
+    """Remembers likelihoods; missing ones are fetched together with likely next ones."""
+
+    def __init__(self, star: DataFrame, w: Weights):
+        self.star, self.w = star, w
+        self.known: dict[tuple[float, float], float] = {}
         self.scans = 0
 
-    def fetch(self, values) -> None:
-        new = sorted({float(v) for v in values} - self.known.keys())
-        if new:
+    def fetch(self, w2s, betas) -> None:
+        """All pairs, unless they are known."""
+        w2s, betas = sorted({float(v) for v in w2s}), sorted({float(v) for v in betas})
+        w2s = [a for a in w2s if any((a, b) not in self.known for b in betas)]
+        betas = [b for b in betas if any((a, b) not in self.known for a in w2s)]
+        if w2s and betas:
             self.scans += 1
-            for r in candidate_likelihoods(self.star, self.w, self.name, new).collect():
-                self.known[r["candidate"]] = r["log_likelihood"]
+            for r in _pair_sums(self.star, self.w, w2s, betas).collect():
+                i, j = divmod(r["place"], len(betas))
+                self.known[w2s[i], betas[j]] = r["log_likelihood"]
+
+    def line(self, name: str, other: float) -> dict[float, float]:
+        """What is known along one scalar, the other one being fixed."""
+        if name == "w2":
+            return {a: ll for (a, b), ll in self.known.items() if b == other}
+        return {b: ll for (a, b), ll in self.known.items() if a == other}
 
-    def __call__(self, value: float, likely=()) -> float:
-        if value not in self.known:
-            self.fetch([value, *likely])
-        return self.known[value]
+    def along(self, name: str, other: float, values) -> None:
+        pairs = (values, [other]) if name == "w2" else ([other], values)
+        self.fetch(*pairs)
 
 
 def _uphill(value: float, h: float, moves: int):
@@ -103,19 +125,24 @@ def _vertex(points: dict[float, float], best: float) -> list[float]:
     return [peak] if a < peak < c else []
 
 
-def walk(star: DataFrame, w: Weights, name: str) -> dict:
-    """Probe both sides, walk uphill, halve the step after a decrease.
+def _near(value: float, h: float) -> list[float]:
+    return [value, *_uphill(value, h, NEAR_STEPS), *_uphill(value, -h, NEAR_STEPS)]
 
-    Follows the sequential rule exactly; only the evaluations are batched.
-    """
-    ask = Objective(star, w, name)
+
+def _walk(surface: Surface, name: str, start: float, other: float) -> dict:
+    """Probe both sides, walk uphill, halve the step after a decrease."""
+    scans = surface.scans
     h = STEPS[name]
     smallest = h / HALVINGS
-    start = getattr(w, name)
-    ask.fetch(
-        [start, *_uphill(start, h, NEAR_STEPS), *_uphill(start, -h, NEAR_STEPS)]
-    )
-    first = ask(start)
+
+    def ask(value, likely=()):
+        known = surface.line(name, other)
+        if value not in known:
+            surface.along(name, other, [value, *likely])
+            known = surface.line(name, other)
+        return known[value]
+
+    first = ask(start, _near(start, h))
     value, best = start, first
     up, down = ask(start + h), ask(start - h)
     for sign, probe in ((1.0, up), (-1.0, down)):
@@ -142,67 +169,146 @@ def walk(star: DataFrame, w: Weights, name: str) -> dict:
         "value": value,
         "ll_before": first,
         "ll_after": best,
-        "scans": ask.scans,
+        "scans": surface.scans - scans,
         "accepted": 1,
         "at_bound": 0,
     }
 
 
+def walk(star: DataFrame, w: Weights, names=("w2", "beta")) -> list[dict]:
+    """The sequential uphill rule for w2, then for beta; only the evaluations are batched.
+
+    The first scan is a lattice of steps around both starts, so beta costs no scan of its own
+    where w2 ends on a whole step, as it does in calm cycles.
+    """
+    surface, out = Surface(star, w), []
+    names = [n for n in names if n == "beta" or w.dims > 1]
+    if len(names) > 1:
+        surface.fetch(_near(w.w2, STEPS["w2"]), _near(w.beta, STEPS["beta"]))
+    first = surface.scans
+    for name in names:
+        other = w.beta if name == "w2" else w.w2
+        found = _walk(surface, name, getattr(w, name), other)
+        found["scans"], first = found["scans"] + first, 0
+        w = w.with_value(name, found["value"])
+        out.append(found)
+    return out
+
+
+class _Box:
+    """Nested grids along one scalar: the box shrinks to the neighbours of the best value."""
+
+    def __init__(self, name: str, start: float, scope: str, precision: Precision):
+        low, high = BOUNDS[name]
+        self.name, self.precision, self.stop = name, precision, ""
+        self.start = self.value = min(max(start, low), high)
+        radius = LOCAL_RADIUS[name]
+        local = max(low, self.start - radius), min(high, self.start + radius)
+        self.outer = self.low, self.high = (low, high) if scope == "global" else local
+        self.known: dict[float, float] = {}
+        self.asked: set[float] = set()
+        self.vertex: list[float] = []
+
+    def grid(self) -> list[float]:
+        """What to ask for next: the grid of the box, the start, the best so far, the vertex."""
+        out = [self.start, self.value]
+        # Room for the start and the vertex; a grid needs an inner point.
+        points = min(GRID, self.precision.scalar_evals - len(self.asked) - 3)
+        if not self.stop and points < 2:
+            self.stop = "budget"
+        if self.stop:
+            return out
+        if not self.known:  # denser near the start, which is near the best value in later cycles
+            ends = (self.low, self.high)
+            shares = [0.25**k for k in range(points // 2 + 1)]
+            out += [self.start + (end - self.start) * share for end in ends for share in shares]
+        else:
+            step = (self.high - self.low) / points
+            self.vertex = _vertex(self.known, self.value)
+            out += [*(self.low + step * i for i in range(points + 1)), *self.vertex]
+        self.asked |= set(out)
+        return out
+
+    def see(self, known: dict[float, float], settled: bool = True) -> None:
+        """Takes in a line of likelihoods; without `settled` the line may still move, so the box
+        only shrinks."""
+        if self.stop:
+            return
+        before = known[self.value] if self.known else None
+        self.known, self.value = known, max(known, key=known.get)
+        best, order = known[self.value], sorted(known)
+        at = order.index(self.value)
+        # The optimum lies next to the best grid point and nearer to the best vertex; at an end of
+        # what is known it may lie anywhere beyond.
+        near = 0.25 if self.value in self.vertex else 1.0
+        width = self.high - self.low
+        below = near * (self.value - order[at - 1]) if at else width
+        above = near * (order[at + 1] - self.value) if at + 1 < len(order) else width
+        self.low = max(self.outer[0], self.value - below)
+        self.high = min(self.outer[1], self.value + above)
+        if not settled:
+            return
+        if self.high - self.low <= self.precision.x_tol * max(1.0, abs(self.value)):
+            self.stop = "x"
+        elif before is not None and best - before <= self.precision.f_tol * max(1.0, abs(best)):
+            self.stop = "f"
+
+    def report(self, known: dict[float, float], scans: int) -> dict:
+        first, value = known[self.start], self.value
+        last = known[value]
+        accepted = last >= first
+        if not accepted:
+            value, last = self.start, first
+        low, high = BOUNDS[self.name]
+        return {
+            "name": self.name,
+            "initial": self.start,
+            "value": value,
+            "ll_before": first,
+            "ll_after": last,
+            "scans": scans,
+            "evaluations": len(self.asked),
+            "stop": self.stop,
+            "accepted": int(accepted),
+            "at_bound": int(value <= low or value >= high),
+        }
+
+
 def bounded(
     star: DataFrame,
     w: Weights,
-    name: str,
+    names=("w2", "beta"),
     scope: str = "local",
     precision: Precision | None = None,
-) -> dict:
-    """Best value inside the box by nested grids; kept only if the likelihood holds.
+) -> list[dict]:
+    """Best w2 inside its box, then best beta at that w2; each kept only if the likelihood holds.
 
-    Each pass is one scan. The box shrinks to the neighbours of the best value until it is
-    narrower than the x tolerance ("x"), a finer grid gains no more than the f tolerance ("f"),
-    both relative, or the evaluations are spent ("budget"); `stop` says which.
+    Both boxes shrink together, a scan of their joint grid at a time, until they are narrower than
+    the x tolerance ("x"), a finer grid gains no more than the f tolerance ("f"), both relative, or
+    the evaluations are spent ("budget"); `stop` says which.
     """
     precision = precision or Precision.profile()
-    low, high = BOUNDS[name]
-    start = min(max(getattr(w, name), low), high)
-    if scope == "local":
-        low, high = max(low, start - LOCAL_RADIUS[name]), min(high, start + LOCAL_RADIUS[name])
-    ask = Objective(star, w, name)
-    a, b = low, high
-    value, stop = start, ""
-    while not stop:
-        left = precision.scalar_evals - len(ask.known)
-        # Room for the start and the vertex; a grid needs an inner point.
-        points = min(GRID, left - 3)
-        if points < 2:
-            stop = "budget"
-            break
-        before = ask.known.get(value)
-        peak = _vertex(ask.known, value) if ask.known else []
-        ask.fetch([*(a + (b - a) * i / points for i in range(points + 1)), start, *peak])
-        value = max(ask.known, key=ask.known.get)
-        best = ask(value)
-        known = sorted(ask.known)
-        at = known.index(value)
-        a, b = known[max(0, at - 1)], known[min(len(known) - 1, at + 1)]
-        if b - a <= precision.x_tol * max(1.0, abs(value)):
-            stop = "x"
-        elif before is not None and best - before <= precision.f_tol * max(1.0, abs(best)):
-            stop = "f"
-    first = ask(start)
-    last = ask(value)
-    accepted = last >= first
-    if not accepted:
-        value, last = start, first
-    edge = BOUNDS[name]
-    return {
-        "name": name,
-        "initial": start,
-        "value": value,
-        "ll_before": first,
-        "ll_after": last,
-        "scans": ask.scans,
-        "evaluations": len(ask.known),
-        "stop": stop,
-        "accepted": int(accepted),
-        "at_bound": int(value <= edge[0] or value >= edge[1]),
-    }
+    names = [n for n in names if n == "beta" or w.dims > 1]
+    boxes = {n: _Box(n, getattr(w, n), scope, precision) for n in names}
+    surface = Surface(star, w)
+    first, beta = boxes.get("w2"), boxes.get("beta")
+    old_beta = beta.start if beta else w.beta
+    while any(not b.stop for b in boxes.values()):
+        w2s = first.grid() if first else [w.w2]
+        betas = beta.grid() if beta else [w.beta]
+        surface.fetch(w2s, betas)
+        if first:
+            line = surface.line("w2", old_beta)
+            first.see({a: line[a] for a in w2s})
+        if beta:
+            # The best w2 so far is part of every scan, so it has met all betas of this one.
+            line = surface.line("beta", first.value if first else w.w2)
+            beta.see({b: line[b] for b in betas}, first is None or bool(first.stop))
+    out = []
+    if first:
+        out.append(first.report(surface.line("w2", old_beta), surface.scans))
+        w = w.with_value("w2", out[0]["value"])
+    if beta:
+        surface.fetch([w.w2], [beta.start, beta.value])
+        out.append(beta.report(surface.line("beta", w.w2), 0 if first else surface.scans))
+    return out

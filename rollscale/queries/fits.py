@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from ..config import FitConfig, Weights
+from ..config import FitConfig, Precision, Weights
 from ..operators import compare, screens, seeds, trajectory
 from ..panel import TRUE_WEIGHTS
 from ..plans import blocks, loop, scalars
@@ -30,8 +30,6 @@ def _usable_votes(p):
 
 
 def _precision(cfg):
-    from ..config import Precision
-
     return Precision.profile(cfg.precision)
 
 
@@ -79,29 +77,130 @@ def perturbed_starts(p):
 SCALAR_COLUMNS = "name:s initial:d value:d ll_before:d ll_after:d accepted:i at_bound:i"
 
 
+# Votes with what does not depend on the scalars: sums and squares of distances, +1 or -1.
+FOLDED = """folded AS (SELECT CASE WHEN vote THEN 1.0 ELSE -1.0 END::DOUBLE AS sign,
+    yes1 * yes1 AS yes_1, yes2 * yes2 AS yes_2, no1 * no1 AS no_1, no2 * no2 AS no_2
+  FROM scored)"""
+
+
+def scored_at(w2: str, beta: str) -> str:
+    """Relation with log_phi of the {rows} at expressions for w2 and beta."""
+    gap = f"exp(-(yes_1 + yes_2 * {w2} * {w2})) - exp(-(no_1 + no_2 * {w2} * {w2}))"
+    return (
+        f"(SELECT *, {log_phi('zc')} AS log_phi FROM (SELECT *, "
+        f"greatest(-5.0, least(5.0, ({gap}) * sign * {beta})) AS zc FROM {{rows}}))"
+    )
+
+
+LATTICE = f"""WITH {FOLDED}
+SELECT w2, beta, sum(log_phi) AS log_likelihood FROM {scored_at('w2', 'beta')} GROUP BY w2, beta"""
+
+
+def lattice_sql(w2: str, beta: str) -> str:
+    return LATTICE.format(rows=f"folded, (SELECT {w2} AS w2, {beta} AS beta FROM range(0, 17) AS r(i))")
+
+
+@query("w2:d beta:d log_likelihood:d", lattice_sql("0.5::DOUBLE", "4.0::DOUBLE + i / 4.0"), digits=4)
+def scalar_lattice(p):
+    """Likelihood along beta."""
+    return scalars.lattice(_star(p), TRUE_WEIGHTS, [TRUE_WEIGHTS.w2], [4.0 + i / 4 for i in range(17)])
+
+
+@query("w2:d beta:d log_likelihood:d", lattice_sql("0.3::DOUBLE + i / 64.0", "6.0::DOUBLE"), digits=4)
+def scalar_lattice_w2(p):
+    """Likelihood along w2."""
+    values = [0.3 + i / 64 for i in range(17)]
+    return scalars.lattice(_star(p), TRUE_WEIGHTS, values, [TRUE_WEIGHTS.beta])
+
+
 @query(
-    "candidate:d log_likelihood:d",
-    f"""SELECT candidate, sum({log_phi('zc')}) AS log_likelihood
-FROM (SELECT candidate, greatest(-5.0, least(5.0, (e_chosen - e_other) * candidate)) AS zc
-  FROM scored, (SELECT 4.0::DOUBLE + i / 4.0 AS candidate FROM range(0, 17) AS r(i)))
-GROUP BY candidate""",
+    "w2:d beta:d log_likelihood:d",
+    LATTICE.format(
+        rows="folded, (SELECT 0.3::DOUBLE + i / 16.0 AS w2, 5.0::DOUBLE + j / 2.0 AS beta "
+        "FROM range(0, 5) AS r(i), range(0, 4) AS s(j))"
+    ),
     digits=4,
 )
-def scalar_lattice(p):
-    values = [4.0 + i / 4 for i in range(17)]
-    return scalars.candidate_likelihoods(_star(p), TRUE_WEIGHTS, "beta", values)
+def scalar_lattice_joint(p):
+    """Both scalars at once."""
+    w2s, betas = [0.3 + i / 16 for i in range(5)], [5.0 + j / 2 for j in range(4)]
+    return scalars.lattice(_star(p), TRUE_WEIGHTS, w2s, betas)
+
+
+def _walk_sql(name: str, start: str, h: float, w2: str, beta: str, known: str) -> str:
+    """The uphill rule for one scalar, a trial per recursion; w2 and beta are the scalars at the
+    value `v`, `known` a relation of one row that they may name."""
 
+    def at(v):
+        inner = scored_at(w2.format(v=v), beta.format(v=v))
+        return "SELECT sum(log_phi) FROM " + inner.format(rows=f"folded, {known}")
 
-@query(SCALAR_COLUMNS, digits=4)
+    moved = (
+        f"(SELECT *, v + step AS trial FROM {name}_steps "
+        f"WHERE k < 15 AND step <> 0 AND abs(step) >= {h!r} / 32768.0), folded, {known}"
+    )
+    return f"""{name}_probed AS (SELECT start, ({at(start)}) AS first, ({at(f'({start} + {h!r})')}) AS up,
+    ({at(f'({start} - {h!r})')}) AS down FROM (SELECT {start} AS start)),
+{name}_steps AS (
+  SELECT 0 AS k, CASE WHEN up > first THEN start + {h!r} WHEN down > first THEN start - {h!r}
+      ELSE start END AS v, greatest(first, CASE WHEN up > first THEN up ELSE down END) AS best,
+    CASE WHEN up > first THEN {h!r}::DOUBLE WHEN down > first THEN -{h!r}::DOUBLE ELSE 0.0 END AS step,
+    start, first
+  FROM {name}_probed
+  UNION ALL
+  SELECT k + 1, CASE WHEN ll < best THEN v ELSE trial END, greatest(best, ll),
+    CASE WHEN ll < best THEN step / 2.0 ELSE step END, start, first
+  FROM (SELECT k, v, best, step, start, first, trial, sum(log_phi) AS ll
+    FROM {scored_at(w2.format(v='trial'), beta.format(v='trial')).format(rows=moved)}
+    GROUP BY k, v, best, step, start, first, trial)),
+{name}_found AS (SELECT '{name}' AS name, start AS initial, v AS value, first AS ll_before,
+    best AS ll_after FROM {name}_steps ORDER BY k DESC LIMIT 1)"""
+
+
+WALKS = f"""WITH RECURSIVE {FOLDED},
+{_walk_sql('w2', '0.45::DOUBLE', 0.01, '{v}', '5.5', '(SELECT 1) AS one')},
+{_walk_sql('beta', '5.5::DOUBLE', 0.1, 'found_w2', '{v}', '(SELECT value AS found_w2 FROM w2_found) AS f')}
+SELECT *, 1 AS accepted, 0 AS at_bound FROM w2_found
+UNION ALL SELECT *, 1, 0 FROM beta_found"""
+
+
+@query(SCALAR_COLUMNS, WALKS, digits=4)
 def fit_scalars(p):
-    star = _star(p)
-    return _rows(p, [scalars.walk(star, START, n) for n in ("w2", "beta")])
+    return _rows(p, scalars.walk(_star(p), START))
 
 
-@query(SCALAR_COLUMNS, digits=4)
+def _box_sql(name: str, start: float, radius: float, w2: str, beta: str, known: str) -> str:
+    """The best value in the box around a start: a grid of 40 steps, eight times the neighbours of
+    the best point."""
+    grid = (
+        f"(SELECT *, low + (high - low) * i / 40.0 AS v FROM {name}_boxes, range(0, 41) AS g(i) "
+        f"WHERE k < 5), folded, {known}"
+    )
+    return f"""{name}_boxes AS (
+  SELECT 0 AS k, {start - radius!r}::DOUBLE AS low, {start + radius!r}::DOUBLE AS high,
+    0.0::DOUBLE AS value, 0.0::DOUBLE AS ll
+  UNION ALL
+  SELECT any_value(k) + 1, greatest(any_value(low), arg_max(v, ll) - any_value(high - low) / 40.0),
+    least(any_value(high), arg_max(v, ll) + any_value(high - low) / 40.0), arg_max(v, ll), max(ll)
+  FROM (SELECT k, low, high, v, sum(log_phi) AS ll
+    FROM {scored_at(w2.format(v='v'), beta.format(v='v')).format(rows=grid)}
+    GROUP BY k, low, high, v)
+  GROUP BY k),
+{name}_found AS (SELECT '{name}' AS name, {start!r}::DOUBLE AS initial, value, ll AS ll_after
+  FROM {name}_boxes ORDER BY k DESC LIMIT 1)"""
+
+
+BOXES = f"""WITH RECURSIVE {FOLDED},
+{_box_sql('w2', 0.45, 0.16, '{v}', '5.5', '(SELECT 1) AS one')},
+{_box_sql('beta', 5.5, 1.6, 'found_w2', '{v}', '(SELECT value AS found_w2 FROM w2_found) AS f')}
+SELECT name, initial, value, ll_after, 1 AS accepted, 0 AS at_bound,
+  (SELECT sum(log_phi) FROM {scored_at('0.45', '5.5').format(rows='folded')}) AS ll_before FROM w2_found
+UNION ALL SELECT name, initial, value, ll_after, 1, 0, (SELECT ll_after FROM w2_found) FROM beta_found"""
+
+
+@query(SCALAR_COLUMNS, BOXES, digits=4)
 def fit_scalars_bounded(p):
-    star = _star(p)
-    return _rows(p, [scalars.bounded(star, START, n) for n in ("w2", "beta")])
+    return _rows(p, scalars.bounded(_star(p), START, precision=Precision.profile("strict")))
 
 
 @query(ITEM_COLUMNS)

@@ -170,11 +170,23 @@ def test_block_fits_improve_and_stay_in_the_ball(panel, solver):
     assert (actors.loc[short, ["b1_1", "b1_2"]] == 0).all().all()
 
 
+def along(star, name, fixed, values):
+    """Likelihoods of values of one scalar, the other one as in `fixed`."""
+    w2s, betas = (values, [fixed.beta]) if name == "w2" else ([fixed.w2], values)
+    return {r[name]: r["log_likelihood"] for r in scalars.lattice(star, fixed, w2s, betas).collect()}
+
+
 def test_scalar_walk_follows_the_sequential_rule(panel):
     star = panel.star.select("vote", "x1", "x2", "z1", "z2", "d1", "d2").persist()
-    for name in ("w2", "beta"):
-        ask = scalars.Objective(star, START, name)
-        h, value = scalars.STEPS[name], getattr(START, name)
+    w = START
+    together = scalars.walk(star, START)
+    for found in together:
+        name = found["name"]
+
+        def ask(v):
+            return along(star, name, w, [v])[v]
+
+        h, value = scalars.STEPS[name], getattr(w, name)
         first, up, down = ask(value), ask(value + h), ask(value - h)
         sign = 1 if up > first else -1 if down > first else 0
         if sign:
@@ -185,34 +197,48 @@ def test_scalar_walk_follows_the_sequential_rule(panel):
                     step /= 2
                 else:
                     value, best = value + step, max(best, ll)
-        found = scalars.walk(star, START, name)
         assert found["value"] == pytest.approx(value, abs=1e-12)
         assert found["ll_after"] >= found["ll_before"]
         assert found["scans"] <= 6
+        alone = scalars.walk(star, w, (name,))[0]
+        assert alone["value"] == found["value"]
+        w = w.with_value(name, found["value"])
+
+
+def test_calm_scalars_cost_one_scan(panel):
+    """Where both starts are the best of their neighbours, one lattice answers everything."""
+    star = panel.star.select("vote", "x1", "x2", "z1", "z2", "d1", "d2").persist()
+    w = START
+    for _ in range(8):
+        for best in scalars.bounded(star, w):
+            w = w.with_value(best["name"], best["value"])
+    found = scalars.walk(star, w)
+    assert sum(f["scans"] for f in found) == 1
+    assert [f["value"] for f in found] == [w.w2, w.beta]
 
 
 def test_bounded_scalars_respect_box_and_likelihood(panel):
     star = panel.star.select("vote", "x1", "x2", "z1", "z2", "d1", "d2").persist()
-    for name in ("w2", "beta"):
+    for names in (("w2",), ("beta",), ("w2", "beta")):
         for scope in ("local", "global"):
-            found = scalars.bounded(star, START, name, scope)
-            low, high = scalars.BOUNDS[name]
-            assert low <= found["value"] <= high
-            if scope == "local":
-                assert abs(found["value"] - found["initial"]) <= scalars.LOCAL_RADIUS[name] + 1e-12
-            assert found["ll_after"] >= found["ll_before"]
-            assert found["stop"] in ("x", "f")
-            # No value of a fine lattice around the answer is better.
-            ask = scalars.Objective(star, START, name)
-            ask.fetch([found["value"] * (1 + i * 1e-4) for i in range(-20, 21)])
-            reach = scalars.LOCAL_RADIUS[name] if scope == "local" else np.inf
-            inside = [
-                v for v in ask.known if low <= v <= high and abs(v - found["initial"]) <= reach
-            ]
-            assert found["ll_after"] >= max(ask.known[v] for v in inside) - 1e-6
+            w = START
+            for found in scalars.bounded(star, START, names, scope):
+                name = found["name"]
+                low, high = scalars.BOUNDS[name]
+                if scope == "local":
+                    radius = scalars.LOCAL_RADIUS[name]
+                    low, high = max(low, found["initial"] - radius), min(high, found["initial"] + radius)
+                assert low - 1e-12 <= found["value"] <= high + 1e-12
+                assert found["ll_after"] >= found["ll_before"]
+                assert found["stop"] in ("x", "f")
+                # No value of a fine lattice around the answer is better.
+                near = [found["value"] * (1 + i * 1e-4) for i in range(-20, 21)]
+                around = along(star, name, w, [v for v in near if low <= v <= high])
+                assert found["ll_after"] >= max(around.values()) - 1e-6
+                w = w.with_value(name, found["value"])
         tight = replace(Precision.profile(), scalar_evals=20)
-        found = scalars.bounded(star, START, name, "local", tight)
-        assert found["stop"] == "budget" and found["evaluations"] <= 20
+        for found in scalars.bounded(star, START, names, "local", tight):
+            assert found["stop"] == "budget" and found["evaluations"] <= 20
 
 
 def agreement(panel, fit):
