@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,45 +17,60 @@ from rollscale.llm.common import Memo, body, documents, in_python, remembered, s
 
 LONGEST = 2048
 END_ID = 1
-#: Words, and word stems, whose ids a worker remembers.
-MEMO = 300_000
-#: What may follow a word's letters without changing how they are split (no apostrophe).
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words, and their parts, whose ids a worker remembers.
+MEMO = 500_000
+
+
+class _Kinds(dict):
+    """Whether a character is the same kind of character (letter, digit, space, other) in every
+    Unicode version of the last twenty years and no space, so that all libraries split it alike."""
+
+    def __missing__(self, c: str) -> bool:
+        old, now = unicodedata.ucd_3_2_0.category(c), unicodedata.category(c)
+        self[c] = old != "Cn" and old[0] == now[0] and not c.isspace()
+        return self[c]
 
 
 class Words:
     """Ids of texts, word by word: the vocabulary drops white space and merges nothing over it.
 
-    A word of ASCII letters and closing marks is the ids of its letters, then those of the marks, as
-    the pre-tokenizer separates letters from other characters and lower-cases them. Other words are
-    encoded whole: normalised, a last letter can end in a combining mark that joins the marks.
+    A word is normalised (NFC, each character lower-cased) and split by the pattern of the
+    vocabulary's own pre-tokenizer; its ids are those of the parts, which few words have to
+    themselves. Words with a character whose kind has changed are encoded whole by the library, as
+    are all words of a vocabulary that is built otherwise.
     """
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.words, self.parts = Memo(MEMO), Memo(MEMO)
-
-    def _ids(self, part: str) -> bytes:
-        ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        return np.asarray(ids, "<u4").tobytes()
+        self.whole = Tokenizer.from_str(tokenizer)
+        self.pattern, rest = _split_rule(json.loads(tokenizer))
+        self.parted = Tokenizer.from_str(json.dumps(rest)) if self.pattern else None
+        self.words, self.parts, self.kinds = Memo(MEMO), Memo(MEMO), _Kinds()
+
+    def _split(self, text: str) -> list[str] | None:
+        if self.pattern is None:
+            return None
+        if not text.isascii():
+            text = "".join(map(str.lower, unicodedata.normalize("NFC", text)))
+            if not all(map(self.kinds.__getitem__, text)):
+                return None
+        elif not text.isprintable():
+            return None
+        return self.pattern.findall(text.lower() if text.isascii() else text)
+
+    @staticmethod
+    def _ids(tokenizer, text: str) -> bytes:
+        return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
-        split = []
-        for word in words:
-            text = word.decode()
-            stem = text.rstrip(MARKS)
-            if stem.isascii() and stem.isalpha():
-                split.append((stem.lower(), text[len(stem) :]))
-            else:
-                split.append((text, ""))
-        for part in self.parts.missing({p for own in split for p in own}):
-            self.parts.young[part] = self._ids(part)
-        get = self.parts.young.__getitem__
-        self.words.young.update(
-            (w, get(a) + get(b)) for w, (a, b) in zip(words, split, strict=True)
-        )
+        texts = [word.decode() for word in words]
+        split = [self._split(text) for text in texts]
+        for part in self.parts.missing({p for own in split if own for p in own}):
+            self.parts.young[part] = self._ids(self.parted, part)
+        get, known = self.parts.young.__getitem__, self.words.young
+        for word, text, own in zip(words, texts, split, strict=True):
+            known[word] = self._ids(self.whole, text) if own is None else b"".join(map(get, own))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.encode().split() for t in texts]
@@ -61,16 +79,36 @@ class Words:
         return [b"".join(map(get, words)) for words in split]
 
 
+def _split_rule(vocabulary: dict):
+    """The pattern that splits normalised words, and the vocabulary without its normaliser; no
+    pattern unless the vocabulary normalises and splits the way `Words` does."""
+    kinds = [n["type"] for n in (vocabulary["normalizer"] or {}).get("normalizers", [])]
+    steps = (vocabulary["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if kinds != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
+        return None, vocabulary
+    split, replaced = steps[0], vocabulary["normalizer"]["normalizers"][1]
+    spaces = replaced["pattern"] == {"Regex": r"\s+"} and replaced["content"] == " "
+    if not spaces or split["behavior"] != "Removed" or not split["invert"]:
+        return None, vocabulary
+    if steps[1]["add_prefix_space"] or steps[1]["use_regex"]:
+        return None, vocabulary
+    return regex.compile(split["pattern"]["Regex"]), {**vocabulary, "normalizer": None}
+
+
 def _words(tokenizer: str) -> Words:
     return remembered(("packing", tokenizer), lambda: Words(tokenizer))
 
 
-def lengths(total: int, longest: int) -> list[int]:
-    """Whole sequences first, then the binary digits of the rest, largest first."""
-    whole, rest = divmod(total, longest)
-    return [longest] * whole + [
-        1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1
-    ]
+def pieces(totals: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """For documents of so many ids: the document of every piece and its length. Whole sequences
+    come first, then the binary digits of the rest, largest first."""
+    digits = 1 << np.arange(longest.bit_length() - 2, -1, -1)
+    many = np.column_stack([totals // longest, (totals[:, None] & digits) > 0]).astype(np.int64)
+    sizes = np.tile(np.append(longest, digits), len(totals))
+    return (
+        np.repeat(np.arange(len(totals)), many.sum(axis=1)),
+        np.repeat(sizes, many.reshape(-1)),
+    )
 
 
 def pack(
@@ -95,29 +133,34 @@ def pack(
         words = _words(vocabulary)
         sequence = TaskContext.get().partitionId() << 33
         for batch in slices(batches):
-            names = batch.column("doc_id").to_pylist()
-            out: list[list] = [[] for _ in range(6)]
-            for name, ids in zip(names, words(texts(batch)), strict=True):
-                ids += last
-                total, start = len(ids) // 4, 0
-                for n in lengths(total, longest):
-                    row = (name, start, n, total, sequence, ids[4 * start : 4 * (start + n)])
-                    for values, v in zip(out, row, strict=True):
-                        values.append(v)
-                    start += n
-                    sequence += 1
+            ids = [own + last for own in words(texts(batch))]
+            totals = np.array([len(own) // 4 for own in ids], np.int64)
+            doc, length = pieces(totals, longest)
+            ends = np.cumsum(length)
+            offsets = np.append(0, 4 * ends).astype(np.int32)
+            whole = pa.py_buffer(b"".join(ids))
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(v, pa.int64()) for v in out[:5]), pa.array(out[5], pa.binary())],
+                [
+                    batch.column("doc_id").take(pa.array(doc)),
+                    pa.array(ends - length - (np.cumsum(totals) - totals)[doc]),
+                    pa.array(length),
+                    pa.array(totals[doc]),
+                    pa.array(sequence + np.arange(len(doc))),
+                    pa.BinaryArray.from_buffers(
+                        pa.binary(), len(doc), [None, pa.py_buffer(offsets), whole]
+                    ),
+                ],
                 ["doc_id", "start", "length", "doc_tokens", "sequence_id", "ids"],
             )
+            sequence += len(doc)
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), body().alias("text"))
-    pieces = in_python(
+    packed = in_python(
         rows,
         work,
         "doc_id long, start long, length long, doc_tokens long, sequence_id long, ids binary",
     )
-    return pieces.withColumn("offset", F.lit(0).cast("long"))
+    return packed.withColumn("offset", F.lit(0).cast("long"))
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
