@@ -236,9 +236,9 @@ def test_bounded_scalars_respect_box_and_likelihood(panel):
                 around = along(star, name, w, [v for v in near if low <= v <= high])
                 assert found["ll_after"] >= max(around.values()) - 1e-6
                 w = w.with_value(name, found["value"])
-        tight = replace(Precision.profile(), scalar_evals=20)
+        tight = replace(Precision.profile(), scalar_evals=9)
         for found in scalars.bounded(star, START, names, "local", tight):
-            assert found["stop"] == "budget" and found["evaluations"] <= 20
+            assert found["stop"] == "budget" and found["evaluations"] <= 9
 
 
 def agreement(panel, fit):
