@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ball, probit, spatial
-from ..operators import audit, records, scoring, screens, trajectory
+from ..operators import audit, information, records, scoring, screens, trajectory
 from ..panel import TRUE_WEIGHTS
 from .base_sql import log_phi, phi, scored_from
 from .catalog import query
@@ -255,29 +255,99 @@ def grid_rescue(p):
     return records.rescue_grid(p.star, p.scored, W)
 
 
+def _path_sql(model: int) -> str:
+    """Cells of the information matrix of every path, and its inverse by elimination."""
+    return f"""WITH RECURSIVE k AS (SELECT legislator_id, period, x1, x2,
+    row_number() OVER (PARTITION BY legislator_id ORDER BY period) AS k,
+    count(*) OVER (PARTITION BY legislator_id) AS n FROM state),
+t AS (SELECT *, least({model}, CASE WHEN n >= 7 THEN 3 WHEN n >= 6 THEN 2 WHEN n >= 5 THEN 1 ELSE 0 END)
+    AS eff_order, CASE WHEN n > 1 THEN (k - 1) * (2.0::DOUBLE / (n - 1)) - 1.0 ELSE -1.0 END AS t FROM k),
+x AS (SELECT legislator_id, eff_order, [gx1, gx2, t * gx1, t * gx2,
+    (3 * t * t - 1) / 2.0 * gx1, (3 * t * t - 1) / 2.0 * gx2,
+    (5 * t * t * t - 3 * t) / 2.0 * gx1, (5 * t * t * t - 3 * t) / 2.0 * gx2] AS x
+  FROM derived JOIN t USING (legislator_id, period)),
+info AS (SELECT legislator_id, eff_order, i, j, sum(x[i] * x[j]) AS value
+  FROM x, range(1, 9) AS a(i), range(1, 9) AS b(j)
+  WHERE i <= 2 * (eff_order + 1) AND j <= 2 * (eff_order + 1) GROUP BY ALL),
+swept AS (
+  SELECT legislator_id, eff_order, 0 AS step, i,
+    list_concat(list(value ORDER BY j), list(CASE WHEN i = j THEN 1.0 ELSE 0.0 END ORDER BY j)) AS v
+  FROM info GROUP BY legislator_id, eff_order, i
+  UNION ALL
+  SELECT legislator_id, eff_order, step + 1, i,
+    CASE WHEN i = step + 1 THEN list_transform(v, lambda y: y / top[step + 1])
+      ELSE list_transform(v, lambda y, c: y - v[step + 1] * top[c] / top[step + 1]) END
+  FROM (SELECT *, any_value(v) FILTER (WHERE i = step + 1) OVER (PARTITION BY legislator_id) AS top
+    FROM swept WHERE step < 2 * (eff_order + 1))),
+cov AS (SELECT legislator_id, eff_order, i, v[2 * (eff_order + 1) + 1:] AS row
+  FROM swept WHERE step = 2 * (eff_order + 1)),
+regular AS (SELECT legislator_id FROM cov GROUP BY 1 HAVING sum(row[i]) > 0 AND sum(row[i]) < {REGULAR!r})"""
+
+
+#: Largest trace of an inverse that is compared: its least eigenvalue is then far above the floor,
+#: so that inverse and pseudo-inverse are the same.
+REGULAR = 1000.0
+
+
+def _path_covariance(p, order):
+    terms = spatial.with_derivatives(p.scored, W)
+    info = information.path_information(terms, trajectory.served_grid(p.placements), order)
+    return information.path_covariance(info, order)
+
+
+def _regular(covariance, order):
+    places = [information.packed_place(i, i, 2 * (order + 1)) for i in range(2 * (order + 1))]
+    trace = " + ".join(f"covariance[{place}]" for place in places)
+    return covariance.where(f"rank = 2 * (eff_order + 1) AND {trace} < {REGULAR!r}D")
+
+
+@query(
+    "legislator_id:l eff_order:i votes:l i:i j:i value:d",
+    _path_sql(3)
+    + """ SELECT legislator_id, eff_order, votes, i, j, value
+FROM info JOIN (SELECT legislator_id, count(*) AS votes FROM x GROUP BY 1) USING (legislator_id)
+WHERE i <= j""",
+    digits=5,
+)
+def path_information(p):
+    """Information matrices of paths up to cubic ones, cell by cell."""
+    terms = spatial.with_derivatives(p.scored, W)
+    info = information.path_information(terms, trajectory.served_grid(p.placements), 3)
+    return information.cells(info, "information", 3)
+
+
+@query(
+    "legislator_id:l eff_order:i i:i j:i value:d",
+    _path_sql(3)
+    + """ SELECT legislator_id, eff_order, i, j, row[j] AS value
+FROM cov SEMI JOIN regular USING (legislator_id), range(1, 9) AS b(j)
+WHERE i <= j AND j <= 2 * (eff_order + 1)""",
+)
+def path_covariance(p):
+    """Covariance of the coefficients of every path with a regular matrix, cell by cell."""
+    return information.cells(_regular(_path_covariance(p, 3), 3), "covariance", 3)
+
+
+#: Standard errors of positions from the covariance of linear paths.
+POSITION_SE = (
+    _path_sql(1)
+    + """, m AS (SELECT legislator_id, max(eff_order) AS q, max(row[1]) FILTER (WHERE i = 1) AS v0_1,
+    max(row[2]) FILTER (WHERE i = 2) AS v0_2, coalesce(max(row[3]) FILTER (WHERE i = 3), 0) AS v1_1,
+    coalesce(max(row[4]) FILTER (WHERE i = 4), 0) AS v1_2,
+    coalesce(max(row[3]) FILTER (WHERE i = 1), 0) AS c01_1,
+    coalesce(max(row[4]) FILTER (WHERE i = 2), 0) AS c01_2
+  FROM cov SEMI JOIN regular USING (legislator_id) GROUP BY 1),
+v AS (SELECT legislator_id, period, x1, x2, v0_1 + t * t * v1_1 + t * 2.0 * c01_1 AS var1,
+    v0_2 + t * t * v1_2 + t * 2.0 * c01_2 AS var2 FROM t JOIN m USING (legislator_id))"""
+)
+
+
 @query(
     "legislator_id:l period:i var1:d se1:d var2:d se2:d",
-    f"""WITH k AS (SELECT legislator_id, period,
-    row_number() OVER (PARTITION BY legislator_id ORDER BY period) AS k,
-    count(*) OVER (PARTITION BY legislator_id) AS n FROM placements),
-t AS (SELECT legislator_id, period,
-  CASE WHEN n > 1 THEN (k - 1) * (2.0::DOUBLE / (n - 1)) - 1.0 ELSE -1.0 END AS t FROM k),
-v AS (SELECT legislator_id, period, i11 / 1000 + t * t * (i22 / 1000) + t * 2.0 * (i12 / 1000) AS var1,
-  i22 / 1000 + t * t * (i11 / 1000) - t * 2.0 * (i12 / 1000) AS var2
-  FROM t JOIN ({INFO}) USING (legislator_id))
-SELECT *, sqrt(abs(var1)) AS se1, sqrt(abs(var2)) AS se2 FROM v""",
+    POSITION_SE + " SELECT *, sqrt(abs(var1)) AS se1, sqrt(abs(var2)) AS se2 FROM v",
 )
 def position_se(p):
-    info = scoring.information(spatial.with_derivatives(p.scored, W))
-    moments = info.select(
-        "legislator_id",
-        (F.col("i11") / 1000).alias("v0_1"),
-        (F.col("i22") / 1000).alias("v1_1"),
-        (F.col("i12") / 1000).alias("c01_1"),
-        (F.col("i22") / 1000).alias("v0_2"),
-        (F.col("i11") / 1000).alias("v1_2"),
-        (-F.col("i12") / 1000).alias("c01_2"),
-    )
+    moments = information.line_moments(_regular(_path_covariance(p, 1), 1), 1)
     rows = trajectory.served_grid(p.placements).join(moments, "legislator_id")
     return trajectory.position_variance(rows)
 
@@ -301,19 +371,12 @@ def legislator_stats(p):
 
 @query(
     "legislator_id:l period:i x1:d x2:d se1:d se2:d ll_after:d errors_after:l votes:l gmp_after:d",
-    _after_sql()
-    + f""", k AS (SELECT legislator_id, period, x1, x2,
-    row_number() OVER (PARTITION BY legislator_id ORDER BY period) AS k,
-    count(*) OVER (PARTITION BY legislator_id) AS n FROM state),
-t AS (SELECT legislator_id, period, x1, x2,
-  CASE WHEN n > 1 THEN (k - 1) * (2.0::DOUBLE / (n - 1)) - 1.0 ELSE -1.0 END AS t FROM k),
-v AS (SELECT *, sqrt(abs(i11 / 1000 + t * t * (i22 / 1000) + t * 2.0 * (i12 / 1000))) AS se1,
-    sqrt(abs(i22 / 1000 + t * t * (i11 / 1000) - t * 2.0 * (i12 / 1000))) AS se2
-  FROM t JOIN ({INFO}) USING (legislator_id))
-SELECT legislator_id, period, x1, x2, se1, se2, ll AS ll_after, e AS errors_after, b.n AS votes,
-  exp(ll / b.n) AS gmp_after
-FROM (SELECT legislator_id, period, x1, x2, se1, se2 FROM v) v JOIN (SELECT legislator_id, period,
-  sum(ll) AS ll, count(*) AS n, count(*) FILTER (WHERE gross_error) AS e FROM after_scored GROUP BY 1, 2) b
+    POSITION_SE.replace("WITH RECURSIVE", "WITH RECURSIVE after_rows AS (SELECT * FROM (%s)),", 1)
+    % (_after_sql() + " SELECT * FROM after_scored")
+    + """ SELECT legislator_id, period, x1, x2, sqrt(abs(var1)) AS se1, sqrt(abs(var2)) AS se2,
+  ll AS ll_after, e AS errors_after, b.n AS votes, exp(ll / b.n) AS gmp_after
+FROM v JOIN (SELECT legislator_id, period, sum(ll) AS ll, count(*) AS n,
+  count(*) FILTER (WHERE gross_error) AS e FROM after_rows GROUP BY 1, 2) b
 USING (legislator_id, period)""",
     digits=5,
 )
