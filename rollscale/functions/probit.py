@@ -151,6 +151,11 @@ def _exact_log_phi_np(z: np.ndarray) -> np.ndarray:
     return np.where(z <= 0, half + np.log(ratio), np.log1p(-np.exp(half) * ratio))
 
 
+def exact_log_phi_np(z: np.ndarray) -> np.ndarray:
+    """`log_phi` of an array."""
+    return _exact_log_phi_np(np.clip(z, -Z_MAX, Z_MAX))
+
+
 def log_phi_sum_np(low: np.ndarray, high: np.ndarray) -> float:
     """Sum of `log_phi` over arguments up to 0 and above 0."""
     low, high = np.minimum(-low, Z_MAX), np.minimum(high, Z_MAX)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Limits, Weights
+from ..functions import probit
 from . import scoring
 from .audit import radial_deciles
+from .partials import vectors_by_key
 from .running import LIMITS
 from .totals import with_totals
 
@@ -37,39 +40,51 @@ def path_gradients(terms: DataFrame, grid: DataFrame) -> DataFrame:
     return rows.groupBy("legislator_id").agg(*aggs, F.count("*").alias("votes"))
 
 
+def rescue_points() -> np.ndarray:
+    """The grid of step 0.1 strictly inside the disc, first coordinate first."""
+    i, j = np.meshgrid(np.arange(-10, 11), np.arange(-10, 11), indexing="ij")
+    inside = i * i + j * j < 100
+    return np.stack([i[inside], j[inside]], axis=1) / 10.0
+
+
 def rescue_grid(star: DataFrame, scored: DataFrame, w: Weights, floor: float = 0.5) -> DataFrame:
-    """Best point of the 0.1 grid inside the disc for members whose fit is below the floor.
+    """Best point of the grid for members whose fit is below the floor.
 
-    Every vote meets the fixed grid inside its task and leaves as partial sums per
-    member and grid point.  Equal likelihoods go to the first grid point.
+    A task adds its votes up to one vector over the grid points per member, so neither votes nor
+    points multiply.  Equal likelihoods (to seven digits) go to the first grid point.
     """
     low = scoring.log_likelihood(scored, "legislator_id").where(F.col("gmp") < floor)
-    points = [
-        F.struct(F.lit(i / 10.0).alias("grid1"), F.lit(j / 10.0).alias("grid2"))
-        for i in range(-10, 11)
-        for j in range(-10, 11)
-        if i * i + j * j < 100
-    ]
-    tried = (
-        star.join(low.select("legislator_id"), "legislator_id", "left_semi")
-        .select("legislator_id", "vote", "z1", "z2", "d1", "d2", F.inline(F.array(*points)))
-        .withColumns({"x1": F.col("grid1"), "x2": F.col("grid2")})
-    )
-    totals = (
-        scoring.score(tried, w)
-        .groupBy("legislator_id", "grid1", "grid2")
-        .agg(F.sum("ll").alias("ll"), F.count("*").alias("votes"))
-        .withColumn("log_likelihood", F.round("ll", 7))
-    )
-    best = totals.groupBy("legislator_id").agg(
-        F.min(
-            F.struct(
-                (-F.col("log_likelihood")).alias("loss"), "grid1", "grid2", "log_likelihood", "votes"
-            )
-        ).alias("b")
+    rows = star.join(low.select("legislator_id"), "legislator_id", "left_semi")
+    grid, (w1, w2) = rescue_points(), w.squared()
+
+    def part(batch, present, number):
+        z1, z2, d1, d2 = (
+            batch.column(c).to_numpy(zero_copy_only=False) for c in ("z1", "z2", "d1", "d2")
+        )
+        sign = np.where(batch.column("vote").to_numpy(zero_copy_only=False), w.beta, -w.beta)
+        out = np.empty((len(present), len(grid) + 1))
+        for k, (x1, x2) in enumerate(grid):
+            yes = w1 * (x1 - z1 + d1) ** 2 + w2 * (x2 - z2 + d2) ** 2
+            no = w1 * (x1 - z1 - d1) ** 2 + w2 * (x2 - z2 - d2) ** 2
+            ll = probit.exact_log_phi_np(sign * (np.exp(-yes) - np.exp(-no)))
+            out[:, k] = np.bincount(number, weights=ll, minlength=len(present))
+        out[:, -1] = np.bincount(number, minlength=len(present))
+        return out
+
+    def best(member, vector):
+        k = int(vector[:-1].round(7).argmax())
+        return np.array([*grid[k], vector[k], vector[-1]])
+
+    found = vectors_by_key(
+        rows.select("legislator_id", "vote", "z1", "z2", "d1", "d2"), "legislator_id", part, finish=best
     )
-    return best.select(
-        "legislator_id", "b.grid1", "b.grid2", "b.log_likelihood", "b.votes"
+    return found.select(
+        F.col("key").alias("legislator_id"),
+        *[
+            F.col("vector")[i].alias(name)
+            for i, name in enumerate(("grid1", "grid2", "log_likelihood"))
+        ],
+        F.col("vector")[3].cast("long").alias("votes"),
     )
 
 

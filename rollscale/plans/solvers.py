@@ -12,6 +12,7 @@ import numpy as np
 from ..config import LineSearch, Precision
 from ..functions.kernels import bounded_inverse, project_first
 from ..functions.spatial import GRAD_SCALE
+from ..operators.records import rescue_points
 
 
 def _gmp(ll, counts):
@@ -139,13 +140,6 @@ def fit_items_line(rows, start: np.ndarray, dims: int, cfg: LineSearch):
     return theta, {"initial": first, "final": final, "steps": steps, **watch.report(theta)}
 
 
-def _rescue_grid():
-    """Grid of step 0.1 strictly inside the disc."""
-    i, j = np.meshgrid(np.arange(-10, 11), np.arange(-10, 11), indexing="ij")
-    inside = i * i + j * j < 100
-    return np.stack([i[inside], j[inside]], axis=1) / 10.0
-
-
 def fit_actors_line(rows, start, order, dims: int, cfg: LineSearch):
     """Constant, then linear, quadratic and cubic terms, each searched alone.
 
@@ -184,7 +178,7 @@ def fit_actors_line(rows, start, order, dims: int, cfg: LineSearch):
                 low = active & (_gmp(ll, counts) < cfg.rescue_gmp)
                 if low.any():
                     rescued = low
-                    grid = _rescue_grid()
+                    grid = rescue_points()
                     tried = np.repeat(current[None], len(grid), axis=0)
                     tried[..., :2] = grid[:, None, :]
                     asked = np.broadcast_to(low, tried.shape[:2])

@@ -12,80 +12,31 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ..config import Weights
 from ..functions.kernels import ActorRows, ItemRows, path_basis
 from ..operators.cuts import EDGE, TIE
-
-#: Numbers that a task holds before it sends its vectors on.
-HELD = 4_000_000
-VECTOR = "place int, task int, part int, vector array<double>"
-RESULT = "place int, vector array<double>"
-
-
-def _list(vectors) -> pa.Array:
-    offsets = np.cumsum([0, *map(len, vectors)]).astype(np.int32)
-    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(vectors)))
-
+from ..operators.partials import lists, vectors_by_key
 
 def gathered(rows: DataFrame, key: str, keys, part, combine=np.add, finish=None) -> dict:
-    """One vector per place in the sorted `keys`, from all rows of that key.
-
-    part(batch, where, number) gives a vector for each key of a batch, `where` being their places
-    and `number` the index in it of every row; `combine` joins two vectors of a group and
-    `finish(place, vector)` runs on the joined one, still in a task.
-    """
+    """vectors_by_key for the sorted `keys`, at the driver, by place in them; `part` and `finish`
+    get places instead of keys."""
     keys = np.asarray(keys)
 
-    def record(held, number):
-        return pa.record_batch(
-            {
-                "place": pa.array(list(held), pa.int32()),
-                "task": pa.array(np.full(len(held), TaskContext.get().partitionId()), pa.int32()),
-                "part": pa.array(np.full(len(held), number), pa.int32()),
-                "vector": _list(list(held.values())),
-            }
-        )
+    def placed(batch, present, number):
+        return part(batch, np.searchsorted(keys, present), number)
 
-    def answer(batches):
-        held, size, number = {}, 0, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            present, at = np.unique(batch.column(key).to_numpy(), return_inverse=True)
-            where = np.searchsorted(keys, present)
-            for place, vector in zip(where.tolist(), part(batch, where, at), strict=True):
-                if vector is None:
-                    continue
-                if place in held:
-                    held[place] = combine(held[place], vector)
-                else:
-                    held[place] = vector
-                    size += len(vector)
-            if size > HELD:
-                yield record(held, number)
-                held, size, number = {}, 0, number + 1
-        if held:
-            yield record(held, number)
-
-    def join(table: pa.Table) -> pa.Table:
-        place = table.column("place")[0].as_py()
-        vectors = table.column("vector").combine_chunks()
-        total = None
-        for i in np.lexsort((table.column("part").to_numpy(), table.column("task").to_numpy())):
-            vector = vectors[int(i)].values.to_numpy()
-            total = vector if total is None else combine(total, vector)
-        if finish is not None:
-            total = finish(place, total)
-        return pa.table({"place": pa.array([place], pa.int32()), "vector": _list([total])})
-
-    found = rows.mapInArrow(answer, VECTOR).groupBy("place").applyInArrow(join, RESULT).toArrow()
+    last = None
+    if finish is not None:
+
+        def last(name, vector):
+            return finish(int(np.searchsorted(keys, name)), vector)
+
+    found = vectors_by_key(rows, key, placed, combine, last).toArrow()
     vectors = found.column("vector").combine_chunks()
-    return {
-        place: vectors[i].values.to_numpy() for i, place in enumerate(found.column("place").to_pylist())
-    }
+    places = np.searchsorted(keys, found.column("key").to_numpy()).tolist()
+    return {place: vectors[i].values.to_numpy() for i, place in enumerate(places)}
 
 
 def _doubles(batch, *names) -> np.ndarray:
@@ -400,13 +351,14 @@ class SpreadCutRows:
             return pa.table(
                 {
                     "place": pa.array([place] * len(kept), pa.int32()),
-                    "vector": _list([np.array(v, dtype=float) for v in kept]),
+                    "vector": lists([np.array(v, dtype=float) for v in kept]),
                 }
             )
 
         schema = "place int, leaf int, proj double, member double, code int"
+        chosen_schema = "place int, vector array<double>"
         found = self.rows.mapInArrow(gather, schema).groupBy("place", "leaf")
-        found = found.applyInArrow(choose, RESULT).toArrow()
+        found = found.applyInArrow(choose, chosen_schema).toArrow()
         by_place: dict = {}
         vectors = found.column("vector").combine_chunks()
         for i, place in enumerate(found.column("place").to_pylist()):

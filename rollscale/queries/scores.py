@@ -240,7 +240,7 @@ def covariance_2x2(p):
     "legislator_id:l grid1:d grid2:d log_likelihood:d votes:l",
     """WITH g AS (SELECT i / 10.0::DOUBLE AS grid1, j / 10.0::DOUBLE AS grid2
   FROM range(-10, 11) a(i), range(-10, 11) b(j) WHERE i * i + j * j < 100),
-low AS (SELECT legislator_id FROM scored GROUP BY 1 HAVING exp(sum(ll) / count(*)) < 0.5),
+low AS (SELECT legislator_id FROM (%s) GROUP BY 1 HAVING exp(sum(ll) / count(*)) < 0.5),
 tried AS (SELECT s.legislator_id, s.rollcall_id, s.vote, g.grid1 AS x1, g.grid2 AS x2,
     s.z1, s.z2, s.d1, s.d2, g.grid1, g.grid2 FROM star s SEMI JOIN low USING (legislator_id), g),
 sc AS (%s),
@@ -248,11 +248,13 @@ total AS (SELECT legislator_id, grid1, grid2, round(sum(ll), 7) AS log_likelihoo
   FROM sc GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY legislator_id
   ORDER BY log_likelihood DESC, grid1, grid2) AS n FROM total) WHERE n = 1"""
-    % scored_from("SELECT * FROM tried"),
+    % (scored_from("SELECT * REPLACE (-x1 AS x1) FROM star"), scored_from("SELECT * FROM tried")),
     digits=4,
 )
 def grid_rescue(p):
-    return records.rescue_grid(p.star, p.scored, W)
+    """Members who start on the wrong side of the first axis."""
+    turned = p.star.withColumn("x1", -F.col("x1"))
+    return records.rescue_grid(p.star, scoring.score(turned, W), W)
 
 
 def _path_sql(model: int) -> str:
