@@ -88,21 +88,25 @@ def assign(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns (see assign for which)."""
+    """The rows of docs that stay, with all their columns (see assign for which).
+
+    Of rows that share the id and the text without white space, the longest text stays, then the
+    first row. Null and empty texts are one group; a null id is an id like others. Columns of any
+    type are kept, maps too; no rows give no rows.
+    """
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     kept = assign(docs).where("kept").select(ident.alias("id"), F.col("text_sha256").alias("sha"))
     rows = docs.select(
         ident.alias("id"),
         F.sha2(normalised(), 256).alias("sha"),
-        F.length(body()).alias("chars"),
+        F.struct((-F.length(body())).alias("chars"), F.monotonically_increasing_id()).alias("at"),
         F.struct(*docs.columns).alias("row"),
     )
-    # Repeated rows, or texts of one id that differ only in white space: the longest stays.
     return (
         joined(rows, kept, ["id", "sha"])
         .groupBy("id", "sha")
-        .agg(F.max(F.struct("chars", "row")).alias("best"))
-        .select("best.row.*")
+        .agg(F.min_by("row", "at").alias("row"))
+        .select("row.*")
     )
 
 

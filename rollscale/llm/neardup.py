@@ -381,7 +381,10 @@ def candidates(sets: DataFrame, similarity: float, parts: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """group, key and payload (the full set) for the wanted rows (doc_id, key, group)."""
+    """group, key and payload (the full set) for the wanted rows (doc_id, print, key, group).
+
+    Rows are met by id and text hash, so those that share an id, or have none, do not multiply.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -391,7 +394,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 (_set_of(t, width) for t in texts(batch)),
                 strict=True,
             )
-            # Texts that share an id: only the one with this key counts.
+            # Different texts may share id and hash: only the one with this key counts.
             rows = [(g, k, s.tobytes()) for g, k, s in rows if _key(s) == k]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -402,8 +405,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 ["group", "key", "payload"],
             )
 
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
-    rows = joined(named, wanted, named["doc_id"].eqNullSafe(wanted["doc_id"]))
+    named = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(body()).alias("print"),
+        body().alias("text"),
+    )
+    same = named["doc_id"].eqNullSafe(wanted["doc_id"]) & (named["print"] == wanted["print"])
+    rows = joined(named, wanted, same)
     rows = rows.select("group", "key", "text")
     return in_python(rows, work, "group binary, key binary, payload binary")
 
@@ -430,17 +438,18 @@ def classes(
         each.where("n_shingles > 0")
         .groupBy("key")
         .agg(
-            F.min("doc_id").alias("doc_id"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "print")).alias("one"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("sketch").alias("sketch"),
             F.first("tokens").alias("tokens"),
-        ),
+        )
+        .select("key", "one.doc_id", "one.print", "n_shingles", "sketch", "tokens"),
         "sets",
     )
     edges = stored(candidates(sets, similarity, parts), "candidates")
     grouped = stored(
         joined(sets, components(edges), "key").select(
-            "doc_id", "key", "n_shingles", F.col("label").alias("group")
+            "doc_id", "print", "key", "n_shingles", F.col("label").alias("group")
         ),
         "candidate-groups",
     )
@@ -450,7 +459,7 @@ def classes(
     )
     sizes = stored(grouped.groupBy("group").agg(weight.alias("chunks")), "group-sizes")
     payload = stored(
-        full_sets(docs, grouped.select("doc_id", "key", "group"), width).dropDuplicates(["key"]),
+        full_sets(docs, grouped.select("doc_id", "print", "key", "group"), width).dropDuplicates(["key"]),
         "full-sets",
     )
     payload, sizes = filtered(payload, sizes, similarity)
@@ -488,7 +497,11 @@ def assign(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFram
 
 def deduplicate(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """One row of docs for each class, with all its columns: the one with the smallest doc_id, of
-    rows with that id the smallest by text hash. Rows without words all stay."""
+    rows with that id the smallest by text hash, of repeated rows the first.
+
+    Rows without words (null and empty texts too) all stay; a class without any id keeps its row
+    with the smallest text hash. Columns of any type are kept, maps too; no rows give no rows.
+    """
     each, found = classes(docs, similarity, width)
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("print"))
     firsts = each.where("n_shingles > 0").groupBy("key").agg(F.min(order).alias("best"))
@@ -505,10 +518,11 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
     rows = docs.where(word).select(
         F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")).alias("id"),
         F.xxhash64(body()).alias("print"),
+        F.monotonically_increasing_id().alias("at"),
         F.struct(*docs.columns).alias("row"),
     )
     one = joined(rows, kept, ["id", "print"]).groupBy("id", "print")
-    one = one.agg(F.max("row").alias("row"))
+    one = one.agg(F.min_by("row", "at").alias("row"))
     return one.select("row.*").unionByName(docs.where(~word))
 
 

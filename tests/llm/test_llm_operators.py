@@ -513,3 +513,31 @@ def test_html_on_held_out_pages(spark, labeller):
         inside = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         want = "".join(htmltext.html.unescape(re.sub("<[^>]*>", " ", inside)).split())
         assert "".join(texts[r.page_id].split()) == want
+
+
+@pytest.mark.parametrize("stage", [exact.deduplicate, neardup.deduplicate])
+def test_dedup_keeps_columns_of_any_type(odd, nothing, stage):
+    from pyspark.sql import functions as F
+
+    def with_map(docs):
+        return docs.withColumn("extra", F.create_map(F.lit("a"), F.col("n_chars")))
+
+    got = stage(with_map(odd))
+    assert got.dtypes == with_map(odd).dtypes
+    assert [r.doc_id for r in got.where("doc_id = 3").collect()] in ([3], [])
+    assert got.count() == stage(odd).count() > 0
+    assert stage(with_map(nothing)).collect() == []
+
+
+def test_near_copies_without_an_id_do_not_multiply(spark):
+    """Many near copies under one id, or none, are read once each for their full sets."""
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(None if k % 2 else 5, f"{text} end{k}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    each = neardup.sketches(docs, 5)
+    wanted = each.select("doc_id", "print", "key", F.col("key").alias("group"))
+    assert neardup.full_sets(docs, wanted, 5).count() == 60
+    got = neardup.assign(docs, width=5).collect()
+    assert len(got) == 60 and {r.component_id for r in got} == {5}
