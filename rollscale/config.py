@@ -56,6 +56,7 @@ class LineSearch:
     temporal_points: int = 10
     step: float = 0.01
     gain_tol: float = 1e-4
+    gmp_drop: float = 1e-5
     min_spread: float = 0.001
     reset_spread: float = 0.03
     zero_gradient: float = 1e-4

@@ -22,7 +22,7 @@ VARIANCE_COLUMNS = ["v0_1", "v1_1", "c01_1", "v0_2", "v1_2", "c01_2"]
 
 ATTEMPT = (
     "votes bigint, ll_before double, ll_after double, algorithm string, "
-    "fallback_used int, objective_evaluations int, attempted int, accepted int, "
+    "fallback_used int, objective_evaluations int, attempted int, accepted int, failed int, "
     "raw_return_feasible int, numerical_correction_applied int, "
     "constraint_tolerance double, raw_constraint_violation double, "
     "feasibility_correction_norm double, infeasible_objective_evaluations int, "
@@ -68,6 +68,7 @@ def _attempts(out: pd.DataFrame, info: dict, counts, algorithm: str, tol: float,
     out["objective_evaluations"] = info["evaluations"].astype("int32")
     out["attempted"] = voted.astype("int32")
     out["accepted"] = info.get("accepted", voted).astype("int32")
+    out["failed"] = info.get("failed", np.zeros(groups)).astype("int32")
     out["raw_return_feasible"] = (info["violation"] <= tol).astype("int32")
     out["numerical_correction_applied"] = info.get("snapped", np.zeros(groups)).astype("int32")
     out["constraint_tolerance"] = tol

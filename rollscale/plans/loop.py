@@ -184,6 +184,7 @@ def attempt_rows(fitted: DataFrame, block: str, key: str, cycle: int) -> DataFra
         "fallback_used",
         "objective_evaluations",
         F.when(F.col("attempted") == 0, "skipped")
+        .when(F.col("failed") == 1, "failed")
         .when(F.col("accepted") == 1, "accepted")
         .otherwise("rejected")
         .alias("status"),
@@ -285,7 +286,9 @@ def _alternate(data, cfg, weights, member_seeds, period_seeds, given_bills, bega
                     budget,
                 )
             )
-            moved = trajectory.reconstruct(fitted, data.placements, grid=grid).select(
+            # A failed member keeps the positions it had.
+            sound = fitted.where("failed = 0")
+            moved = trajectory.reconstruct(sound, data.placements, grid=grid).select(
                 "legislator_id", "period", "x1", "x2"
             )
             paths = fitted
@@ -345,7 +348,7 @@ def _alternate(data, cfg, weights, member_seeds, period_seeds, given_bills, bega
 
 
 def _keep_unfitted(state: DataFrame, moved: DataFrame) -> DataFrame:
-    """Members without a usable vote keep their position."""
+    """Members without a usable vote, or whose fit failed, keep their position."""
     new = moved.select(
         "legislator_id", "period", F.col("x1").alias("new1"), F.col("x2").alias("new2")
     )

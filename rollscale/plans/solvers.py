@@ -145,25 +145,32 @@ def fit_actors_line(rows, start, order, dims: int, cfg: LineSearch):
 
     start: groups x (4 * dims) least-squares coefficients; order: term allowed per
     group.  Later terms start from zero.
+
+    A group is a transaction: if a term ends with a geometric mean probability more than
+    `cfg.gmp_drop` below the one it began with, or the start is not finite, the group failed
+    and its start comes back unchanged.
     """
     groups = len(start)
     counts = rows.counts
-    voted = counts > 0
+    broken = ~np.isfinite(start).all(axis=1)
+    voted = (counts > 0) & ~broken
+    failed = (counts > 0) & broken
     n = np.maximum(counts, 1)[:, None]
     theta = np.zeros_like(start)
-    theta[:, :dims] = start[:, :dims]
+    theta[:, :dims] = np.where(broken[:, None], 0.0, start[:, :dims])
     norm = np.sqrt((theta[:, :dims] ** 2).sum(axis=1))
     theta[:, :dims] *= np.where(norm > 1.0, cfg.interior / np.maximum(norm, 1e-300), 1.0)[:, None]
     watch = _Watch(groups, dims)
-    watch.corrected(start[:, :dims], theta[:, :dims], voted)
+    watch.corrected(np.where(broken[:, None], 0.0, start[:, :dims]), theta[:, :dims], voted)
     watch.see(theta[None], voted[None])
-    initial = rows.derivatives(theta[:, :dims], voted)[0]
+    initial = final = rows.derivatives(theta[:, :dims], voted)[0]
     rescued = np.zeros(groups, dtype=bool)
 
     for term in range(4):
-        allowed = voted & (order >= term)
+        allowed = voted & (order >= term) & ~failed
         if not allowed.any():
             break
+        saved = np.zeros(groups)
         width = (term + 1) * dims
         columns = list(range(term * dims, width))
         points = cfg.points if term == 0 else cfg.temporal_points
@@ -187,6 +194,8 @@ def fit_actors_line(rows, start, order, dims: int, cfg: LineSearch):
                     theta[low, :2] = grid[found.argmax(axis=0)][low]
                     current = theta[:, :width]
                     ll, gradient, _ = rows.derivatives(current, active)
+            if step == 0:
+                saved = _gmp(ll, counts)
             direction = gradient[:, columns] / n
             norm = np.sqrt((direction**2).sum(axis=1))
             moving = active & (norm > 0)
@@ -200,10 +209,15 @@ def fit_actors_line(rows, start, order, dims: int, cfg: LineSearch):
             theta[moving, :width] = thetas[best, at][moving]
             gmp = np.where(moving, _gmp(found[best, at], counts), _gmp(ll, counts))
             active &= moving & ~gains.small(step, gmp)
-    final = rows.derivatives(theta, voted)[0]
+        found = rows.derivatives(theta[:, :width], allowed)[0]
+        final = np.where(allowed, found, final)
+        failed |= allowed & ~(_gmp(final, counts) >= saved - cfg.gmp_drop)
+    theta = np.where(failed[:, None], start, theta)
     return theta, {
         "initial": initial,
-        "final": final,
+        "final": np.where(failed, initial, final),
+        "failed": failed,
+        "accepted": voted & ~failed,
         "rescued": rescued,
         "snapped": watch.correction > 0,
         **watch.report(theta),
@@ -284,7 +298,7 @@ def fit_constrained(rows, start, free, dims: int, beta: float, precision: Precis
 
 def actor_variances(rows, theta, order, dims: int, cfg: LineSearch):
     """Variance of intercept and slope and their covariance, per dimension."""
-    voted = rows.counts > 0
+    voted = (rows.counts > 0) & np.isfinite(theta).all(axis=1)
     out = np.zeros((len(theta), dims, 3))
     linear = order >= 1
     for terms, pick in ((1, voted & ~linear), (2, voted & linear)):

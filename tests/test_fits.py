@@ -301,3 +301,72 @@ def test_one_dimension_has_no_second_axis(panel):
     fit = loop.fit(panel.votes, FitConfig(cycles=1), Weights(w2=0.0, dims=1), panel.seeds_member)
     assert fit.state.where("x2 <> 0").count() == 0
     assert fit.bills.where("z2 <> 0 or d2 <> 0").count() == 0
+
+
+class Misled:
+    """Rows that lead some groups the wrong way: gradients and ranks are turned round."""
+
+    def __init__(self, rows, groups):
+        self.rows, self.groups, self.counts = rows, groups, rows.counts
+
+    def derivatives(self, *args, **kw):
+        ll, gradient, info = self.rows.derivatives(*args, **kw)
+        return ll, np.where(self.groups[:, None], -gradient, gradient), info
+
+    def candidates(self, thetas, valid):
+        found = self.rows.candidates(thetas, valid)
+        lies = np.where(np.isfinite(found), -found, found)
+        return np.where(self.groups, lies, found)
+
+
+def member_rows(seed=4, groups=3, size=60):
+    from rollscale.functions.kernels import ActorRows, path_basis
+
+    rng = np.random.default_rng(seed)
+    number = np.repeat(np.arange(groups), size)
+    z, d = rng.uniform(-0.5, 0.5, (len(number), 2)), rng.uniform(0.1, 0.3, (len(number), 2))
+    t = rng.choice([-1.0, 0.0, 1.0], len(number))
+    vote = 0.6 - z[:, 0] + rng.normal(0, 0.2, len(number)) > 0
+    return ActorRows(number, path_basis(t), z, d, vote, groups, START)
+
+
+def test_a_member_that_loses_fit_gets_its_start_back():
+    from rollscale.plans import solvers
+
+    rows, line = member_rows(), FitConfig().line
+    start, order = np.full((3, 8), 0.1), np.array([1, 1, 1])
+    sound, info = solvers.fit_actors_line(rows, start, order, 2, line)
+    assert not info["failed"].any() and (info["final"] >= info["initial"]).all()
+    lies = np.array([False, True, False])
+    theta, info = solvers.fit_actors_line(Misled(rows, lies), start, order, 2, line)
+    assert info["failed"].tolist() == info["accepted"].__invert__().tolist() == lies.tolist()
+    assert (theta[1] == start[1]).all() and info["final"][1] == info["initial"][1]
+    assert np.allclose(theta[[0, 2]], sound[[0, 2]])
+    broken = start.copy()
+    broken[2, 0] = np.nan
+    theta, info = solvers.fit_actors_line(rows, broken, order, 2, line)
+    assert info["failed"].tolist() == [False, False, True] and np.isnan(theta[2, 0])
+    assert np.allclose(theta[:2], sound[:2])
+
+
+def test_failed_members_keep_their_positions_and_are_logged(panel, monkeypatch):
+    """A start that is no number fails in its task; the log says so and the fit goes on."""
+    from rollscale.operators import trajectory as paths
+
+    whole = paths.start_paths
+
+    def with_a_broken_start(state, *args, **kw):
+        found = whole(state, *args, **kw)
+        return found.withColumn(
+            "b0_1", F.when(F.col("legislator_id") == 3, F.lit(float("nan"))).otherwise(F.col("b0_1"))
+        )
+
+    monkeypatch.setattr(loop.trajectory, "start_paths", with_a_broken_start)
+    cfg = FitConfig(cycles=1, cut_starts=False, fix_items=True, fix_globals=True)
+    fit = loop.fit(panel.votes, cfg, TRUE_WEIGHTS, None, panel.state)
+    failed = fit.attempts.where("status = 'failed'").collect()
+    assert [r["item_index"] for r in failed] == [3] and failed[0]["accepted"] == 0
+    moved = fit.state.alias("a").join(panel.state.alias("b"), ["legislator_id", "period"])
+    gap = moved.groupBy("legislator_id").agg(F.max(F.abs(F.col("a.x1") - F.col("b.x1"))).alias("gap"))
+    gap = {r["legislator_id"]: r["gap"] for r in gap.collect()}
+    assert gap[3] == 0.0 and max(gap.values()) > 1e-3
