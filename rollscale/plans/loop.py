@@ -6,7 +6,7 @@ import time
 from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FitConfig, Precision, Weights
@@ -14,6 +14,7 @@ from ..operators import cuts, screens, scoring, seeds, trajectory
 from ..session import broadcast_within, cut_lineage
 from . import blocks, planes, scalars
 from .layout import lay_out
+from .runs import RunStore
 
 
 #: Votes that a partition of the cached scalar scans should hold.
@@ -175,9 +176,9 @@ def _update_bills(bills: DataFrame, fitted: DataFrame) -> DataFrame:
     )
 
 
-def attempt_rows(fitted: DataFrame, block: str, key: str, cycle: int) -> DataFrame:
+def attempt_rows(fitted: DataFrame, block: str, key: str, cycle: Column) -> DataFrame:
     return fitted.select(
-        F.lit(cycle).alias("iteration"),
+        cycle.alias("iteration"),
         F.lit(block).alias("block"),
         F.col(key).alias("item_index"),
         "algorithm",
@@ -211,38 +212,82 @@ def fit(
     member_seeds: DataFrame | None = None,
     period_seeds: DataFrame | None = None,
     given_bills: DataFrame | None = None,
+    run_dir: str | None = None,
 ) -> Fit:
-    """Run the alternating fit on long votes (legislator_id, period, rollcall_id, vote)."""
+    """Run the alternating fit on long votes (legislator_id, period, rollcall_id, vote).
+
+    Every cycle is written to `run_dir`, a shared folder (without one, to a folder of its own in
+    the shared scratch space).  If it holds full cycles of a run with the same settings, the fit
+    goes on after the last of them; more cycles may be asked for than the first run had.
+    """
     began = time.perf_counter()
+    settings = repr((replace(cfg, cycles=0), weights))
+    store = RunStore(votes.sparkSession, run_dir, settings)
     data = _Data(votes, cfg)
     try:
-        return _alternate(data, cfg, weights, member_seeds, period_seeds, given_bills, began)
+        return _alternate(data, cfg, weights, member_seeds, period_seeds, given_bills, began, store)
     finally:
         data.release()
 
 
-def _alternate(data, cfg, weights, member_seeds, period_seeds, given_bills, began) -> Fit:
+def _attempts(store: RunStore) -> DataFrame | None:
+    """The log of all blocks and cycles, as the solvers measured them."""
+    out = None
+    for name, block, key in (
+        ("items", "rollcall", "rollcall_id"),
+        ("members", "legislator", "legislator_id"),
+    ):
+        fitted = store.log(name)
+        if fitted is not None:
+            rows = attempt_rows(fitted, block, key, F.col("cycle").cast("int"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _begin(data, cfg, w, member_seeds, period_seeds, given_bills, store):
+    """State and roll calls before the first cycle, or after the last full one."""
+    last = store.last_cycle
+    if last:
+        bills = store.read("bills", 1 if cfg.cut_starts and not cfg.fix_items else 0)
+        state = store.read("state", 0 if cfg.fix_actors else last)
+        return state, bills
+    state = seeds.assign(data.placements, member_seeds, period_seeds).select(
+        "legislator_id", "period", "x1", "x2"
+    )
+    bills = start_bills(data.margins, given_bills, cfg)
+    return (
+        store.write(_flat(state, w.dims), "state", 0),
+        store.write(_flat(bills, w.dims), "bills", 0),
+    )
+
+
+def _alternate(data, cfg, weights, member_seeds, period_seeds, given_bills, began, store) -> Fit:
     phases = {"layout": time.perf_counter() - began, "starts": 0.0}
     phases |= {"scalars": 0.0, "items": 0.0, "actors": 0.0, "likelihood": 0.0}
+    last = store.last_cycle
     w = weights
-    state = cut_lineage(
-        _flat(
-            seeds.assign(data.placements, member_seeds, period_seeds).select(
-                "legislator_id", "period", "x1", "x2"
-            ),
-            w.dims,
-        )
-    )
-    bills = cut_lineage(_flat(start_bills(data.margins, given_bills, cfg), w.dims))
+    state, stored_bills = _begin(data, cfg, w, member_seeds, period_seeds, given_bills, store)
+    bills = stored_bills
     grid = cut_lineage(trajectory.served_grid(data.placements))
-    paths = attempts = star = None
-    trace: list[dict] = []
-    scalar_rows: list[dict] = []
+    paths = star = None
     classification: dict = {}
     streak, previous, converged = 0, None, False
+    trace = [r["trace"] for r in store.records]
+    scalar_rows = [row for r in store.records for row in r["scalars"]]
+    if last:
+        record = store.records[-1]
+        streak, previous, converged = record["streak"], trace[-1]["log_likelihood"], record["converged"]
+        w = replace(w, w2=trace[-1]["w2"], beta=trace[-1]["beta"])
+        if not cfg.fix_items:
+            bills = _update_bills(stored_bills, store.read("items", last))
+        if not cfg.fix_actors:
+            paths = store.read("members", last)
     precision = Precision.profile(cfg.precision)
 
-    for cycle in range(1, cfg.cycles + 1):
+    for cycle in range(last + 1, cfg.cycles + 1):
+        if converged:
+            break
+        rows = []
         budget = precision.for_cycle(cycle, 1, cfg.cycles, cfg.adaptive)
         if not cfg.fix_globals:
             if star is None:
@@ -254,20 +299,15 @@ def _alternate(data, cfg, weights, member_seeds, period_seeds, given_bills, bega
         if not cfg.fix_items:
             tick = time.perf_counter()
             if cycle == 1 and cfg.cut_starts:
-                bills = cut_lineage(cut_bills(data, state, bills, w))
+                bills = stored_bills = store.write(cut_bills(data, state, bills, w), "bills", 1)
                 phases["starts"] = time.perf_counter() - tick
                 tick = time.perf_counter()
             usable = bills.where("valid")
-            if cycle == 1:
-                stored_bills = bills
-            fitted = cut_lineage(
-                blocks.fit_items(data.by_item, data.actors(state), usable, w, cfg, budget)
-            )
+            fitted = blocks.fit_items(data.by_item, data.actors(state), usable, w, cfg, budget)
+            fitted = store.write(fitted, "items", cycle)
             # Every cycle refits all usable roll calls, so this joins two stored tables
             # and needs no checkpoint of its own.
             bills = _update_bills(stored_bills, fitted)
-            rows = attempt_rows(fitted, "rollcall", "rollcall_id", cycle)
-            attempts = rows if attempts is None else attempts.unionByName(rows)
             phases["items"] += time.perf_counter() - tick
         if cycle == cfg.cycles and not cfg.fix_items:
             # The reported classification is the one of the last roll-call phase.
@@ -275,26 +315,23 @@ def _alternate(data, cfg, weights, member_seeds, period_seeds, given_bills, bega
         if not cfg.fix_actors:
             tick = time.perf_counter()
             starts = trajectory.start_paths(state, cfg.order, grid)
-            fitted = cut_lineage(
-                blocks.fit_actors(
-                    data.by_actor,
-                    data.actors(grid),
-                    starts,
-                    data.items(bills.where("valid")),
-                    w,
-                    cfg,
-                    budget,
-                )
+            fitted = blocks.fit_actors(
+                data.by_actor,
+                data.actors(grid),
+                starts,
+                data.items(bills.where("valid")),
+                w,
+                cfg,
+                budget,
             )
+            fitted = store.write(fitted, "members", cycle)
             # A failed member keeps the positions it had.
             sound = fitted.where("failed = 0")
             moved = trajectory.reconstruct(sound, data.placements, grid=grid).select(
                 "legislator_id", "period", "x1", "x2"
             )
             paths = fitted
-            state = cut_lineage(_keep_unfitted(state, moved))
-            rows = attempt_rows(fitted, "legislator", "legislator_id", cycle)
-            attempts = rows if attempts is None else attempts.unionByName(rows)
+            state = store.write(_keep_unfitted(state, moved), "state", cycle)
             phases["actors"] += time.perf_counter() - tick
         tick = time.perf_counter()
         star = _joined(data, state, bills)
@@ -324,13 +361,18 @@ def _alternate(data, cfg, weights, member_seeds, period_seeds, given_bills, bega
         )
         streak = streak + 1 if calm else 0
         previous = ll
-        if watching and streak >= cfg.patience:
-            converged = True
-            break
+        converged = watching and streak >= cfg.patience
+        store.finish(
+            cycle,
+            {"trace": trace[-1], "scalars": rows, "streak": streak, "converged": converged},
+        )
+        if not cfg.fix_actors:
+            store.drop_before("state", cycle)
 
     if not classification:
-        classification = overall
-    star.unpersist()
+        classification = _likelihood(data.star(state, bills), w) if star is None else overall
+    if star is not None:
+        star.unpersist()
     return Fit(
         w,
         cfg,
@@ -338,7 +380,7 @@ def _alternate(data, cfg, weights, member_seeds, period_seeds, given_bills, bega
         bills,
         paths,
         trace,
-        attempts,
+        _attempts(store),
         scalar_rows,
         classification,
         converged,
