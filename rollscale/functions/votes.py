@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Spellings of a missing cell.
@@ -103,5 +105,36 @@ def round_start(x: Column) -> Column:
     return F.when(F.isnan(x), x).otherwise(F.rint(x * 1000.0) / 1000.0)
 
 
-def perturbed_start(x: Column, seed: int, sd: float = 0.30, edge: float = 0.99) -> Column:
-    return F.greatest(F.lit(-edge), F.least(F.lit(edge), x + F.randn(seed) * sd))
+#: The minimal standard generator (multiplier, prime modulus).
+MULTIPLIER, MODULUS = 48271, 2147483647
+
+
+def _uniform(key: Column, seed: int, stream: int) -> Column:
+    """A number in (0, 1) that depends on key, seed and stream only."""
+    state = F.pmod(key * 69621 + (seed * 7919 + stream * 104729), F.lit(MODULUS - 1)) + 1
+    for _ in range(3):
+        state = (state * MULTIPLIER) % MODULUS
+    return state / F.lit(float(MODULUS))
+
+
+def perturbed_start(
+    x: Column, key: Column, seed: int, sd: float = 0.30, edge: float = 0.99
+) -> Column:
+    """x with normal noise, clamped to the square; the noise belongs to the key, so it is the same
+    however the rows are partitioned."""
+    key = F.pmod(key.cast("bigint"), F.lit(MODULUS))
+    far = F.sqrt(F.lit(-2.0) * F.log(_uniform(key, seed, 1)))
+    noise = far * F.cos(F.lit(2.0 * math.pi) * _uniform(key, seed, 2))
+    return F.greatest(F.lit(-edge), F.least(F.lit(edge), x + noise * sd))
+
+
+def perturbed_seeds(seeds: DataFrame, seed: int, sd: float = 0.30) -> DataFrame:
+    """A table of starts (legislator_id, x1, x2) with noise on both dimensions; missing values
+    stay missing."""
+    key = F.col("legislator_id")
+    return seeds.withColumns(
+        {
+            c: F.when(F.col(c).isNotNull(), perturbed_start(F.col(c), key, seed + k, sd))
+            for k, c in enumerate(("x1", "x2"))
+        }
+    )

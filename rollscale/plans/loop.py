@@ -230,6 +230,35 @@ def fit(
         data.release()
 
 
+def fit_starts(
+    votes: DataFrame,
+    cfg: FitConfig,
+    weights: Weights,
+    member_starts: list[DataFrame],
+    period_seeds: DataFrame | None = None,
+    given_bills: DataFrame | None = None,
+) -> list[Fit]:
+    """One fit per table of member starts; the votes are counted and laid out once for all."""
+    settings = repr((replace(cfg, cycles=0), weights))
+    data = _Data(votes, cfg)
+    try:
+        return [
+            _alternate(
+                data,
+                cfg,
+                weights,
+                starts,
+                period_seeds,
+                given_bills,
+                time.perf_counter(),
+                RunStore(votes.sparkSession, None, settings),
+            )
+            for starts in member_starts
+        ]
+    finally:
+        data.release()
+
+
 def _attempts(store: RunStore) -> DataFrame | None:
     """The log of all blocks and cycles, as the solvers measured them."""
     out = None

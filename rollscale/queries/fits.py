@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..config import FitConfig, Precision, Weights
+from ..functions import votes
 from ..operators import compare, screens, seeds, trajectory
 from ..panel import TRUE_WEIGHTS
 from ..plans import blocks, loop, scalars
@@ -63,14 +64,43 @@ def _star(p):
     return p.star.select("vote", "x1", "x2", "z1", "z2", "d1", "d2")
 
 
-@query("legislator_id:l inside:i")
+def _uniform_sql(seed: int, stream: int) -> str:
+    state = f"((legislator_id * 69621 + {seed * 7919 + stream * 104729}) % 2147483646 + 1)"
+    for _ in range(3):
+        state = f"(({state} * 48271) % 2147483647)"
+    return f"({state} / 2147483647.0::DOUBLE)"
+
+
+def _perturbed_sql(x: str, seed: int) -> str:
+    noise = f"sqrt(-2.0 * ln({_uniform_sql(seed, 1)})) * cos(2.0 * pi() * {_uniform_sql(seed, 2)})"
+    return f"CASE WHEN {x} IS NOT NULL THEN greatest(-0.99, least(0.99, {x} + {noise} * 0.3)) END AS {x}"
+
+
+@query(
+    "legislator_id:l x1:d x2:d",
+    f"SELECT legislator_id, {_perturbed_sql('x1', 17)}, {_perturbed_sql('x2', 18)} FROM seeds_member",
+)
 def perturbed_starts(p):
     """Second start for stability runs: noise added, clamped to the square."""
-    from ..functions.votes import perturbed_start
-
-    moved = perturbed_start(F.col("x1"), 17)
-    return p.state.groupBy("legislator_id").agg(F.avg("x1").alias("x1")).select(
-        "legislator_id", moved.between(-0.99, 0.99).alias("inside")
+    return votes.perturbed_seeds(p.seeds_member, 17)
+
+
+@query("matched:l r1:d r2:d first:d second:d")
+def fit_seed_stability(p):
+    """Correlation of two fits from different starts over one layout of the votes."""
+    starts = [p.seeds_member, votes.perturbed_seeds(p.seeds_member, 17)]
+    first, second = loop.fit_starts(p.votes, BASE, START, starts)
+    named = [
+        f.state.select("legislator_id", "period", F.col("x1").alias("coord1D"), F.col("x2").alias("coord2D"))
+        for f in (first, second)
+    ]
+    turned = compare.orient_dim2(named[1], named[0])
+    return compare.join_fits(named[0], turned).agg(
+        F.count("*").alias("matched"),
+        F.corr("a1", "b1").alias("r1"),
+        F.corr("a2", "b2").alias("r2"),
+        F.lit(first.trace[-1]["log_likelihood"]).alias("first"),
+        F.lit(second.trace[-1]["log_likelihood"]).alias("second"),
     )
 
 
@@ -301,8 +331,8 @@ def fit_dynamic(p):
 @query("legislator_id:l period:i x1:d x2:d")
 def fit_static(p):
     """All votes as one period, positions constant."""
-    votes = p.votes.withColumn("period", F.lit(1))
-    return loop.fit(votes, replace(BASE, order=0), START, p.seeds_member).state
+    one = p.votes.withColumn("period", F.lit(1))
+    return loop.fit(one, replace(BASE, order=0), START, p.seeds_member).state
 
 
 @query("legislator_id:l period:i x1:d x2:d")

@@ -83,3 +83,23 @@ def test_a_run_without_a_folder_keeps_its_tables(panel):
     assert fit.state.count() == panel.placements.count() and fit.paths is None
     assert fit.attempts.select("block").distinct().collect()[0]["block"] == "rollcall"
     assert fit.attempts.where(F.col("iteration") != 1).isEmpty()
+
+
+def test_several_starts_share_one_layout(panel_hundredth, monkeypatch):
+    from rollscale.functions import votes
+    from rollscale.queries import fits
+
+    p, laid_out = panel_hundredth, []
+    made = loop._Data
+    monkeypatch.setattr(loop, "_Data", lambda *a: laid_out.append(1) or made(*a))
+    found = fits.fit_seed_stability(p).first()
+    assert laid_out == [1]
+    assert found["matched"] == p.placements.count()
+    assert found["r1"] > 0.9 and found["first"] != found["second"]
+    moved = votes.perturbed_seeds(p.seeds_member, 17)
+    again = votes.perturbed_seeds(p.seeds_member.repartition(7), 17)
+    assert sorted(moved.collect()) == sorted(again.collect())
+    gap = moved.alias("a").join(p.seeds_member.alias("b"), "legislator_id").select(
+        F.stddev(F.col("a.x1") - F.col("b.x1")).alias("sd"), F.max(F.abs("a.x1")).alias("most")
+    ).first()
+    assert 0.2 < gap["sd"] < 0.4 and gap["most"] <= 0.99
