@@ -340,6 +340,73 @@ def fixed_width_starts(p):
     return matrices.read_fixed_width(p.spark, path, matrices.ITEM_STARTS)
 
 
+def _legacy_members(p):
+    """Member lines of every period in the order of their ids, as one legacy file."""
+    line = F.format_string(
+        "%4d%6d%3d%2d %-7s %4d %-11s%7.3f%7.3f", "period", "legislator_id", F.lit(41), F.lit(1),
+        F.lit("STATE"), F.lit(100), F.concat(F.lit("NAME"), F.col("legislator_id") % 1000), "x1", "x2",
+    )
+    ordered = p.state.select("period", "legislator_id", line.alias("value"))
+    ordered = ordered.orderBy("period", "legislator_id").select("value")
+    return written_text(p, ordered, "legacy_members")
+
+
+@query(
+    "period:i slot:l legislator_id:l party:i name:s x1:d x2:d",
+    """SELECT period, row_number() OVER (PARTITION BY period ORDER BY legislator_id) AS slot,
+  legislator_id, 100 AS party, 'NAME' || (legislator_id % 1000) AS name, round(x1, 3) AS x1, round(x2, 3) AS x2
+FROM state""",
+    digits=2,
+)
+def fixed_width_members(p):
+    """Legacy member starts, numbered within their period."""
+    return matrices.read_fixed_width_members(p.spark, _legacy_members(p))
+
+
+@query(
+    "period:i n_rollcalls:i n_members:i",
+    """SELECT period, n_rollcalls, n_members
+FROM (SELECT period, count(*) AS n_rollcalls FROM margins GROUP BY 1)
+JOIN (SELECT period, count(*) AS n_members FROM placements GROUP BY 1) USING (period)""",
+)
+def fixed_width_sizes(p):
+    """Legacy sizes: roll calls and members per period."""
+    sizes = p.margins.groupBy("period").agg(F.count("*").alias("q")).join(
+        p.placements.groupBy("period").agg(F.count("*").alias("n")), "period"
+    )
+    line = F.format_string("%3d %4d%4d%4d", "period", "q", "n", F.lit(2))
+    path = written_text(p, sizes.select(line.alias("value")), "legacy_sizes")
+    return matrices.read_fixed_width(p.spark, path, matrices.PERIOD_SIZES)
+
+
+@query(
+    "legislator_id:l period:i number:i code:i",
+    """SELECT legislator_id, period, local_rc AS number, code
+FROM cells SEMI JOIN placements USING (legislator_id, period) WHERE code <> 9""",
+)
+def fixed_width_item_votes(p):
+    """Legacy votes by roll call, a digit per member line of the period; 9 is no vote."""
+    from ..operators.running import Running, running
+
+    one = Running(F.lit(1).cast("long"), span="upto")
+    slots = running(p.placements, ["period"], ["legislator_id"], {"local_rc": one})
+    members = slots.groupBy("period").agg(F.count("*").cast("int").alias("n"))
+    codes = (
+        p.cells.withColumnRenamed("local_rc", "number")
+        .join(slots, ["legislator_id", "period"])
+        .groupBy("period", "number")
+        .agg(sinks.by_slot().alias("codes"))
+    )
+    prefix = F.format_string("%4d%5d ", "period", "number")
+    lines = codes.join(members, "period").select(
+        F.concat(prefix, sinks.filled_slots(F.col("codes"), F.col("n"))).alias("value")
+    )
+    votes = matrices.read_fixed_width_item_votes(
+        p.spark, written_text(p, lines, "legacy_items"), _legacy_members(p)
+    )
+    return votes.where("code <> 9")
+
+
 @query(
     "legislator_id:l period:i coord1D:d coord2D:d",
     "SELECT * FROM fit_b",

@@ -174,3 +174,39 @@ def read_fixed_width_votes(
             F.col("digit").try_cast("int").alias("code"),
         )
     )
+
+
+def read_fixed_width_members(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Member starts with the slot of every member: the number of its line within the period.
+
+    Lines are numbered by `running`, so a period with very many lines is numbered in blocks.
+    """
+    from ..operators.running import Running, running
+
+    lines = text_lines(spark, path).where(F.trim("line") != "")
+    members = lines.select(*_slices(MEMBER_STARTS), "line_order")
+    numbered = running(
+        members, ["period"], ["line_order"], {"slot": Running(F.lit(1).cast("long"), span="upto")}
+    )
+    return numbered.drop("line_order")
+
+
+def read_fixed_width_item_votes(
+    spark: SparkSession, path: str | list[str], members: str | list[str]
+) -> DataFrame:
+    """Transposed votes: a line per roll call, a digit per member of its period.
+
+    Digits stand in the order of the member lines of the same period, so the record is turned
+    round by a join of (period, slot); a digit beyond the last member raises an error.
+    """
+    votes = read_fixed_width_votes(spark, path, ITEM_VOTES_PREFIX, ITEM_VOTES_START)
+    slots = read_fixed_width_members(spark, members).select(
+        "period", F.col("slot").cast("int").alias("slot"), "legislator_id"
+    )
+    beyond = F.raise_error(F.lit("a roll call has more votes than its period has members"))
+    return votes.join(slots, ["period", "slot"], "left").select(
+        F.coalesce("legislator_id", beyond.cast("bigint")).alias("legislator_id"),
+        "period",
+        "number",
+        "code",
+    )

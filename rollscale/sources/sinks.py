@@ -122,7 +122,7 @@ def by_slot() -> Column:
     return F.sort_array(F.collect_list(F.struct("local_rc", "code")))
 
 
-def filled_slots(codes: Column, width: int, mark: str = "") -> Column:
+def filled_slots(codes: Column, width: int | Column, mark: str = "") -> Column:
     """Codes of roll calls 1 to width as one text, each after `mark`; 9 where a slot has none.
 
     codes is what by_slot gives, or null. Work is in proportion to the width. A roll call that
@@ -135,7 +135,7 @@ def filled_slots(codes: Column, width: int, mark: str = "") -> Column:
         return F.repeat(F.lit(mark + "9"), F.when(gap >= 0, gap).otherwise(lost))
 
     def slot_after(i: Column) -> Column:
-        return F.coalesce(F.get(codes, i)["local_rc"], F.lit(width + 1))
+        return F.coalesce(F.get(codes, i)["local_rc"], F.lit(width) + 1)
 
     filled = F.transform(
         codes,
