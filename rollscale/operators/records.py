@@ -26,6 +26,41 @@ def classification_change(before: DataFrame, after: DataFrame) -> DataFrame:
     return with_totals(last, first)
 
 
+def line_steps(rows: DataFrame, w: Weights, key: str, points: int, step: float = 0.01) -> DataFrame:
+    """(key, step, gmp) of the points along a line search, one accumulator vector per group.
+
+    rows: votes with x1, x2, the roll-call parameters and the rates u_x1, u_x2, u_d1, u_d2 at
+    which a unit along the line moves position and spread.
+    """
+    (w1, w2) = w.squared()
+
+    def part(batch, present, number):
+        def column(name):
+            return batch.column(name).to_numpy(zero_copy_only=False)
+
+        sign = np.where(column("vote"), w.beta, -w.beta)
+        gap = [column(f"x{k}") - column(f"z{k}") for k in (1, 2)]
+        out = np.empty((len(present), points + 1))
+        for i in range(points):
+            yes = no = 0.0
+            for k, weight in ((1, w1), (2, w2)):
+                rest = gap[k - 1] - i * step * column(f"u_x{k}")
+                spread = column(f"d{k}") - i * step * column(f"u_d{k}")
+                yes, no = yes + weight * (rest + spread) ** 2, no + weight * (rest - spread) ** 2
+            ll = probit.exact_log_phi_np(sign * (np.exp(-yes) - np.exp(-no)))
+            out[:, i] = np.bincount(number, weights=ll, minlength=len(present))
+        out[:, -1] = np.bincount(number, minlength=len(present))
+        return out
+
+    names = [f"{c}{k}" for c in ("x", "z", "d", "u_x", "u_d") for k in (1, 2)]
+    found = vectors_by_key(rows.select(key, "vote", *names), key, part)
+    count = F.element_at("vector", -1)
+    tried = found.select(
+        F.col("key").alias(key), count.alias("n"), F.posexplode(F.slice("vector", 1, points)).alias("step", "ll")
+    )
+    return tried.select(key, "step", F.exp(F.col("ll") / F.col("n")).alias("gmp"))
+
+
 def path_gradients(terms: DataFrame, grid: DataFrame) -> DataFrame:
     """Member gradient sums expanded by the path basis."""
     rows = terms.join(

@@ -102,8 +102,11 @@ def flattest_direction(a, b, c):
     return np.where(flip[:, None], -n, n)
 
 
-def find_planes(rows, turns: int = TURNS):
-    """Best turn of every roll call: fewest errors, the last of the ties."""
+def find_planes(rows, turns: int = TURNS, log: list | None = None):
+    """Best turn of every roll call: fewest errors, the last of the ties.
+
+    `log` gets (turn, groups that were cut, their errors) of every turn.
+    """
     groups = rows.groups
     normal = np.tile([1.0, 0.0], (groups, 1))
     active = np.ones(groups, dtype=bool)
@@ -112,6 +115,8 @@ def find_planes(rows, turns: int = TURNS):
     first_errors = None
     for turn in range(turns):
         found = rows.cut(normal, active)
+        if log is not None:
+            log.append((turn, np.flatnonzero(active), found["errors"][active]))
         if turn == 0:
             first_errors = found["errors"].copy()
         better = active & (found["errors"] <= best["errors"])
@@ -145,41 +150,72 @@ def _frame(keys, normal, best, first_errors) -> pd.DataFrame:
     return out
 
 
-def _block(pdf: pd.DataFrame, turns: int) -> pd.DataFrame:
+def _rows_of(pdf: pd.DataFrame):
     keys, number = np.unique(pdf["rollcall_id"].to_numpy(), return_inverse=True)
-    rows = LocalCutRows(
+    return keys, LocalCutRows(
         number,
         pdf["legislator_id"].to_numpy(),
         pdf[["x1", "x2"]].to_numpy(),
         pdf["code"].to_numpy(),
         len(keys),
     )
+
+
+def _block(pdf: pd.DataFrame, turns: int) -> pd.DataFrame:
+    keys, rows = _rows_of(pdf)
     return _frame(keys, *find_planes(rows, turns))
 
 
+def _log_frame(keys, log) -> pd.DataFrame:
+    return pd.DataFrame(
+        {
+            "rollcall_id": np.concatenate([np.asarray(keys)[groups] for _, groups, _ in log]),
+            "turn": np.concatenate([np.full(len(groups), turn) for turn, groups, _ in log]),
+            "errors": np.concatenate([errors for _, _, errors in log]).astype("int64"),
+        }
+    )
+
+
+def _log_block(pdf: pd.DataFrame, turns: int) -> pd.DataFrame:
+    keys, rows = _rows_of(pdf)
+    log: list = []
+    find_planes(rows, turns, log)
+    return _log_frame(keys, log)
+
+
+def _layout(cloud: DataFrame, state: DataFrame, limits: Limits):
+    """Points of the cloud (absent members have a null vote) by roll call."""
+    points = cloud.select("rollcall_id", "legislator_id", "period", "vote").join(
+        state.select("legislator_id", "period", "x1", "x2"), ["legislator_id", "period"]
+    )
+    code = F.coalesce(F.col("vote").cast("int"), F.lit(-1)).alias("code")
+    rows = points.select("rollcall_id", "legislator_id", code, "x1", "x2")
+    return lay_out(rows, "rollcall_id", limits)
+
+
+def turns_taken(
+    cloud: DataFrame, state: DataFrame, limits: Limits = Limits(), turns: int = TURNS
+) -> DataFrame:
+    """(rollcall_id, turn, errors) of every turn that the search for the planes takes."""
+    layout = _layout(cloud, state, limits)
+    schema = "rollcall_id bigint, turn int, errors bigint"
+    taken = layout.small.groupBy("block").applyInPandas(lambda pdf: _log_block(pdf, turns), schema)
+    for hot in hot_groups(layout, limits):
+        log: list = []
+        find_planes(SpreadCutRows(hot.rows, hot.keys, limits.leaf_rows), turns, log)
+        frame = _log_frame(hot.keys, log)
+        taken = taken.unionByName(taken.sparkSession.createDataFrame(frame, schema))
+    return taken
+
+
 def cutting_planes(
     cloud: DataFrame, state: DataFrame, limits: Limits = Limits(), turns: int = TURNS
 ) -> DataFrame:
     """Plane of every roll call of the cloud (absent members have a null vote)."""
-    points = cloud.select("rollcall_id", "legislator_id", "period", "vote").join(
-        state.select("legislator_id", "period", "x1", "x2"), ["legislator_id", "period"]
-    )
-    rows = points.select(
-        "rollcall_id",
-        "legislator_id",
-        "vote",
-        F.coalesce(F.col("vote").cast("int"), F.lit(-1)).alias("code"),
-        "x1",
-        "x2",
-    )
-    layout = lay_out(rows, "rollcall_id", limits)
-    planes = (
-        layout.small.drop("vote")
-        .groupBy("block")
-        .applyInPandas(lambda pdf: _block(pdf, turns), SCHEMA)
-    )
+    layout = _layout(cloud, state, limits)
+    planes = layout.small.groupBy("block").applyInPandas(lambda pdf: _block(pdf, turns), SCHEMA)
     for hot in hot_groups(layout, limits):
-        rows = SpreadCutRows(hot.rows.drop("vote"), hot.keys, limits.leaf_rows)
+        rows = SpreadCutRows(hot.rows, hot.keys, limits.leaf_rows)
         frame = _frame(hot.keys, *find_planes(rows, turns))
         planes = planes.unionByName(planes.sparkSession.createDataFrame(frame, SCHEMA))
     return planes

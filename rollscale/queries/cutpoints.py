@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cuts
+from ..functions import spatial
+from ..operators import cuts, records, trajectory
+from ..panel import TRUE_WEIGHTS
+from .base_sql import scored_from
 from .catalog import query
 
 # Points of the panel: real and absent votes of served members on the first axis.
@@ -227,49 +230,70 @@ def cutting_plane(p):
     return cutting_planes(p.votes, p.state)
 
 
-@query(
-    "rollcall_id:l turn:i errors:l",
-    """WITH e AS (SELECT rollcall_id, turn, (yea * (turn + 3) + nay) % 7 AS errors
-  FROM margins, range(0, 25) AS t(turn))
-SELECT rollcall_id, max(turn) AS turn, min(errors) AS errors
-FROM (SELECT *, min(errors) OVER (PARTITION BY rollcall_id) AS least FROM e) WHERE errors = least
-GROUP BY rollcall_id""",
-)
+@query("rollcall_id:l turn:i errors:l", PLANES + " SELECT * FROM plane")
 def best_rotation(p):
-    """Fewest errors over 25 turns of every roll call, the last of the ties."""
-    turns = p.margins.select(
-        "rollcall_id", "yea", "nay", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("turn")
-    ).withColumn("errors", (F.col("yea") * (F.col("turn") + 3) + F.col("nay")) % 7)
-    return cuts.best_turn(turns)
+    """Fewest errors over the turns of the search for the plane, the last of the ties."""
+    from ..plans.planes import turns_taken
+
+    return cuts.best_turn(turns_taken(p.votes, p.state))
+
+
+def _steps_sql(key: str, rates: str, position: str, spread: str, points: int, order: str) -> str:
+    """Points along the gradient of every group, their GMP and the best of them."""
+    tried = f"""SELECT {key}, step, vote, {position.format(k=1)} AS x1, {position.format(k=2)} AS x2,
+    z1, z2, {spread.format(k=1)} AS d1, {spread.format(k=2)} AS d2
+  FROM moved, range(0, {points}) AS r(step)"""
+    return f"""WITH t AS (SELECT legislator_id, period, CASE WHEN count(*) OVER m > 1
+      THEN (row_number() OVER o - 1) * (2.0::DOUBLE / (count(*) OVER m - 1)) - 1.0 ELSE -1.0 END AS t
+    FROM placements WINDOW m AS (PARTITION BY legislator_id), o AS (PARTITION BY legislator_id ORDER BY period)),
+g AS (SELECT *, sqrt(g1 * g1 + g2 * g2) AS norm FROM (
+  SELECT {key}, {rates} FROM derived JOIN t USING (legislator_id, period) GROUP BY 1)),
+moved AS (SELECT s.*, t.t, g.g1 / g.norm AS u1, g.g2 / g.norm AS u2
+  FROM star s JOIN t USING (legislator_id, period) JOIN g USING ({key}) WHERE g.norm > 0),
+gmps AS (SELECT {key}, step, round(exp(sum(ll) / count(*)), 9) AS gmp FROM ({scored_from(tried)}) GROUP BY ALL)
+SELECT {key}, step, gmp FROM (SELECT *, row_number() OVER (PARTITION BY {key}
+  ORDER BY gmp DESC, {order}) AS n FROM gmps) WHERE n = 1"""
+
+
+def _line(p, key: str, first, second):
+    """Star rows with the unit gradient (u1, u2) of their group and the local time."""
+    grid = trajectory.served_grid(p.placements).select("legislator_id", "period", "t")
+    terms = spatial.with_derivatives(p.scored, TRUE_WEIGHTS).join(grid, ["legislator_id", "period"])
+    sums = terms.groupBy(key).agg(first.alias("g1"), second.alias("g2"))
+    norm = F.sqrt(F.col("g1") * F.col("g1") + F.col("g2") * F.col("g2"))
+    units = sums.withColumn("norm", norm).where("norm > 0").selectExpr(key, "g1 / norm as u1", "g2 / norm as u2")
+    return p.star.join(grid, ["legislator_id", "period"]).join(units, key)
 
 
 @query(
     "rollcall_id:l step:i gmp:d",
-    """WITH g AS (SELECT rollcall_id, step, ((yea * step + nay) % 11) / 20.0::DOUBLE AS gmp
-  FROM margins, range(0, 25) AS t(step))
-SELECT rollcall_id, step, gmp FROM (SELECT *, row_number() OVER (PARTITION BY rollcall_id
-  ORDER BY gmp DESC, step) AS n FROM g) WHERE n = 1""",
+    _steps_sql(
+        "rollcall_id", "sum(gd1) AS g1, sum(gd2) AS g2", "x{k}", "d{k} - step * 0.01 * u{k}", 25, "step"
+    ),
 )
 def best_step(p):
-    """Line-search point of the highest GMP, the first of the ties."""
-    steps = p.margins.select(
-        "rollcall_id", "yea", "nay", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("step")
-    ).withColumn("gmp", ((F.col("yea") * F.col("step") + F.col("nay")) % 11) / 20.0)
-    return cuts.best_step(steps, "rollcall_id", first=True)
+    """Point of the spread search with the highest GMP, the first of the ties."""
+    rows = _line(p, "rollcall_id", F.sum("gd1"), F.sum("gd2"))
+    rows = rows.withColumns(
+        {"u_x1": F.lit(0.0), "u_x2": F.lit(0.0), "u_d1": F.col("u1"), "u_d2": F.col("u2")}
+    )
+    steps = records.line_steps(rows, TRUE_WEIGHTS, "rollcall_id", 25)
+    return cuts.best_step(steps.withColumn("gmp", F.round("gmp", 9)), "rollcall_id", first=True)
 
 
 @query(
     "legislator_id:l step:i gmp:d",
-    """WITH c AS (SELECT legislator_id, count(*) AS n FROM valid_votes GROUP BY 1),
-g AS (SELECT legislator_id, step, ((n * step) % 11) / 20.0::DOUBLE AS gmp
-  FROM c, range(0, 10) AS t(step))
-SELECT legislator_id, step, gmp FROM (SELECT *, row_number() OVER (PARTITION BY legislator_id
-  ORDER BY gmp DESC, step DESC) AS n FROM g) WHERE n = 1""",
+    _steps_sql(
+        "legislator_id", "sum(t * gx1) AS g1, sum(t * gx2) AS g2", "x{k} - step * 0.01 * u{k} * t", "d{k}", 10,
+        "step DESC",
+    ),
 )
 def best_step_member(p):
-    """Same for members: the last of the ties."""
-    counts = p.valid_votes.groupBy("legislator_id").agg(F.count("*").alias("n"))
-    steps = counts.select(
-        "legislator_id", "n", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("step")
-    ).withColumn("gmp", ((F.col("n") * F.col("step")) % 11) / 20.0)
-    return cuts.best_step(steps, "legislator_id", first=False)
+    """Point of the search for a linear term, the last of the ties."""
+    t = F.col("t")
+    rows = _line(p, "legislator_id", F.sum(t * F.col("gx1")), F.sum(t * F.col("gx2")))
+    rows = rows.withColumns(
+        {"u_x1": F.col("u1") * t, "u_x2": F.col("u2") * t, "u_d1": F.lit(0.0), "u_d2": F.lit(0.0)}
+    )
+    steps = records.line_steps(rows, TRUE_WEIGHTS, "legislator_id", 10)
+    return cuts.best_step(steps.withColumn("gmp", F.round("gmp", 9)), "legislator_id", first=False)
