@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,3 +72,21 @@ def bound_contract(
         "correction": F.when(feasible, F.abs(x - accepted)).otherwise(0.0),
         "corrected": feasible & (F.abs(x - accepted) > 0),
     }
+
+
+def bound_rule(x: float, low: float, high: float, tolerance: float) -> dict:
+    """`bound_contract` of one number, as the searches at the driver use it."""
+    if not low < high or tolerance < 0:
+        raise ValueError("bounds must be ordered and the tolerance not negative")
+    finite = math.isfinite(x)
+    violation = max(0.0, low - x, x - high) if finite else math.inf
+    feasible = finite and violation <= tolerance
+    accepted = min(high, max(low, x)) if feasible else None
+    correction = abs(x - accepted) if feasible else 0.0
+    return {
+        "violation": violation,
+        "feasible": feasible,
+        "accepted": accepted,
+        "correction": correction,
+        "corrected": correction > 0,
+    }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Precision, Weights
 from ..functions import probit
+from ..functions.ball import bound_rule
 from ..session import ship_package
 
 # First step, bounds and local box of the two scalars.
@@ -254,12 +255,14 @@ class _Box:
             self.stop = "f"
 
     def report(self, known: dict[float, float], scans: int) -> dict:
+        low, high = BOUNDS[self.name]
+        bound = bound_rule(self.value, low, high, self.precision.constraint_tol)
         first, value = known[self.start], self.value
         last = known[value]
-        accepted = last >= first
+        # Only a value inside the bounds that loses nothing is accepted, as it stands.
+        accepted = bound["feasible"] and not bound["corrected"] and last >= first
         if not accepted:
             value, last = self.start, first
-        low, high = BOUNDS[self.name]
         return {
             "name": self.name,
             "initial": self.start,
@@ -270,6 +273,7 @@ class _Box:
             "evaluations": len(self.asked),
             "stop": self.stop,
             "accepted": int(accepted),
+            "violation": bound["violation"],
             "at_bound": int(value <= low or value >= high),
         }
 

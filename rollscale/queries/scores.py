@@ -9,6 +9,7 @@ from ..operators import audit, information, records, scoring, screens, trajector
 from ..panel import TRUE_WEIGHTS
 from .base_sql import log_phi, phi, scored_from
 from .catalog import query
+from .cutpoints import PLANES
 
 KEYS = "legislator_id:l rollcall_id:l"
 W = TRUE_WEIGHTS
@@ -440,14 +441,19 @@ def radial_deciles(p):
 
 @query(
     "n:l p25:d median:d p75:d least:l most:l mean:d at_floor:l at_cap:l",
-    """WITH s AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k, count(*) OVER () AS n
-  FROM (SELECT yea % 60 AS v FROM margins) WHERE v > 0)
+    PLANES
+    + """, s AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k, count(*) OVER () AS n
+  FROM (SELECT count(*) AS v FROM turns WHERE turn >= 0 GROUP BY rollcall_id))
 SELECT max(n) AS n, max(v) FILTER (WHERE k = n // 4) AS p25, max(v) FILTER (WHERE k = n // 2) AS median,
   max(v) FILTER (WHERE k = 3 * n // 4) AS p75, min(v) AS least, max(v) AS most, avg(v) AS mean,
   count(*) FILTER (WHERE v <= 5) AS at_floor, count(*) FILTER (WHERE v >= 50) AS at_cap FROM s""",
 )
 def iteration_histogram(p):
-    return audit.step_histogram(p.margins.select((F.col("yea") % 60).alias("steps")), "steps")
+    """Steps that the searches for the planes take."""
+    from ..plans.planes import turns_taken
+
+    steps = turns_taken(p.votes, p.state).groupBy("rollcall_id").agg(F.count("*").alias("steps"))
+    return audit.step_histogram(steps, "steps")
 
 
 @query(

@@ -154,3 +154,14 @@ def test_candidates_agree_with_derivatives():
         ll = items.derivatives(thetas[c], np.ones(2, bool))[0]
         assert np.allclose(found[c][valid[c]], ll[valid[c]])
         assert np.isinf(found[c][~valid[c]]).all()
+
+
+def test_bound_rule_equals_the_columns(spark):
+    values = [-2.0, -0.55, -0.5500001, -0.5, 0.0, 0.5, 0.52, 0.6, float("nan"), float("inf"), float("-inf")]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    rows = df.select("x", *[c.alias(n) for n, c in ball.bound_contract(F.col("x"), -0.5, 0.5, 0.05).items()])
+    for value, row in zip(values, rows.collect(), strict=True):
+        rule = ball.bound_rule(value, -0.5, 0.5, 0.05)
+        assert {n: row[n] for n in rule} == rule
+    with pytest.raises(ValueError, match="bounds"):
+        ball.bound_rule(0.0, 2.0, 1.0, 0.0)
