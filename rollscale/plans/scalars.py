@@ -20,6 +20,7 @@ UPHILL_STEPS = 15
 NEAR_STEPS = 3  # lattice steps on each side fetched with the first scan
 HALVINGS = 32768.0
 GRID = 6  # steps across the box in one scan of the bounded search
+NARROW = 1e-4  # relative width of a box in which a grid without gain ends the search
 LATTICE = "place int, ll double"
 
 
@@ -249,10 +250,13 @@ class _Box:
         self.high = min(self.outer[1], self.value + above)
         if not settled:
             return
-        if self.high - self.low <= self.precision.x_tol * max(1.0, abs(self.value)):
+        width, size = self.high - self.low, max(1.0, abs(self.value))
+        gain = None if before is None else best - before
+        if width <= self.precision.x_tol * size:
             self.stop = "x"
-        elif before is not None and best - before <= self.precision.f_tol * max(1.0, abs(best)):
-            self.stop = "f"
+        elif gain is not None and gain <= self.precision.f_tol * max(1.0, abs(best)):
+            # The clamp of log Phi makes kinks, so a wide box may hide more than its grid shows.
+            self.stop = "f" if width <= NARROW * size else ""
 
     def report(self, known: dict[float, float], scans: int) -> dict:
         low, high = BOUNDS[self.name]
@@ -288,8 +292,8 @@ def bounded(
     """Best w2 inside its box, then best beta at that w2; each kept only if the likelihood holds.
 
     Both boxes shrink together, a scan of their joint grid at a time, until they are narrower than
-    the x tolerance ("x"), a finer grid gains no more than the f tolerance ("f"), both relative, or
-    the evaluations are spent ("budget"); `stop` says which.
+    the x tolerance ("x"), a finer grid of a narrow box gains no more than the f tolerance ("f"),
+    all relative, or the evaluations are spent ("budget"); `stop` says which.
     """
     precision = precision or Precision.profile()
     names = [n for n in names if n == "beta" or w.dims > 1]
