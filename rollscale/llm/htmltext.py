@@ -407,13 +407,20 @@ def fit(pages: DataFrame, seed: int = 7) -> Labeller:
     and two variations of each. Without such pages the labeller keeps its starting weights, and
     extract falls back on the names in the page.
     """
+    keyed = pages.where(F.length("html").between(1, PAGE_CHARS)).select(
+        F.xxhash64("html").alias("hash"), "page_id", "html"
+    )
+    # Hashes and ids find the pages; only those chosen send their html to the driver.
+    chosen = keyed.select("hash", "page_id").distinct().orderBy("hash", "page_id").limit(PAGES)
+    chosen = chosen.select(F.col("hash").alias("h"), F.col("page_id").alias("p"))
+    same = (F.col("hash") == F.col("h")) & F.col("page_id").eqNullSafe(F.col("p"))
     rows = (
-        pages.where(F.length("html").between(1, PAGE_CHARS))
-        .select("page_id", "html")
-        .orderBy(F.xxhash64("html"), "page_id")
-        .limit(PAGES)
+        keyed.join(F.broadcast(chosen), same, "left_semi")  # PAGES rows at most
+        .groupBy("hash", "page_id")
+        .agg(F.first("html").alias("html"))
         .collect()
     )
+    rows.sort(key=lambda r: (r["hash"], r["page_id"] is not None, r["page_id"] or 0))
     rng = np.random.default_rng(seed)
     made = []
     for r in rows:
