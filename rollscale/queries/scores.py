@@ -451,9 +451,11 @@ SELECT max(n) AS n, max(v) FILTER (WHERE k = n // 4) AS p25, max(v) FILTER (WHER
 def iteration_histogram(p):
     """Steps that the searches for the planes take."""
     from ..plans.planes import turns_taken
+    from ..session import cut_lineage
 
     steps = turns_taken(p.votes, p.state).groupBy("rollcall_id").agg(F.count("*").alias("steps"))
-    return audit.step_histogram(steps, "steps")
+    # The histogram reads the steps several times; the searches run once.
+    return audit.step_histogram(cut_lineage(steps), "steps")
 
 
 @query(
