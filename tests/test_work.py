@@ -6,11 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rollscale.config import FitConfig, Limits, Weights
-from rollscale.functions.kernels import ItemRows, Runs
+from rollscale.config import FitConfig, Limits, LineSearch, Weights
+from rollscale.functions.kernels import ActorRows, ItemRows, Runs, path_basis
+from rollscale.functions.probit import ROUGH_GRID, exact_log_phi_np, rough_log_phi_np
 from rollscale.panel import Panel
-from rollscale.plans import loop
+from rollscale.plans import loop, planes, scalars, solvers
 from rollscale.plans.layout import lay_out
+from rollscale.queries import fits
 from rollscale.session import in_scans
 
 
@@ -117,3 +119,111 @@ def test_fits_of_several_settings_share_a_layout(cast, monkeypatch):
     assert (first.config.solver, second.config.solver) == ("line", "constrained")
     with pytest.raises(ValueError, match="layouts"):
         loop.fit_variants(cast, [cfg, replace(cfg, margin=0.1)], Weights())
+
+
+def blocks(groups: int, rows: int, w: Weights):
+    """Rows of one block of roll calls and one of members."""
+    rng = np.random.default_rng(5)
+    number, vote = rng.integers(0, groups, rows), rng.random(rows) < 0.6
+    x, d = rng.uniform(-0.8, 0.8, (rows, 2)), rng.uniform(-0.5, 0.5, (rows, 2))
+    items = ItemRows(number, x, vote, groups, w)
+    actors = ActorRows(number, path_basis(rng.choice([-1.0, 0.0, 1.0], rows)), x, d, vote, groups, w)
+    return items, actors
+
+
+def test_leading_candidates_hold_the_best_ones():
+    rng = np.random.default_rng(6)
+    for w in (Weights(w2=0.45, beta=5.5), Weights(w2=1.3, beta=15.0), Weights(w2=0.0, beta=5.5, dims=1)):
+        items, actors = blocks(9, 4000, w)
+        for rows, moved in ((items, 0), (items, w.dims), (actors, 0), (actors, w.dims)):
+            theta, move = rng.uniform(-0.6, 0.6, (9, 2 * w.dims)), np.zeros((9, 2 * w.dims))
+            move[:, moved : moved + w.dims] = rng.normal(0.0, 0.01, (9, w.dims))
+            move[3] = 0.0  # a group of ties
+            thetas = theta + np.arange(25)[:, None, None] * move
+            thetas[20] += 0.01  # one off the line, as after a projection
+            valid = rng.random((25, 9)) < 0.9
+            valid[:, 8] = False
+            full, found = rows.candidates(thetas, valid), rows.leading(thetas, valid)
+            asked = found > -np.inf
+            assert (asked <= valid).all() and asked[:, :3].sum() < 0.5 * valid[:, :3].sum()
+            np.testing.assert_allclose(found[asked], full[asked], rtol=1e-11)
+            np.testing.assert_allclose(found.max(axis=0), full.max(axis=0), rtol=1e-11)
+            sure = np.arange(8) != 3
+            assert (found.argmax(axis=0) == full.argmax(axis=0))[:8][sure].all()
+            assert asked[:, 3].sum() == valid[:, 3].sum()
+
+
+def test_rough_log_phi_is_within_its_error():
+    z = np.linspace(-7.0, 7.0, 200_001)
+    rough = rough_log_phi_np((z * ROUGH_GRID).astype(np.float32))
+    assert np.abs(rough - exact_log_phi_np(z)).max() <= 5e-6
+    assert np.isnan(rough_log_phi_np(np.array([0.5, np.nan], dtype=np.float32))).tolist() == [False, True]
+
+
+def test_a_group_that_stays_is_not_asked_again():
+    items, _ = blocks(6, 3000, Weights(w2=0.45, beta=5.5))
+    asked = []
+
+    class Watched:
+        counts = items.counts
+
+        def derivatives(self, theta, active, information=False):
+            asked.append({g: theta[g].tobytes() for g in np.flatnonzero(active)})
+            return items.derivatives(theta, active, information)
+
+        candidates = staticmethod(items.candidates)
+        leading = staticmethod(items.candidates)
+
+    solvers.fit_items_line(Watched(), np.tile([0.1, 0.0, 0.3, 0.1], (6, 1)), 2, LineSearch())
+    last = {}
+    for one in asked:
+        assert all(last.get(g) != theta for g, theta in one.items())
+        last |= one
+
+
+def test_points_are_ordered_as_by_their_keys():
+    rng = np.random.default_rng(7)
+    number = np.sort(rng.integers(0, 5, 3000))
+    proj = rng.integers(-40, 40, 3000) / 8.0
+    proj[::7] *= -0.0
+    expected = np.lexsort((np.arange(3000), proj, number))
+    assert (planes._by_projection(number, proj, 5) == expected).all()
+    proj[5] = np.nan
+    assert (planes._by_projection(number, proj, 5) == np.lexsort((proj, number))).all()
+
+
+def test_scalar_scans_read_folded_votes(panel, monkeypatch):
+    star = panel.star.select("vote", "x1", "x2", "z1", "z2", "d1", "d2")
+    w, seen = Weights(w2=0.45, beta=5.5), []
+    assert scalars.folded(star, w).count() < star.count()
+
+    def watched(votes, w, lines, sums=scalars._pair_sums):
+        seen.append(sum(len(betas) for _, betas in lines))
+        assert votes.columns == ["votes"]
+        return sums(votes, w, lines)
+
+    monkeypatch.setattr(scalars, "_pair_sums", watched)
+    scalars.walk(star, w)
+    assert seen[0] == 4 * scalars.NEAR_STEPS + 1
+
+
+def test_both_solvers_share_one_layout(panel, monkeypatch):
+    calls = []
+
+    def watched(*args, lay_out=fits.lay_out, **kw):
+        calls.append(args)
+        return lay_out(*args, **kw)
+
+    monkeypatch.setattr(fits, "lay_out", watched)
+    found = fits.fit_rollcalls_invariants(panel)
+    assert len(calls) == 1
+    assert sorted(r["solver"] for r in found.select("solver").distinct().collect()) == ["constrained", "line"]
+
+
+def test_known_sizes_give_the_same_layout(panel):
+    rows = panel.valid_votes.select("legislator_id", "period", "rollcall_id", "vote")
+    sizes = rows.groupBy("rollcall_id").agg(F.count("*").alias("n")).localCheckpoint()
+    limits = Limits(group_rows=2)
+    counted, known = (lay_out(rows, "rollcall_id", limits, sizes=s) for s in (None, sizes))
+    assert (counted.blocks, counted.rows, counted.hot_count) == (known.blocks, known.rows, known.hot_count)
+    assert counted.small.exceptAll(known.small).isEmpty() and counted.hot.exceptAll(known.hot).isEmpty()
